@@ -60,12 +60,12 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def map_texts(df: DataFrame, rows: Callable[[list, list[str]], list], schema: str, id_column: str = "doc_id", text_column: str = "text", slice_chars: int = 4_000_000, **config: object) -> DataFrame:
-    """Run ``rows(ids, texts) -> arrays`` over slices of Arrow batches of ``id_column`` and ``text_column``.
+def map_texts(df: DataFrame, rows: Callable[..., list], schema: str, ids: tuple[str, ...] = ("doc_id",), slice_bytes: int = 4_000_000) -> DataFrame:
+    """Run ``rows(*ids, texts)`` over slices of Arrow batches of the columns ``ids`` and text.
 
-    A slice ends after ``slice_chars`` bytes of text, so that memory is bounded by that plus one text. Null texts
-    arrive as empty ones. Only the two columns leave the JVM, whatever else ``df`` holds. ``rows`` returns one Arrow
-    array, or something that ``pyarrow.array`` takes, for each column of ``schema``.
+    A slice ends after ``slice_bytes`` of text, so that memory is bounded by that plus one text. Null texts arrive as
+    empty ones. Only these columns leave the JVM, whatever else ``df`` holds. ``rows`` returns one Arrow array, or
+    something that ``pyarrow.array`` takes, for each column of ``schema``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -74,14 +74,14 @@ def map_texts(df: DataFrame, rows: Callable[[list, list[str]], list], schema: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, slice_chars):
-                columns = rows(part.column(0).to_pylist(), part.column(1).to_pylist())
+            for part in text_slices(batch, slice_bytes, len(ids)):
+                columns = rows(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.select(F.col(id_column), text_of(text_column).alias(text_column)).mapInArrow(run, parsed)
+    return df.select(*ids, text_of().alias("text")).mapInArrow(run, parsed)
 
 
-def text_slices(batch: pa.RecordBatch, slice_bytes: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, slice_bytes: int, column: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``slice_bytes`` of text."""
     if not batch.num_rows:
         return
