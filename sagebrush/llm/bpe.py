@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 
 
 def byte_table() -> list[str]:
@@ -65,12 +65,12 @@ class ByteBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces not seen yet into the cache, by one call of the library."""
-        new = sorted(pieces - self.ids_of.keys())
+        new = [p for p in pieces if p not in self.ids_of]
         if not new:
             return
         if len(self.ids_of) + len(new) > CACHE_PIECES:
             self.ids_of.clear()
-            new = sorted(pieces)
+            new = list(pieces)
         found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids, words = found.ids, np.array(found.word_ids)
         ends = np.searchsorted(words, np.arange(len(new)), side="right").tolist()

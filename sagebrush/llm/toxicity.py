@@ -47,16 +47,17 @@ THRESHOLD = 0.7
 def dense(text: str, learned: frozenset[str]) -> list[float]:
     words = WORD.findall(text.lower())
     n = max(len(words), 1)
-    fixed = [i for i, w in enumerate(words) if w in LEXICON]
-    own = [i for i, w in enumerate(words) if w in learned]
-    hits = sorted({*fixed, *own})
+    known = LEXICON | learned
+    fixed = [w for w in words if w in LEXICON]
+    own = [w for w in words if w in learned]
+    hits = [i for i, w in enumerate(words) if w in known] if fixed or own else []
     near = sum(any(w in SECOND_PERSON for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
     raw = text.encode()
     size = max(len(raw), 1)
     capitals = len(raw) - len(raw.translate(None, UPPER))
     punctuation = len(raw) - len(raw.translate(None, PUNCTUATION))
     hidden = HIDDEN.findall(text.lower())
-    found = sum(h.translate(DISGUISES) in LEXICON or h.translate(DISGUISES) in learned for h in hidden)
+    found = sum(h.translate(DISGUISES) in known for h in hidden)
     shouted = capitals / size > 0.3
     return [100 * len(fixed) / n, 100 * len(own) / n, float(len(fixed)), float(len(own)), 100 * near / n, 100 * sum(w in SECOND_PERSON for w in words) / n, capitals / size, float(shouted), punctuation / size, raw.count(b"!") / size, len(hidden) / n, float(found), len(words) ** 0.25]
 
