@@ -11,23 +11,23 @@ from .common import Scratch
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """One row (node, label) for each node of ``edges`` (a, b); label is the smallest node of its component.
 
-    Each round takes the smallest label among a node's neighbours and then that label's own label, so that paths
-    shrink by more than half a round. Labels are written each round, which cuts the lineage; the minimum is combined
-    before the shuffle, and both joins are between written tables, whose hot keys (a hub's) Spark can split.
+    Each round takes the smallest label among a node and its neighbours, and from the third round on also that
+    label's own label, so that long paths shrink by more than half a round. Labels are written each round, which cuts
+    the lineage; the minimum is combined before the shuffle, and the joins are between written tables, whose hot keys
+    (a hub's) Spark can split.
     """
     both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), f"{name}-0")
+    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label"), F.col("node").alias("was")), f"{name}-0")
     step = 0
-    while True:
+    while not labels.filter("label != was").isEmpty():
         step += 1
-        told = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        low = scratch.keep(told.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), f"{name}-{step}-low")
-        up = low.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = scratch.keep(low.join(up, "label").select("node", F.col("top").alias("label")), f"{name}-{step}")
-        old = labels.select("node", F.col("label").alias("was"))
-        same = new.join(old, "node").filter(F.col("label") != F.col("was")).isEmpty()
-        scratch.drop(f"{name}-{step - 1}", f"{name}-{step}-low")
+        told = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("was"))
+        own = labels.select("node", "label", F.col("label").alias("was"))
+        new = scratch.keep(told.union(own).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")), f"{name}-{step}")
+        if step >= 3:
+            up = new.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            new = scratch.keep(new.join(up, "label").select("node", F.col("top").alias("label"), "was"), f"{name}-{step}-up")
+        scratch.drop(f"{name}-{step - 1}", f"{name}-{step - 1}-up")
         labels = new
-        if same:
-            scratch.drop(f"{name}-edges")
-            return labels
+    scratch.drop(f"{name}-edges")
+    return labels.select("node", "label")

@@ -4,11 +4,15 @@
    ``BINS`` bins; an empty bin borrows from a full one by a fixed probing order (optimal densification). ``ROWS``
    bins make a band: two documents meet in a bucket if all bins of a band agree.
 2. Documents with equal sets are one class, so copies cost one sketch, not a pair each.
-3. In each bucket a centre is compared with the other members: a star, not all pairs. Links are confirmed on the full
-   shingle sets, by counts and without estimates.
-4. A star alone would lose links between two members that aren't linked with the centre. So centres are taken out of
-   their buckets, buckets whose members are all in one component are finished, and the others get new centres, each
-   round several times as many, until no bucket holds two components. Whatever the buckets hold is thus decided.
+3. In each bucket the smallest document, the centre, is compared with the other members: a star, not all pairs. Links
+   are confirmed on the full shingle sets, by counts and without estimates.
+4. A star alone would lose links between members that aren't linked with the centre. Buckets whose other members are
+   all in one component by then are finished. Members of the others are decided exactly: at the similarity t, linked
+   documents of n shingles share one of their first n - ceil(t * n) + 1, in any order fixed for all, and after the
+   first shared one enough shingles must be left for the intersection. With rare shingles first, a passage that
+   thousands of documents share brings few of them together. The buckets of these shingles get stars too; centres are
+   taken out, and buckets that still hold two components get new centres, each round many times as many, until there
+   are none.
 
 A pair at similarity 0.75 shares no bucket with probability 1 - (1 - 0.75 ** 4) ** 32, or 5 in a million, falling fast
 above that.
@@ -36,7 +40,7 @@ PROBES = np.array([[i, *np.random.default_rng(i).permutation(BINS)] for i in ran
 EDGES = np.arange(BINS + 1, dtype=np.uint64)[:-1] << np.uint64(64 - BINS.bit_length() + 1)
 #: Standard deviations by which an estimate may fall short before a candidate is dropped unconfirmed.
 SLACK = 6.0
-CENTRES_GROWTH = 4
+CENTRES_GROWTH = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -131,19 +135,58 @@ def star_centres(buckets: DataFrame, count: int) -> DataFrame:
     share = buckets.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
     rare = share.groupBy("key").agg(F.min(F.struct("share", "label")).getField("label").alias("rare"))
     placed = buckets.join(rare, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(count)))
-    first = F.min(F.struct((F.col("label") != F.col("rare")).alias("common"), "id", "n", "label"))
-    return placed.groupBy("key", "salt").agg(first.alias("c")).select("key", "c.id", "c.n", "c.label")
+    first = F.min(F.struct((F.col("label") != F.col("rare")).alias("common"), "id", "label", "n", "pos"))
+    return placed.groupBy("key", "salt").agg(first.alias("c")).select("key", "c.id", "c.label", "c.n", "c.pos")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, step: int) -> DataFrame:
+def star_pairs(buckets: DataFrame, centres: DataFrame, percent: int, placed: bool) -> DataFrame:
+    """Pairs (a < b) of a centre and a member of its bucket that aren't in one component and whose sizes allow a link.
+
+    If ``placed``, pos is the bucket's shingle's place in the document, and what follows it must allow the link too.
+    """
+    able = f"m.key = c.key and m.label != c.label and 100 * least(m.n, c.n) >= {percent} * greatest(m.n, c.n)"
+    if placed:
+        able += f" and {100 + percent} * least(m.n - m.pos, c.n - c.pos) >= {percent} * (m.n + c.n)"
+    pairs = buckets.alias("m").join(centres.alias("c"), F.expr(able))
+    return pairs.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: those whose sketches allow it, confirmed on the full sets."""
     for side in "ab":
         pairs = pairs.join(reps.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bins").alias(f"bins_{side}")), side)
-    pairs = scratch.keep(pairs.filter(may_link("bins_a", "bins_b", "n_a", "n_b", F.lit(percent))).select("a", "b").distinct(), f"likely-{step}")
-    whole = pairs
+    pairs = pairs.filter(may_link("bins_a", "bins_b", "n_a", "n_b", F.lit(percent))).select("a", "b")
     for side in "ba":
-        whole = whole.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return whole.filter(linked("text_a", "text_b", F.lit(percent))).select("a", "b").distinct()
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs.filter(linked("text_a", "text_b", F.lit(percent))).select("a", "b").distinct()
+
+
+def open_buckets(buckets: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets without their centres and with new labels, as far as they hold two components."""
+    left = buckets.drop("label").join(centres.select("key", "id"), ["key", "id"], "left_anti")
+    left = left.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    still = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return left.join(still, "key", "left_semi")
+
+
+def rare_shingle_buckets(left: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Buckets (key, id, n, label, pos) of the first shingles, rarest first, of the documents in ``left``."""
+    members = scratch.keep(left.select(F.col("id").alias("doc_id"), "n", "label").distinct(), "members")
+
+    def rows(ids: list, sizes: list, labels: list, texts: list[str]) -> list:
+        sets = [shingle_set(t).view(np.int64) for t in texts]
+        owner = np.repeat(np.arange(len(ids)), list(map(len, sets)))
+        return [np.concatenate(sets), *(pa.array(np.array(c, np.int64)[owner]) for c in (ids, sizes, labels))]
+
+    spread = scratch.keep(map_texts(texts.join(members, "doc_id"), rows, "key long, id long, n long, label long", ids=("doc_id", "n", "label")), "shingles")
+    common = scratch.keep(spread.groupBy("key").agg(F.count_distinct("id").alias("documents")).filter("documents > 1"), "common")
+    known = spread.distinct().join(common, "key")
+    # Shingles of one document come first and bring nothing together; they only use up places.
+    ordered = known.groupBy("id", "n", "label").agg(F.sort_array(F.collect_list(F.struct("documents", "key"))).alias("s"))
+    alone = (F.col("n") - F.size("s")).cast("int")
+    places = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int") - alone
+    taken = ordered.filter(places > 0).select("id", "n", "label", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), places)).alias("at", "p"))
+    return taken.select(F.col("p.key").alias("key"), "id", "n", "label", (F.col("alone") + F.col("at")).alias("pos"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -164,35 +207,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = scratch.keep(some.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi"), "reps")
 
     hits = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = scratch.keep(hits.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key"), "shared")
-    buckets = scratch.keep(hits.join(shared, "key", "left_semi").withColumn("label", F.col("id")), "buckets-0")
+    # The smallest member of each bucket is its centre; buckets of one document end here.
+    first = scratch.keep(hits.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("high")).filter("c.id < high").select("key", "c.id", "c.n", F.col("c.id").alias("label")), "centres-1")
+    buckets = scratch.keep(hits.join(first.select("key"), "key", "left_semi").withColumn("label", F.col("id")), "buckets-1")
     met = buckets.select(F.col("id").alias("doc_id")).distinct()
     texts = scratch.keep(docs.select("doc_id", text_of().alias("text")).join(met, "doc_id", "left_semi"), "texts")
 
     # A doc_id with several sets ties their classes together.
     several = sets.groupBy("doc_id").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).filter("low < high").select("doc_id")
     links = scratch.keep(sets.join(several, "doc_id").join(classes, ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links-0")
-    done, step, centres = None, 0, 1
-    while True:
+    done = scratch.keep(star_pairs(buckets, first, percent, placed=False), "pairs-1")
+    links = links.union(scratch.keep(confirmed(done, reps, texts, percent), "links-1"))
+    labels = connected_components(links, scratch, "labels-1")
+    buckets = scratch.keep(open_buckets(buckets, first, labels), "buckets-2")
+    buckets = scratch.keep(rare_shingle_buckets(buckets, texts, percent, scratch), "buckets-3")
+    nobody = first.limit(0)
+    buckets = scratch.keep(open_buckets(buckets, nobody, labels), "buckets-4")
+    scratch.drop("buckets-1", "buckets-2", "buckets-3", "shingles", "common")
+    step, count = 3, CENTRES_GROWTH
+    while not buckets.isEmpty():
         step += 1
-        chosen = scratch.keep(star_centres(buckets, centres), f"centres-{step}")
-        alike = f"100 * least(m.n, c.n) >= {percent} * greatest(m.n, c.n)"
-        pairs = buckets.alias("m").join(chosen.alias("c"), F.expr(f"m.key = c.key and m.label != c.label and {alike}"))
-        pairs = pairs.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
-        pairs = scratch.keep(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), f"pairs-{step}")
-        done = pairs if done is None else done.union(pairs)
-        links = links.union(scratch.keep(confirmed(pairs, reps, texts, percent, scratch, step), f"links-{step}"))
-        labels = connected_components(links, scratch, f"labels-{step}")
-        left = buckets.drop("label").join(chosen.select("key", "id"), ["key", "id"], "left_anti")
-        left = left.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        left = scratch.keep(left, f"left-{step}")
-        still = scratch.keep(left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), f"open-{step}")
-        buckets = scratch.keep(left.join(still, "key", "left_semi"), f"buckets-{step}")
-        scratch.drop(f"left-{step}", f"open-{step}", f"buckets-{step - 1}", f"likely-{step}", f"centres-{step}")
-        if buckets.isEmpty():
-            break
-        centres *= CENTRES_GROWTH
-    scratch.drop("texts", "reps", "shared")
+        centres = scratch.keep(star_centres(buckets, count), f"centres-{step}")
+        pairs = scratch.keep(star_pairs(buckets, centres, percent, placed=True).join(done, ["a", "b"], "left_anti"), f"pairs-{step}")
+        done = done.union(pairs)
+        new = scratch.keep(confirmed(pairs, reps, texts, percent), f"links-{step}")
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = connected_components(links, scratch, f"labels-{step}")
+        buckets = scratch.keep(open_buckets(buckets, centres, labels), f"buckets-{step + 1}")
+        scratch.drop(f"buckets-{step}", f"centres-{step}")
+        count *= CENTRES_GROWTH
+    scratch.drop("texts", "reps")
 
     found = own.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     found = found.withColumn("node", F.coalesce("rep", "doc_id"))

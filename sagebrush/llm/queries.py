@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,14 @@ from . import bpe, decontamination, licenses, line_dedup, minhash, quality, secr
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers must find this package, also where the session was started from another folder.
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
