@@ -106,7 +106,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     scratch.drop("lines", "first", "later")
     given = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     runs = runs.select(F.col("doc_id").alias("_run_id"), F.col("text_hash").alias("_run_text"), F.col("runs").alias("_runs"))
-    joined = docs.select(*given, F.xxhash64(text_of()).alias("_text_hash")).join(runs, (F.col("doc_id") == F.col("_run_id")) & (F.col("_text_hash") == F.col("_run_text")), "left")
+    # The runs grow with the documents; always merging keeps one plan for all sizes.
+    joined = docs.select(*given, F.xxhash64(text_of()).alias("_text_hash")).join(runs.hint("merge"), (F.col("doc_id") == F.col("_run_id")) & (F.col("_text_hash") == F.col("_run_text")), "left")
     joined = joined.withColumn("_lines", F.split("text", "\n", -1))
     gone = lambda i: F.exists("_runs", lambda r: (r["start"] <= i) & (i < r["end"]))
     joined = joined.withColumn("_left", F.when(F.col("_runs").isNotNull(), F.filter("_lines", lambda _, i: ~gone(i))).otherwise(F.col("_lines")))
