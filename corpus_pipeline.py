@@ -31,7 +31,10 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; ids are those of rows, so the smaller side joins by id; it grows with the documents, so it is merged, not broadcast."""
+    """One document of each group of near-duplicates.
+
+    The ids that go grow with the documents, so the join is merged at every size and never broadcast.
+    """
     gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(Scratch(spark, "pipeline").keep(gone, "gone").hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
