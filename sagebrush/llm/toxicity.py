@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Scratch, map_texts
 from .labelled import fold, sample
 
 #: Insults of a general kind, in the languages of the corpus.
@@ -92,7 +92,9 @@ class Model:
         if n == 0 or classes < 2:
             return
         self.learned = learned_lexicon(rows)
-        known = assembled(with_features(rows.withColumn("label", F.col("label").cast("long")), self.learned, ("doc_id", "label", "place")))
+        dealt = with_features(rows.withColumn("label", F.col("label").cast("long")), self.learned, ("doc_id", "label", "place"))
+        # Each round of the fit reads the features again; written once, they are not made again from the texts.
+        known = assembled(Scratch(rows.sparkSession, "toxicity").keep(dealt, "features"))
         part = F.pmod("place", F.lit(3))
         self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, subsamplingRate=0.8, seed=7, maxBins=64, featuresCol="features", labelCol="label").fit(known.filter(part != 0))
         held = self.margins(known.filter(part == 0)).select("margin", F.col("label").cast("double").alias("label"))
