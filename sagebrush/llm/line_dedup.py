@@ -1,15 +1,17 @@
-"""Line dedup by winnowing: repeated runs of lines, kept where they stand first.
+"""Line dedup by winnowing: repeated runs of words, kept where they stand first.
 
-A document is a sequence of line hashes. At each line begins a gram, the fewest lines that hold ``GRAM_WORDS`` words,
-and a window, the fewest lines that hold ``WINDOW_WORDS``. In each window the smallest gram hash among the grams that
-lie in it is a fingerprint. The choice depends on the window's lines alone, so
+A document is a sequence of word hashes. At each word begins a gram of ``GRAM_WORDS`` words. In each window of
+``WINDOW_WORDS`` words the smallest gram hash among the grams that lie in it is a fingerprint. The choice depends on
+the window's words alone, wherever lines begin and end, so
 
 - every repeated run of ``WINDOW_WORDS`` words or more has a fingerprint in common with its copy,
 - two places with the same fingerprint share a run of ``GRAM_WORDS`` words at least.
 
-Each fingerprint is joined with its first place. From there the match is extended line by line both ways, and the
-lines of the later run are deleted. A deleted line thus equals an earlier line, so the first copy of a line always
-stays; and no run of ``WINDOW_WORDS`` words that stands earlier is left.
+Each fingerprint is joined with its first place. From there the match is extended word by word both ways. The whole
+lines in a run of ``WINDOW_WORDS`` words or more are deleted; of shorter ones too, if these lines hold ``GRAM_WORDS``
+words. What a run holds of the lines in which it begins and ends stays, unless ``inside_lines`` is set: then all words
+of runs of ``WINDOW_WORDS`` words or more go that stand in an earlier document. A deleted word equals an earlier one
+with the same neighbours, so the first copy always stays.
 """
 
 from __future__ import annotations
@@ -26,46 +28,46 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts, text_of
 
 GRAM_WORDS, WINDOW_WORDS = 25, 50
-SIGN = 1 << 63
-
-def line_hashes(text: str) -> tuple[list[int], list[int]]:
-    """Hash and number of words of each line; lines are compared without white space at their ends."""
-    lines = [x.strip() for x in text.split("\n")]
-    return [xxhash.xxh3_64_intdigest(x) - SIGN for x in lines], [len(x.split()) for x in lines]
-
-def fingerprints(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> tuple[list[int], list[int], list[int]]:
-    """First line, last line (inclusive) and hash of the grams that are smallest in some window."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    n = len(hashes)
-    ends = lambda least: np.searchsorted(total, total[:-1] + least) - 1  # noqa: E731  n if the text ends before
-    gram_end, window_end = ends(gram_words), ends(window_words)
-    k = int(np.searchsorted(gram_end, n))
-    if not k:
-        return [], [], []
-    raw = np.array(hashes, np.int64)
-    grams = [xxhash.xxh3_64_intdigest(raw[i : gram_end[i] + 1].tobytes()) - SIGN for i in range(k)]
-    chosen = set()
-    for i in range(int(np.searchsorted(window_end, n))):
-        last = int(np.searchsorted(gram_end[:k], window_end[i], side="right"))
-        chosen.add(min(range(i, last), key=lambda j: (grams[j], -j)))
-    at = sorted(chosen)
-    return at, [int(gram_end[i]) for i in at], [grams[i] for i in at]
-
-def document_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, hashes, and starts, ends, grams of the fingerprints."""
+#: Base of the grams' polynomial, its inverse modulo 2 ** 64, and what spreads a sum over all bits.
+BASE = 0x9E3779B97F4A7C15
+INVERSE, MIX = pow(BASE, -1, 1 << 64), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), base, np.uint64), dtype=np.uint64)])[:n]
+
+
+def fingerprints(words: np.ndarray, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the grams that are smallest in some window; of equal ones the first."""
+    n = len(words)
+    if n < window_words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(BASE, n), dtype=np.uint64)])
+    grams = (total[gram_words:] - total[:-gram_words]) * powers(INVERSE, n - gram_words + 1)
+    grams = (grams ^ (grams >> np.uint64(32))) * MIX
+    width = window_words - gram_words + 1
+    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(n - window_words + 1)
+    at = np.unique(least)
+    return at.astype(np.int32), grams[at].view(np.int64)
+
+
+def document_marks(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, and starts, grams of the fingerprints."""
 
     def rows(ids: list, text_hashes: list, texts: list[str]) -> list:
-        out: list[list] = [[], [], [], []]
-        for text in texts:
-            hashes, words = line_hashes(text)
-            for column, x in zip(out, (hashes, *fingerprints(hashes, words)), strict=True):
-                column.append(x)
-        return [ids, text_hashes, *out]
-
-    schema = "doc_id long, text_hash long, hashes array<long>, starts array<int>, ends array<int>, grams array<long>"
+        found = [fingerprints(word_hashes(text)) for text in texts]
+        return [ids, text_hashes, [x[0] for x in found], [x[1] for x in found]]
+
+    schema = "doc_id long, text_hash long, starts array<int>, grams array<long>"
     return map_texts(docs.withColumn("text_hash", F.xxhash64(text_of())), rows, schema, ids=("doc_id", "text_hash"))
 
-def extended(a: np.ndarray, b: np.ndarray, i: int, j: int, n: int, same: bool) -> tuple[int, int]:
+
+def extended(a: np.ndarray, b: np.ndarray, i: int, j: int, n: int) -> tuple[int, int]:
     """The run around ``a[i:i + n]`` that equals the one around ``b[j:j + n]``: start and end in ``a``."""
     k = min(i, j)
     back = np.flatnonzero(a[i - k : i][::-1] != b[j - k : j][::-1])
@@ -74,44 +76,127 @@ def extended(a: np.ndarray, b: np.ndarray, i: int, j: int, n: int, same: bool) -
     ahead = np.flatnonzero(a[i + n : i + n + k] != b[j + n : j + n + k])
     return start, i + n + (int(ahead[0]) if len(ahead) else k)
 
-def extend_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        runs = [extended(r.hashes, r.hashes if r.first_hashes is None else r.first_hashes, r.start, r.first_start, r.end - r.start + 1, r.first_hashes is None) for r in batch.itertuples(index=False)]
-        yield pd.DataFrame({"doc_id": batch.doc_id, "text_hash": batch.text_hash, "start": [x[0] for x in runs], "end": [x[1] for x in runs]})
 
-def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text_hash, runs: the lines (start, end exclusive) to delete. Rows with null doc_id take no part."""
-    lines = scratch.keep(document_lines(docs.filter("doc_id is not null")).dropDuplicates(["doc_id", "text_hash"]), "lines")
-    marks = lines.select("doc_id", "text_hash", F.explode(F.arrays_zip("starts", "ends", "grams")).alias("f")).select("doc_id", "text_hash", F.col("f.starts").alias("start"), F.col("f.ends").alias("end"), F.col("f.grams").alias("gram"))
+def line_bounds(text: str) -> np.ndarray:
+    """The number of words before each line, and of all words."""
+    return np.concatenate([[0], np.cumsum([len(x.split()) for x in text.split("\n")])])
+
+
+def common_runs(text: str, first_text: str | None, at: list[int], inside_lines: bool) -> set[tuple[int, int]]:
+    """Runs of words of ``text`` to delete; whole lines only, unless ``inside_lines`` is set.
+
+    ``at``: a start in it and the start of the same gram in ``first_text`` (None: an equal text), in turn.
+    """
+    a = word_hashes(text)
+    b = a if first_text is None else word_hashes(first_text)
+    bounds, runs, upto = line_bounds(text), set(), {}
+    for i, j in sorted(zip(at[::2], at[1::2], strict=True)):
+        # Matches on one diagonal that lie in a run extend to the same run.
+        if i < upto.get(i - j, 0) or not np.array_equal(a[i : i + GRAM_WORDS], b[j : j + GRAM_WORDS]):
+            continue
+        start, end = extended(a, b, i, j, GRAM_WORDS)
+        upto[i - j] = end
+        n = end - start
+        if n < WINDOW_WORDS or not inside_lines:
+            start, end = int(bounds[np.searchsorted(bounds, start)]), int(bounds[np.searchsorted(bounds, end, side="right") - 1])
+        if end - start >= (1 if n >= WINDOW_WORDS else GRAM_WORDS):
+            runs.add((start, end))
+    return runs
+
+
+def extend_matches(batches: Iterator[pa.RecordBatch], inside_lines: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+            runs = sorted(common_runs(r["text"], r["first_words"], r["at"], inside_lines and r["doc_id"] != r["first_id"]))
+            if runs:
+                ends = [pa.array([x[e] for x in runs], pa.int32()) for e in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c]] * len(runs), pa.int64()) for c in ("doc_id", "text_hash")] + ends, names=["doc_id", "text_hash", "start", "end"])
+
+
+def repeated_runs(docs: DataFrame, scratch: Scratch, inside_lines: bool = False) -> DataFrame:
+    """doc_id, text_hash, runs: the words (start, end exclusive, in turn) to delete. Rows with null doc_id take no part."""
+    docs = docs.filter("doc_id is not null").select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    kept = scratch.keep(document_marks(docs), "marks")
+    marks = kept.select("doc_id", "text_hash", F.explode(F.arrays_zip("starts", "grams")).alias("f")).select("doc_id", "text_hash", F.col("f.starts").alias("start"), F.col("f.grams").alias("gram"))
     place = F.struct("doc_id", "text_hash", "start")
     first = scratch.keep(marks.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("gram", "first"), "first")
     later = marks.join(first, "gram").filter(place != F.col("first"))
-    # Matches on one diagonal of one pair extend to the same run if they touch; one of each gram run is enough to try.
-    later = scratch.keep(later.select("doc_id", "text_hash", "start", "end", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_text"), F.col("first.start").alias("first_start")), "later")
-    theirs = lines.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text"), F.col("hashes").alias("first_hashes"))
-    both = later.join(theirs, ["first_id", "first_text"]).join(lines.select("doc_id", "text_hash", "hashes"), ["doc_id", "text_hash"])
-    runs = both.select("doc_id", "text_hash", "start", "end", "first_start", "hashes", "first_hashes").mapInPandas(extend_matches, "doc_id long, text_hash long, start int, end int")
-    return runs.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, later repeated runs of lines deleted from text; adds n_lines and n_deleted.
-
-    Order is by doc_id, then by line. Rows of one doc_id and the same text are one document; if their texts differ,
+    # A pair of documents is compared once, at all the places that its fingerprints give.
+    later = later.groupBy("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_text"))
+    later = scratch.keep(later.agg(F.flatten(F.collect_set(F.array("start", "first.start"))).alias("at")), "later")
+    ids = later.select("doc_id", "text_hash").union(later.select("first_id", "first_text")).distinct()
+    texts = scratch.keep(docs.join(ids.hint("merge"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]), "texts")
+    theirs = texts.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text"), F.col("text").alias("first_words"))
+    # Copies of a whole text need no second one.
+    both = later.join(theirs, ["first_id", "first_text"]).withColumn("first_words", F.when(F.col("text_hash") != F.col("first_text"), F.col("first_words"))).join(texts, ["doc_id", "text_hash"])
+    runs = both.select("doc_id", "text_hash", "first_id", "text", "first_words", "at").mapInArrow(lambda batches: extend_matches(batches, inside_lines), "doc_id long, text_hash long, start int, end int")
+    return runs.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set(F.array("start", "end"))).alias("runs"))
+
+
+def cut(text: str, runs: list[int]) -> tuple[str, int]:
+    """``text`` without the words of ``runs``, and the number of lines that go whole.
+
+    A line goes if all its words do, a blank one if it lies inside a run. What is left of other lines stays as it is,
+    with the white space on one side of a gap.
+    """
+    lines = text.split("\n")
+    bounds = line_bounds(text)
+    gone, inside = np.zeros(bounds[-1], bool), np.zeros(bounds[-1] + 1, bool)
+    for s, e in zip(runs[::2], runs[1::2], strict=True):
+        gone[s:e] = True
+        inside[s + 1 : e] = True
+    left = []
+    for line, s, e in zip(lines, bounds, bounds[1:], strict=False):
+        if (gone[s:e].all() if e > s else inside[s]):
+            continue
+        if gone[s:e].any():
+            line = without_words(line, gone[s:e])
+        left.append(line)
+    return "\n".join(left), len(lines) - len(left)
+
+
+def without_words(line: str, gone: np.ndarray) -> str:
+    out, at = [], 0
+    for word, g in zip(line.split(), gone, strict=True):
+        start = line.index(word, at)
+        end = start + len(word)
+        if not g:
+            # After a gap, the white space before the word stays only if nothing stands before it.
+            out.append(line[at:end])
+        elif not out:
+            out.append(line[at:start])
+        at = end
+    if not gone[-1]:
+        out.append(line[at:])
+    text = "".join(out)
+    return text.lstrip() if gone[0] else text
+
+
+def without_repeats(docs: DataFrame, inside_lines: bool = False) -> DataFrame:
+    """``docs`` with all its columns, the lines of later repeated runs deleted from text; adds n_lines and n_deleted.
+
+    n_deleted counts the lines that go whole. A run that begins or ends inside a line leaves that line as it is; with
+    ``inside_lines`` it leaves only the rest of it.
+    Order is by doc_id, then by word. Rows of one doc_id and the same text are one document; if their texts differ,
     the one with the smaller hash counts as earlier. Rows with null doc_id and null or empty texts stay as they are
     (n_deleted 0; a null text has 0 lines). A text may become empty. Clashing columns called n_lines or n_deleted are
     replaced. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    runs = scratch.keep(repeated_runs(docs, scratch), "runs")
-    scratch.drop("lines", "first", "later")
+    runs = scratch.keep(repeated_runs(docs, scratch, inside_lines), "runs")
+    scratch.drop("marks", "first", "later", "texts")
     given = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     runs = runs.select(F.col("doc_id").alias("_run_id"), F.col("text_hash").alias("_run_text"), F.col("runs").alias("_runs"))
+
+    @F.pandas_udf("text string, n long")
+    def shortened(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(t, 0) if r is None else cut(t, r) for t, r in zip(texts, runs, strict=True)], columns=["text", "n"])
+
     # The runs grow with the documents; always merging keeps one plan for all sizes.
     joined = docs.select(*given, F.xxhash64(text_of()).alias("_text_hash")).join(runs.hint("merge"), (F.col("doc_id") == F.col("_run_id")) & (F.col("_text_hash") == F.col("_run_text")), "left")
-    joined = joined.withColumn("_lines", F.split("text", "\n", -1))
-    gone = lambda i: F.exists("_runs", lambda r: (r["start"] <= i) & (i < r["end"]))
-    joined = joined.withColumn("_left", F.when(F.col("_runs").isNotNull(), F.filter("_lines", lambda _, i: ~gone(i))).otherwise(F.col("_lines")))
-    before, after = (F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("_lines", "_left"))
-    text = F.when(F.col("_runs").isNotNull(), F.array_join("_left", "\n")).otherwise(F.col("text"))
-    size = F.when(F.col("text").isNull(), 0).otherwise(before)
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in given), size.alias("n_lines"), F.when(F.col("_runs").isNotNull(), before - after).otherwise(0).alias("n_deleted"))
+    some = F.col("_runs").isNotNull()
+    joined = joined.withColumn("_left", shortened(F.when(some, F.col("text")), F.col("_runs")))
+    text = F.when(some, F.col("_left.text")).otherwise(F.col("text"))
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in given), size.alias("n_lines"), F.when(some, F.col("_left.n")).otherwise(0).cast("long").alias("n_deleted"))

@@ -129,3 +129,27 @@ def test_licenses_with_a_word_dropped(spark):
     found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[0].labels == "bsd" and found[0].base_labels == "" and found[0].score >= 0.9
     assert found[1].base_labels == "cc-by,mit" and (found[1].first_word, found[1].last_word) == (2, 5)
+
+
+def test_passages_inside_lines_go(spark):
+    """A passage of 50 words that begins and ends inside lines, over one, two and three lines."""
+    passage = [f"p{i}" for i in range(50)]
+    own = lambda d, part: " ".join(f"own{d}{part}{i}" for i in range(30))
+    rows = [(0, f"{own(0, 'a')} {' '.join(passage)} {own(0, 'b')}")]
+    rows += [(k, f"{own(k, 'a')} " + "\n".join(" ".join(passage[50 * i // k : 50 * (i + 1) // k]) for i in range(k)) + f" {own(k, 'b')}") for k in (1, 2, 3)]
+    rows += [(4, f"{own(4, 'a')} {' '.join(passage[:49])} {own(4, 'b')}")]
+    found = {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), inside_lines=True).collect()}
+    assert found[0] == (rows[0][1], 1, 0) and found[4] == (rows[4][1], 1, 0)
+    assert found[1] == (f"{own(1, 'a')} {own(1, 'b')}", 1, 0)
+    assert found[2] == (f"{own(2, 'a')}\n{own(2, 'b')}", 2, 0)
+    assert found[3] == (f"{own(3, 'a')}\n{own(3, 'b')}", 3, 1)
+    found = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.without_repeats(spark.createDataFrame(rows + [(5, rows[3][1])], "doc_id long, text string").filter("doc_id in (3, 5) or doc_id = 1")).collect()}
+    assert found[1] == (rows[1][1], 0) and found[5] == ("", 3)
+
+
+def test_whole_lines_of_a_passage_go(spark):
+    """Of a passage of 50 words that begins and ends inside lines, the whole lines go, few as their words are."""
+    lines = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 20), ("b", 10), ("c", 20))]
+    rows = [(d, f"own{d} {lines[0]}\n{lines[1]}\n{lines[2]} end{d}") for d in range(2)]
+    found = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: (rows[0][1], 0), 1: (f"own1 {lines[0]}\n{lines[2]} end1", 1)}
