@@ -55,11 +55,18 @@ def interleaved_batches(df: DataFrame, stratum: str, size: int, seed: int, id_co
     return placed.withColumn("n", full).filter(F.col("n") == size).drop("n")
 
 
+def first_of_combinations(df: DataFrame, group: str, dimensions: list[str], n: int, id_column: str) -> DataFrame:
+    """The ``n`` smallest ids of each combination of values in each group."""
+    place = F.row_number().over(Window.partitionBy(group, *dimensions).orderBy(F.asc_nulls_last(id_column)))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
 def diverse(df: DataFrame, group: str, dimensions: list[str], target: int, id_column: str) -> DataFrame:
     """Greedy choice of ``target`` rows of each group: always the row whose values have been used least so far.
 
-    Usage is compared dimension by dimension, ties by id. Choices depend on each other, so a group is one task; give
-    it groups of bounded size (see :func:`diverse_rounds` for others).
+    Usage is compared dimension by dimension, ties by id. Choices depend on each other, so a group is one task. Rows of
+    one combination of values are taken by id, so ``target`` of each are all that it reads: its size is bounded by the
+    number of combinations (see :func:`diverse_rounds` where these are many).
     """
     schema = df.schema
 
@@ -76,7 +83,7 @@ def diverse(df: DataFrame, group: str, dimensions: list[str], target: int, id_co
                 u[v] += 1
         return rows.iloc[taken]
 
-    return df.groupBy(group).applyInPandas(choose, schema)
+    return first_of_combinations(df, group, dimensions, target, id_column).groupBy(group).applyInPandas(choose, schema)
 
 
 def diverse_rounds(df: DataFrame, group: str, dimensions: list[str], target: int, id_column: str) -> DataFrame:

@@ -159,6 +159,6 @@ def q_pairs_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_diverse_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy choice of parts of each size that spreads over brands and types; sizes bound the groups here."""
+    """Greedy choice of parts of each size that spreads over brands and types, whose combinations bound the groups."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type")
     return diverse(p, "p_size", ["p_brand", "p_type"], 10, "p_partkey")

@@ -91,6 +91,21 @@ def test_diverse(spark):
         assert len(taken) == 4 and sum(r.x == "b" for r in taken) == 2
 
 
+def test_diverse_reads_bounded_groups(spark):
+    """A hot group is cut to a few rows of each combination before it goes to one task, and the choice stays exact."""
+    rows = [(i, 0, "abc"[i * i % 3], i % 5 // 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g int, x string, y int")
+    chosen = diverse(df, "g", ["x", "y"], 7, "id")
+    assert "WindowGroupLimit" in chosen._jdf.queryExecution().executedPlan().toString()
+    used, wanted = {}, []
+    while len(wanted) < 7:
+        best = min((r for r in rows if r not in wanted), key=lambda r: (used.get(("x", r[2]), 0), used.get(("y", r[3]), 0), r[0]))
+        wanted.append(best)
+        for k in (("x", best[2]), ("y", best[3])):
+            used[k] = used.get(k, 0) + 1
+    assert sorted(map(tuple, chosen.collect())) == sorted(wanted)
+
+
 def test_order_statistics(spark):
     r = order_statistics(spark.range(1, 101).toDF("v"), "v").first()
     assert (r.n, r.p95, r.max_value) == (100, 96, 100)
