@@ -114,8 +114,13 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
 
 
 def only_good(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """``docs`` with all its columns, without the rows that the classifier rejects."""
+    """``docs`` with all its columns, without the rows that the classifier rejects.
+
+    Without usable labels the fit has no rows and leaves all weights 0; nothing is rejected then.
+    """
     weights = fit(sample(docs, labels, "quality", folds, held_out, SAMPLE_ROWS))
+    if not weights.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")

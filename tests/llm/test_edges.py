@@ -153,3 +153,8 @@ def test_whole_lines_of_a_passage_go(spark):
     rows = [(d, f"own{d} {lines[0]}\n{lines[1]}\n{lines[2]} end{d}") for d in range(2)]
     found = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {0: (rows[0][1], 0), 1: (f"own1 {lines[0]}\n{lines[2]} end1", 1)}
+
+
+def test_good_without_labels_keeps_all(docs, labels):
+    for none in (labels.limit(0), labels.filter("quality is null")):
+        assert quality.only_good(docs, none).count() == len(ROWS)
