@@ -2,17 +2,24 @@
 
 A rank file lists byte strings in the order of their merges. The library's BPE model works on text, so each byte
 stands for one printable character (the byte table); the model's vocabulary is the rank file written in those
-characters. Every split of a token into two earlier tokens is one of its merges, which makes the model join the same
-neighbours as a rank-driven merge does.
+characters. Every split of a token into two tokens is one of its merges, in the order of ranks.
+
+A rank-driven merge always joins the neighbours that make the token of the lowest rank, the leftmost of several. The
+library does so too, but if one token can be made at several places from different halves, it takes the halves that
+its list of merges names first, wherever they stand. That changes the outcome only if the two places overlap, or if
+one of the joins makes a pair of a lower rank possible. Pieces in which that can happen hold one of a fixed set of byte
+strings; an automaton finds them, and they are merged by rank here. All others go to the library.
 
 Texts are split by the pattern first, and each piece is encoded by itself. A worker keeps the ids of pieces it has
-seen, up to a bound; one call of the library encodes all new pieces of a slice.
+seen, up to a bound; one call of the library encodes all new pieces of a text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -42,20 +49,19 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str):
         import regex
-        from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
         chars = byte_table()
         self.table = str.maketrans({c: chr(b) for b, c in enumerate(chars)})
         spell = lambda b: "".join([chars[x] for x in b])
-        merges = []
-        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-            splits = [(ranks[token[:i]], ranks[token[i:]], i) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-            merges += [(spell(token[:i]), spell(token[i:])) for a, b, i in sorted(splits) if a < rank and b < rank]
+        self.ranks = ranks
+        splits = {t: [i for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks] for t in sorted(ranks, key=ranks.__getitem__)}
+        merges = [(spell(t[:i]), spell(t[i:])) for t, at in splits.items() for i in at]
+        self.doubtful = doubtful_strings(ranks, splits)
         self.tokenizer = Tokenizer(models.BPE(vocab={spell(b): r for b, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tokenizer.decoder = decoders.ByteLevel()
         self.split = regex.compile(pattern).findall
         self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.n_bytes[list(ranks.values())] = [len(b) for b in ranks]
@@ -63,6 +69,18 @@ class ByteBpe:
         self.bytes_of = {r: self.tokenizer.id_to_token(r).translate(self.table).encode("latin-1") for r in ranks.values()}
         self.ids_of: dict[str, tuple[int, ...]] = {}
 
+    def is_doubtful(self, piece: str) -> bool:
+        """Whether the library's order of merges may matter in a piece."""
+        raw = piece.encode()
+        if self.doubtful is None or len(raw) < 3 or raw in self.ranks:
+            return False
+        seen = Counter()
+        for _, (string, least) in self.doubtful.iter(raw.decode("latin-1")):
+            seen[string] += 1
+            if seen[string] == least:
+                return True
+        return False
+
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces not seen yet into the cache, by one call of the library."""
         new = [p for p in pieces if p not in self.ids_of]
@@ -71,6 +89,9 @@ class ByteBpe:
         if len(self.ids_of) + len(new) > CACHE_PIECES:
             self.ids_of.clear()
             new = list(pieces)
+        for piece in filter(self.is_doubtful, new):
+            self.ids_of[piece] = tuple(merged_by_rank(piece.encode(), self.ranks))
+        new = [p for p in new if p not in self.ids_of]
         found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids, words = found.ids, np.array(found.word_ids)
         ends = np.searchsorted(words, np.arange(len(new)), side="right").tolist()
@@ -107,6 +128,61 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def doubtful_strings(ranks: dict[bytes, int], splits: dict[bytes, list[int]]):
+    """An automaton of the strings (bytes as Latin-1) that make a piece doubtful, and how often each must stand in it."""
+    import ahocorasick
+
+    below = {part for t, at in splits.items() for i in at for part in (t[:i], t[i:]) if ranks[part] > ranks[t]}
+    least: dict[bytes, int] = {}
+    for token, at in splits.items():
+        n = len(token)
+        # Both places of an overlap: the token, and once more from where its own beginning ends it.
+        for b in at:
+            if n - b in at and token[:b] == token[n - b :]:
+                least[token + token[b:]] = 1
+        if len(at) > 1 and token in below:
+            least.setdefault(token, 2)
+    if not least:
+        return None
+    found = ahocorasick.Automaton()
+    for string, n in least.items():
+        found.add_word(string.decode("latin-1"), (string, n))
+    found.make_automaton()
+    return found
+
+
+def merged_by_rank(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece: the neighbours that make the token of the lowest rank are joined, the leftmost first."""
+    if raw in ranks:
+        return [ranks[raw]]
+    end = list(range(1, len(raw) + 1))
+    before = list(range(-1, len(raw) - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and end[i] < len(raw) and (rank := ranks.get(raw[i : end[end[i]]])) is not None:
+            heapq.heappush(heap, (rank, i, end[end[i]]))
+
+    for i in range(len(raw) - 1):
+        offer(i)
+    while heap:
+        _, i, upto = heapq.heappop(heap)
+        # Parts that were joined meanwhile have no end, or another one.
+        if not end[i] or end[i] >= len(raw) or end[end[i]] != upto:
+            continue
+        gone = end[i]
+        end[i], end[gone] = upto, 0
+        if upto < len(raw):
+            before[upto] = i
+        offer(i)
+        offer(before[i])
+    ids, i = [], 0
+    while i < len(raw):
+        ids.append(ranks[raw[i : end[i]]])
+        i = end[i]
+    return ids
+
+
 @lru_cache(maxsize=4)
 def coder(path: str, pattern: str) -> ByteBpe:
     """The coder of a rank file, built once in each Python worker."""

@@ -70,3 +70,25 @@ def edit_distance_within(item: str, text: str) -> int:
             new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (x != c)))
         row, best = new, min(best, new[-1])
     return best
+
+
+def sections(text: str, tokens: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+    """Line, start, end, tokens and crossing tokens; a token goes where most of its characters are, else to the earlier line."""
+    lines, at = [], 0
+    while True:
+        end = text.find("\n", at) + 1
+        if not end or end == len(text):
+            lines.append((at, len(text)))
+            break
+        lines.append((at, end))
+        at = end
+    line_of = [k for k, (s, e) in enumerate(lines) for _ in range(s, e)]
+    char_of = [c for c, x in enumerate(text) for _ in x.encode()]
+    counts, crossing, b = [0] * len(lines), [0] * len(lines), 0
+    for t in tokens:
+        held = Counter(line_of[c] for c in dict.fromkeys(char_of[b : b + len(t)]))
+        owner = min(held, key=lambda k: (-held[k], k))
+        counts[owner] += 1
+        crossing[owner] += len(held) > 1
+        b += len(t)
+    return [(k, s, e, counts[k], crossing[k]) for k, (s, e) in enumerate(lines)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import zlib
 
 import brute
@@ -13,7 +14,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 
-from sagebrush.llm import decontamination
+from sagebrush.llm import bpe, decontamination
 from sagebrush.llm.queries import ORACLES, QUERIES, VOCABULARY
 
 
@@ -66,6 +67,30 @@ def test_bpe(result, docs):
         assert found.decoded_sha256[i] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_on_mixed_strings():
+    """10,000 strings of mixed scripts, combining marks, repeated characters and random tokens give tiktoken's ids."""
+    import tiktoken
+
+    own = bpe.coder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng, tokens = random.Random(5), list(own.ranks)
+    scripts = [(0x20, 0x7E), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x4FF), (0x590, 0x6FF), (0x900, 0x97F), (0x1E00, 0x2FFF), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1F6FF)]
+    makers = [
+        lambda: "".join(chr(rng.randint(*rng.choice(scripts))) for _ in range(rng.randint(1, 80))),
+        lambda: "".join(rng.choice("abeinrst ") for _ in range(rng.randint(1, 80))),
+        lambda: "".join(rng.choice("a.!=-\n \t0") * rng.randint(1, 9) for _ in range(rng.randint(1, 20))),
+        lambda: b"".join(rng.choices(tokens, k=rng.randint(1, 12))).decode("utf-8", "ignore"),
+    ]
+    doubtful = 0
+    for i in range(10_000):
+        text = makers[i % 4]()
+        (ids,) = own.encode([text])
+        assert ids == theirs.encode_ordinary(text), text
+        assert own.decode(ids).decode() == text
+        doubtful += any(map(own.is_doubtful, own.split(text)))
+    assert doubtful > 100
+
+
 def test_decontamination(result, docs, sf):
     items = pd.read_parquet(f"{sf}/benchmark.parquet")
     found = result("op4_decontamination")
@@ -92,6 +117,13 @@ def test_licenses(result, docs):
 
 def test_token_counts(result, docs):
     found = result("op6_token_counts")
+    own = bpe.coder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    tokens = {r: b for b, r in own.ranks.items()}
+    columns = ["section", "char_start", "char_end", "n_tokens", "n_crossing"]
+    by_doc = {i: sorted(map(tuple, g[columns].to_numpy().tolist())) for i, g in found.groupby("doc_id")}
+    for i, text in zip(docs.doc_id, docs.text.fillna(""), strict=True):
+        (ids,) = own.encode([text])
+        assert by_doc[i] == brute.sections(text, [tokens[t] for t in ids])
     whole = result("op3_byte_bpe").set_index("doc_id").n_tokens
     assert dict(found.groupby("doc_id").n_tokens.sum()) == dict(whole)
     lines = {i: max(1, t.count("\n") + (not t.endswith("\n"))) for i, t in zip(docs.doc_id, docs.text.fillna(""), strict=True)}
