@@ -86,16 +86,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op7_exact_topk": """
         WITH fine AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) AS place, vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
         scores AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            SELECT q.place AS place, q.vec_id AS query_id, c.vec_id AS vec_id,
                    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-            FROM fine q JOIN fine c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+            FROM fine q JOIN fine c ON c.place <> q.place AND len(c.v) = len(q.v)
             WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores)
+        FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS r FROM scores)
         WHERE r <= 5""",
 }

@@ -116,10 +116,18 @@ def test_secrets(spark):
 
 
 def test_topk(spark):
-    rows = [(0, [0.5, 0.5]), (50, [1.0, -1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, []), (1, [0.5, 0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    # Row 1 stands twice, with other components; so does query 50, whose rows are candidates of each other.
+    rows = [(0, [0.5, 0.5]), (50, [1.0, -1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, []), (1, [2.0, 2.0]), (50, [1.0, 1.0]), (7, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = df.select("*", *(F.lit("x").alias(c) for c in ("score", "row", "block", "size", "asks", "vector", "rank")))
     found = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, k=5).collect())
-    assert found == [(0, 1, 1, 32768), (0, 2, 2, 32768), (0, 3, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+    fine = [(i, [int(256 * x // 1) for x in v]) for i, v in rows if i is not None and v and all(x is not None and x == x for x in v)]
+    wanted = []
+    for q, (i, v) in enumerate(fine):
+        if i % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for c, (j, w) in enumerate(fine) if c != q and len(w) == len(v))
+            wanted += [(i, rank, j, -s) for rank, (s, j) in enumerate(scores[:5], 1)]
+    assert found == sorted(wanted)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -158,3 +166,21 @@ def test_whole_lines_of_a_passage_go(spark):
 def test_good_without_labels_keeps_all(docs, labels):
     for none in (labels.limit(0), labels.filter("quality is null")):
         assert quality.only_good(docs, none).count() == len(ROWS)
+
+
+def test_topk_in_several_blocks(spark, monkeypatch):
+    """Blocks of few rows, batches of few queries, ties and repeated rows give the same ranks as sorting all scores."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-6, 7, (500, 12)) / 4
+    ids = [int(x) for x in rng.integers(0, 300, 500)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, k=5).collect())
+    ints = np.floor(256 * vectors).astype(int)
+    wanted = []
+    for q in (q for q in range(500) if ids[q] % 50 == 0):
+        scores = sorted((-int(ints[q] @ ints[c]), ids[c]) for c in range(500) if c != q)
+        wanted += [(ids[q], rank, j, -s) for rank, (s, j) in enumerate(scores[:5], 1)]
+    assert found == sorted(wanted)
