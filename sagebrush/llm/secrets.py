@@ -1,15 +1,18 @@
 """Secret scans with DataFrame functions only: known shapes, and strings of high entropy.
 
 Known shapes are regular expressions. Other candidates are long runs of key characters that mix letters and digits.
-A window slides over each; the counts of its characters, and the sum of c * log2(c) over them, change by the one
-character that leaves and the one that enters, so each step costs the same. A candidate is a secret if a window's
-Shannon entropy reaches the threshold of the candidate's character class and no allow-listed pattern fits it.
+A window slides over each. One character leaves and one enters at a time, and each of them changes one count and the
+sum of c * log2(c) over all counts, so a step costs the same wherever it is, and a candidate's time is in proportion to
+its length. The counts are the characters of a string, one for each letter of the alphabet, of which a step overlays
+one. A candidate is a secret if a window's Shannon entropy reaches the threshold of the candidate's character class and
+no allow-listed pattern fits it.
 
 Everything is an expression over one row: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +37,8 @@ ALLOWED = [
     r"0123456789|abcdefghij|ABCDEFGHIJ",
 ]
 KINDS = ["assign", "access", "hex", "entropy"]
+#: The character that stands for a count of 0.
+ZERO = 48
 
 
 def found_spans(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -56,23 +61,32 @@ def found_spans(text: Column, pattern: str, kind: str, keep: Callable[[Column],
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda state: state["found"])).otherwise(none)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once for a row, however often ``use`` and its lambdas read it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any ``window`` neighbouring characters."""
+    """The highest Shannon entropy, in bits, of any ``window`` neighbouring characters; 0 for a shorter candidate."""
+    weights = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)))
     codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    weigh = lambda n: F.when(n > 0, n * F.log2(F.greatest(n, F.lit(1)).cast("double"))).otherwise(0.0)
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"))
+    start = F.struct(F.lit(chr(ZERO) * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("size"), F.lit(0.0).alias("peak"))
+
+    def step(state: Column, moved: Column) -> Column:
+        """``moved``: the letter that enters, or minus the one that leaves."""
+        letter, change = F.abs(moved), F.signum(moved).cast("int")
+        n = F.ascii(F.substring(state["counts"], letter, F.lit(1))) - ZERO
+        total = state["sum"] + F.element_at(weights, n + change + 1) - F.element_at(weights, n + 1)
+        size = state["size"] + change
+        bits = F.when(size == window, math.log2(window) - total / window).otherwise(0.0)
+        counts = F.overlay(state["counts"], F.char(n + change + ZERO), letter, F.lit(1))
+        return F.struct(counts.alias("counts"), total.alias("sum"), size.alias("size"), F.greatest(state["peak"], bits).alias("peak"))
 
-    def step(state: Column, i: Column) -> Column:
-        enters = F.element_at(codes, i)
-        leaves = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(0)
-        was_out = F.when(leaves > 0, F.element_at(state["counts"], F.greatest(leaves, F.lit(1)))).otherwise(0)
-        was_in = F.element_at(state["counts"], enters) - (leaves == enters).cast("int")
-        total = state["sum"] - weigh(was_out) + weigh(was_out - 1) - weigh(was_in) + weigh(was_in + 1)
-        counts = F.transform(state["counts"], lambda n, j: n + (j + 1 == enters).cast("int") - (j + 1 == leaves).cast("int"))
-        bits = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(0.0)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(state["peak"], bits).alias("peak"))
+    def fold(codes: Column) -> Column:
+        moves = F.flatten(F.transform(codes, lambda c, i: F.when(i >= window, F.array(-F.get(codes, i - window), c)).otherwise(F.array(c))))
+        return F.aggregate(moves, start, step, lambda state: state["peak"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda state: state["peak"])
+    return let(codes, fold)
 
 
 def is_random(candidate: Column) -> Column:
@@ -81,7 +95,8 @@ def is_random(candidate: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
-    return F.when(mixes & ~allowed, peak_entropy(candidate) >= least).otherwise(False)
+    # Sums of logarithms are rounded, so that a window right at the threshold doesn't depend on the order of its steps.
+    return F.when(mixes & ~allowed, F.round(peak_entropy(candidate), 9) >= least).otherwise(False)
 
 
 def spelled(spans: Column) -> Column:

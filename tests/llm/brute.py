@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -60,6 +61,19 @@ def secrets(text: str | None) -> tuple:
     return len(a), len(b), len(c), hashlib.sha256(spans.encode()).hexdigest(), spans
 
 
+def random_spans(text: str | None, window: int, thresholds: dict[str, float], allowed: list[str]) -> list[tuple[int, int]]:
+    """Candidates in which some window reaches the entropy of their class, each window counted anew."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+        s = m[0]
+        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or any(re.search(p, s) for p in allowed):
+            continue
+        least = thresholds["hex" if re.fullmatch("[0-9a-fA-F]+", s) else "base64"]
+        if any(round(-sum(n / window * math.log2(n / window) for n in Counter(s[i : i + window]).values()), 9) >= least for i in range(len(s) - window + 1)):
+            out.append(m.span())
+    return out
+
+
 def edit_distance_within(item: str, text: str) -> int:
     """Least edits between ``item`` and any part of ``text``, by the whole matrix."""
     row = list(range(len(item) + 1))

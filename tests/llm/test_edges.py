@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import brute
 import public_tokenizers
 import pytest
@@ -115,6 +118,25 @@ def test_secrets(spark):
     assert found[2].spans == brute.secrets(rows[2][1])[-1] and found[2].n_assign == 1 and found[2].n_access == 1
 
 
+def test_entropy_of_long_candidates(spark):
+    """Time grows with a candidate's length, not with its square, and every window counts."""
+    rng = random.Random(1)
+    dull = "ab1" * 200
+    key = "".join(rng.choices(secrets.ALPHABET[:62], k=24))
+    long = "".join(rng.choices("abcdefgh12345678", k=100_000))
+    texts = [dull, dull + key + dull, key[:19], key[:20], long, "x " * 5000 + key, "f0" * 60, "deadbeef01234c5678a9" * 2, "é" * 30 + key]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    df.count()
+    began = time.perf_counter()
+    found = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    assert time.perf_counter() - began < 15
+    for i, text in enumerate(texts):
+        wanted = brute.random_spans(text, secrets.WINDOW, secrets.THRESHOLDS, secrets.ALLOWED)
+        base = brute.secrets(text)[-1]
+        spans = [s for s in found[i].split(",") if s.startswith("entropy")]
+        assert spans == [f"entropy:{s}:{e}" for s, e in wanted if f"hex:{s}:{e}" not in base]
+
+
 def test_topk(spark):
     # Row 1 stands twice, with other components; so does query 50, whose rows are candidates of each other.
     rows = [(0, [0.5, 0.5]), (50, [1.0, -1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, []), (1, [2.0, 2.0]), (50, [1.0, 1.0]), (7, [1.0, 1.0, 1.0])]

@@ -16,6 +16,7 @@ import pytest
 
 from sagebrush.llm import bpe, decontamination
 from sagebrush.llm.queries import ORACLES, QUERIES, VOCABULARY
+from sagebrush.llm.secrets import ALLOWED, KINDS, THRESHOLDS, WINDOW
 
 
 @pytest.fixture(scope="module")
@@ -168,4 +169,6 @@ def test_secrets(result, docs):
         r = found.loc[i]
         *counts, spans = brute.secrets(text)
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == tuple(counts)
-        assert set(spans.split(",")) - {""} <= set(r.spans.split(","))
+        known = sorted((int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x))
+        random = [(s, 3, e) for s, e in brute.random_spans(text, WINDOW, THRESHOLDS, ALLOWED) if not any(a <= s and e <= b for a, _, b in known)]
+        assert r.spans == ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(known + random))
