@@ -2,22 +2,22 @@
 
 A document is a sequence of word hashes. At each word begins a gram of ``GRAM_WORDS`` words. In each window of
 ``WINDOW_WORDS`` words the smallest gram hash among the grams that lie in it is a fingerprint. The choice depends on
-the window's words alone, wherever lines begin and end, so
-
-- every repeated run of ``WINDOW_WORDS`` words or more has a fingerprint in common with its copy,
-- two places with the same fingerprint share a run of ``GRAM_WORDS`` words at least.
-
-Each fingerprint is joined with its first place. From there the match is extended word by word both ways. The whole
-lines in a run of ``WINDOW_WORDS`` words or more are deleted; of shorter ones too, if these lines hold ``GRAM_WORDS``
-words. What a run holds of the lines in which it begins and ends stays, unless ``inside_lines`` is set: then all words
-of runs of ``WINDOW_WORDS`` words or more go that stand in an earlier document. A deleted word equals an earlier one
-with the same neighbours, so the first copy always stays.
+the window's words alone, wherever lines begin and end, so every repeated run of ``WINDOW_WORDS`` words or more has a
+fingerprint in common with its copy.
+
+Fingerprints that stand once in all documents are left behind. The others are extended both ways, over all windows of
+which they are the minimum, and these windows are joined by their content. Every window but the first of its content
+is part of a later repeated run; neighbouring ones unite to the whole run. So a word is deleted if, and only if, some
+window that holds it stands in an earlier document or earlier in its own. The first copy of each window stays, whatever
+other places share its fingerprints.
+
+Documents with equal texts are one, so that thousands of copies bring no windows of their own. Everything is grouped by
+content with sums and minima that are combined before the shuffle, and joined by document only: a passage that stands
+everywhere is no hot key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts, text_of
 
 GRAM_WORDS, WINDOW_WORDS = 25, 50
-#: Base of the grams' polynomial, its inverse modulo 2 ** 64, and what spreads a sum over all bits.
-BASE = 0x9E3779B97F4A7C15
-INVERSE, MIX = pow(BASE, -1, 1 << 64), np.uint64(0xD6E8FEB86659FD93)
+#: Bases of the polynomials of grams and of windows.
+GRAM_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Spreads a sum over all bits.
+MIX = np.uint64(0xD6E8FEB86659FD93)
+TEXT_KEY = ["doc_id", "text_a", "text_b"]
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -42,39 +44,100 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), base, np.uint64), dtype=np.uint64)])[:n]
 
 
-def fingerprints(words: np.ndarray, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the grams that are smallest in some window; of equal ones the first."""
+def run_hashes(words: np.ndarray, length: int, base: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` words."""
     n = len(words)
-    if n < window_words:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(BASE, n), dtype=np.uint64)])
-    grams = (total[gram_words:] - total[:-gram_words]) * powers(INVERSE, n - gram_words + 1)
-    grams = (grams ^ (grams >> np.uint64(32))) * MIX
-    width = window_words - gram_words + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(n - window_words + 1)
-    at = np.unique(least)
-    return at.astype(np.int32), grams[at].view(np.int64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(base, n), dtype=np.uint64)])
+    hashes = (total[length:] - total[:-length]) * powers(pow(base, -1, 1 << 64), n - length + 1)
+    return (hashes ^ (hashes >> np.uint64(32))) * MIX
 
 
-def document_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, and starts, grams of the fingerprints."""
+def fingerprints(words: np.ndarray, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each gram that is smallest in some window, and the first and last of these windows; of equal grams the first counts."""
+    if len(words) < window_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = run_hashes(words, gram_words, GRAM_BASE)
+    width = window_words - gram_words + 1
+    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
+    first = np.flatnonzero(np.diff(least, prepend=-1))
+    return grams[least[first]].view(np.int64), first, np.append(first[1:], len(least)) - 1
 
-    def rows(ids: list, text_hashes: list, texts: list[str]) -> list:
-        found = [fingerprints(word_hashes(text)) for text in texts]
-        return [ids, text_hashes, [x[0] for x in found], [x[1] for x in found]]
 
-    schema = "doc_id long, text_hash long, starts array<int>, grams array<long>"
-    return map_texts(docs.withColumn("text_hash", F.xxhash64(text_of())), rows, schema, ids=("doc_id", "text_hash"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with text_a and text_b, two hashes of the text that together stand for it."""
+    return docs.withColumn("text_a", F.xxhash64(text_of())).withColumn("text_b", F.xxhash64(F.lit(1), text_of()))
 
 
-def extended(a: np.ndarray, b: np.ndarray, i: int, j: int, n: int) -> tuple[int, int]:
-    """The run around ``a[i:i + n]`` that equals the one around ``b[j:j + n]``: start and end in ``a``."""
-    k = min(i, j)
-    back = np.flatnonzero(a[i - k : i][::-1] != b[j - k : j][::-1])
-    start = i - (int(back[0]) if len(back) else k)
-    k = min(len(a) - i - n, len(b) - j - n)
-    ahead = np.flatnonzero(a[i + n : i + n + k] != b[j + n : j + n + k])
-    return start, i + n + (int(ahead[0]) if len(ahead) else k)
+def document_marks(docs: DataFrame) -> DataFrame:
+    """doc_id, text_a, text_b, n_words and the grams of the fingerprints, in their order."""
+
+    def rows(ids: list, a: list, b: list, texts: list[str]) -> list:
+        words = list(map(word_hashes, texts))
+        return [pa.array(ids, pa.int64()), a, b, list(map(len, words)), [fingerprints(w)[0] for w in words]]
+
+    return map_texts(keyed(docs), rows, "doc_id long, text_a long, text_b long, n_words int, grams array<long>", ids=tuple(TEXT_KEY))
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """The windows of the fingerprints whose numbers are in the column ``marks``: grams, windows (hashes), starts."""
+
+    def rows(ids: list, a: list, b: list, marks: list, texts: list[str]) -> list:
+        grams, windows, starts = [], [], []
+        for text, some in zip(texts, marks, strict=True):
+            words = word_hashes(text)
+            own, first, last = (x[np.sort(np.array(some))] for x in fingerprints(words))
+            at = np.concatenate([np.arange(s, e + 1) for s, e in zip(first, last, strict=True)])
+            grams.append(np.repeat(own, last - first + 1))
+            windows.append(run_hashes(words, WINDOW_WORDS, WINDOW_BASE)[at].view(np.int64))
+            starts.append(at.astype(np.int32))
+        return [pa.array(ids, pa.int64()), a, b, grams, windows, starts]
+
+    return map_texts(docs, rows, "doc_id long, text_a long, text_b long, grams array<long>, windows array<long>, starts array<int>", ids=(*TEXT_KEY, "marks"))
+
+
+def united(starts: np.ndarray) -> list[int]:
+    """The runs (start, end exclusive, in turn) that the windows at ``starts``, in order, fill."""
+    if not len(starts):
+        return []
+    breaks = np.flatnonzero(np.diff(starts) > WINDOW_WORDS) + 1
+    begins, ends = starts[np.concatenate([[0], breaks])], starts[np.concatenate([breaks - 1, [-1]])] + WINDOW_WORDS
+    return np.column_stack([begins, ends]).ravel().tolist()
+
+
+def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text_a, text_b, runs: the words (start, end exclusive, in turn) to delete. Rows with null doc_id take no part."""
+    docs = docs.filter("doc_id is not null").select("doc_id", text_of().alias("text"))
+    marks = scratch.keep(document_marks(docs).filter(F.size("grams") > 0), "marks")
+    # Of equal texts, the one with the smallest doc_id stands for all; the others are repeated from first to last word.
+    first = marks.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("doc_id"))
+    alone = scratch.keep(marks.join(first.hint("merge"), TEXT_KEY, "left_semi"), "alone")
+    copies = marks.join(first.hint("merge"), TEXT_KEY, "left_anti").select(*TEXT_KEY, F.array(F.lit(0), "n_words").alias("runs"))
+
+    each = alone.select(*TEXT_KEY, F.posexplode("grams").alias("mark", "gram"))
+    # A gram that stands once is told by where it stands: the minimum of one place is that place.
+    once = each.groupBy("gram").agg(F.count(F.lit(1)).alias("places"), *(F.min(c).alias(c) for c in (*TEXT_KEY, "mark"))).filter("places = 1")
+    once = once.groupBy(*TEXT_KEY).agg(F.collect_list("mark").alias("once"))
+    marked = alone.join(once.hint("merge"), TEXT_KEY, "left").select(*TEXT_KEY, F.array_except(F.sequence(F.lit(0), F.size("grams") - 1), F.coalesce("once", F.array().cast("array<int>"))).alias("marks"))
+    marked = scratch.keep(marked.filter(F.size("marks") > 0).distinct(), "marked")
+    windows = scratch.keep(repeated_windows(keyed(docs).join(marked.hint("merge"), TEXT_KEY)), "windows")
+
+    # The first document of each window; in it, and in no other, the window stays.
+    own = windows.select("doc_id", F.explode(F.arrays_zip("grams", "windows")).alias("w")).groupBy("w.grams", "w.windows").agg(F.min("doc_id").alias("doc_id"))
+    own = own.groupBy("doc_id").agg(F.collect_list("windows").alias("own"))
+
+    def later(batches):
+        for batch in batches:
+            runs = []
+            for hashes, starts, mine in zip(*(batch.column(c) for c in ("windows", "starts", "own")), strict=True):
+                hashes, starts = np.array(hashes.values), np.array(starts.values)
+                again = ~np.isin(hashes, np.array(mine.values)) if mine.is_valid else np.ones(len(hashes), bool)
+                # Windows stand in order, so the first of equal ones is the earliest.
+                again[np.setdiff1d(np.arange(len(hashes)), np.unique(hashes, return_index=True)[1])] = True
+                runs.append(united(starts[again]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TEXT_KEY), pa.array(runs, pa.list_(pa.int32()))], names=[*TEXT_KEY, "runs"])
+
+    found = windows.join(own.hint("merge"), "doc_id", "left").mapInArrow(later, "doc_id long, text_a long, text_b long, runs array<int>")
+    return found.filter(F.size("runs") > 0).union(copies).dropDuplicates(TEXT_KEY)
 
 
 def line_bounds(text: str) -> np.ndarray:
@@ -82,63 +145,11 @@ def line_bounds(text: str) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([len(x.split()) for x in text.split("\n")])])
 
 
-def common_runs(text: str, first_text: str | None, at: list[int], inside_lines: bool) -> set[tuple[int, int]]:
-    """Runs of words of ``text`` to delete; whole lines only, unless ``inside_lines`` is set.
-
-    ``at``: a start in it and the start of the same gram in ``first_text`` (None: an equal text), in turn.
-    """
-    a = word_hashes(text)
-    b = a if first_text is None else word_hashes(first_text)
-    bounds, runs, upto = line_bounds(text), set(), {}
-    for i, j in sorted(zip(at[::2], at[1::2], strict=True)):
-        # Matches on one diagonal that lie in a run extend to the same run.
-        if i < upto.get(i - j, 0) or not np.array_equal(a[i : i + GRAM_WORDS], b[j : j + GRAM_WORDS]):
-            continue
-        start, end = extended(a, b, i, j, GRAM_WORDS)
-        upto[i - j] = end
-        n = end - start
-        if n < WINDOW_WORDS or not inside_lines:
-            start, end = int(bounds[np.searchsorted(bounds, start)]), int(bounds[np.searchsorted(bounds, end, side="right") - 1])
-        if end - start >= (1 if n >= WINDOW_WORDS else GRAM_WORDS):
-            runs.add((start, end))
-    return runs
-
-
-def extend_matches(batches: Iterator[pa.RecordBatch], inside_lines: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-            runs = sorted(common_runs(r["text"], r["first_words"], r["at"], inside_lines and r["doc_id"] != r["first_id"]))
-            if runs:
-                ends = [pa.array([x[e] for x in runs], pa.int32()) for e in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c]] * len(runs), pa.int64()) for c in ("doc_id", "text_hash")] + ends, names=["doc_id", "text_hash", "start", "end"])
-
-
-def repeated_runs(docs: DataFrame, scratch: Scratch, inside_lines: bool = False) -> DataFrame:
-    """doc_id, text_hash, runs: the words (start, end exclusive, in turn) to delete. Rows with null doc_id take no part."""
-    docs = docs.filter("doc_id is not null").select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    kept = scratch.keep(document_marks(docs), "marks")
-    marks = kept.select("doc_id", "text_hash", F.explode(F.arrays_zip("starts", "grams")).alias("f")).select("doc_id", "text_hash", F.col("f.starts").alias("start"), F.col("f.grams").alias("gram"))
-    place = F.struct("doc_id", "text_hash", "start")
-    first = scratch.keep(marks.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("gram", "first"), "first")
-    later = marks.join(first, "gram").filter(place != F.col("first"))
-    # A pair of documents is compared once, at all the places that its fingerprints give.
-    later = later.groupBy("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_text"))
-    later = scratch.keep(later.agg(F.flatten(F.collect_set(F.array("start", "first.start"))).alias("at")), "later")
-    ids = later.select("doc_id", "text_hash").union(later.select("first_id", "first_text")).distinct()
-    texts = scratch.keep(docs.join(ids.hint("merge"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]), "texts")
-    theirs = texts.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text"), F.col("text").alias("first_words"))
-    # Copies of a whole text need no second one.
-    both = later.join(theirs, ["first_id", "first_text"]).withColumn("first_words", F.when(F.col("text_hash") != F.col("first_text"), F.col("first_words"))).join(texts, ["doc_id", "text_hash"])
-    runs = both.select("doc_id", "text_hash", "first_id", "text", "first_words", "at").mapInArrow(lambda batches: extend_matches(batches, inside_lines), "doc_id long, text_hash long, start int, end int")
-    return runs.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set(F.array("start", "end"))).alias("runs"))
-
-
-def cut(text: str, runs: list[int]) -> tuple[str, int]:
+def cut(text: str, runs: list[int], inside_lines: bool) -> tuple[str, int]:
     """``text`` without the words of ``runs``, and the number of lines that go whole.
 
-    A line goes if all its words do, a blank one if it lies inside a run. What is left of other lines stays as it is,
-    with the white space on one side of a gap.
+    A line goes if all its words do, a blank one if it lies inside a run. Other lines stay as they are, unless
+    ``inside_lines`` is set: then what is left of them stays, with the white space on one side of a gap.
     """
     lines = text.split("\n")
     bounds = line_bounds(text)
@@ -150,7 +161,7 @@ def cut(text: str, runs: list[int]) -> tuple[str, int]:
     for line, s, e in zip(lines, bounds, bounds[1:], strict=False):
         if (gone[s:e].all() if e > s else inside[s]):
             continue
-        if gone[s:e].any():
+        if inside_lines and gone[s:e].any():
             line = without_words(line, gone[s:e])
         left.append(line)
     return "\n".join(left), len(lines) - len(left)
@@ -174,27 +185,29 @@ def without_words(line: str, gone: np.ndarray) -> str:
 
 
 def without_repeats(docs: DataFrame, inside_lines: bool = False) -> DataFrame:
-    """``docs`` with all its columns, the lines of later repeated runs deleted from text; adds n_lines and n_deleted.
-
-    n_deleted counts the lines that go whole. A run that begins or ends inside a line leaves that line as it is; with
-    ``inside_lines`` it leaves only the rest of it.
-    Order is by doc_id, then by word. Rows of one doc_id and the same text are one document; if their texts differ,
-    the one with the smaller hash counts as earlier. Rows with null doc_id and null or empty texts stay as they are
-    (n_deleted 0; a null text has 0 lines). A text may become empty. Clashing columns called n_lines or n_deleted are
-    replaced. No rows give no rows.
+    """``docs`` with all its columns, later repeated runs of words deleted from text; adds n_lines and n_deleted.
+
+    With ``inside_lines`` all words of the runs go, and what else the lines hold in which a run begins or ends stays;
+    without it only the whole lines of the runs go. n_deleted counts the lines that go whole.
+
+    Order is by doc_id, then by word. Rows of one doc_id are not earlier than each other, be their texts equal or not:
+    what they share stays in all of them, unless it stands in an earlier document. Rows with null doc_id and null or
+    empty texts stay as they are (n_deleted 0; a null text has 0 lines). A text may become empty. Columns called
+    n_lines or n_deleted are replaced. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    runs = scratch.keep(repeated_runs(docs, scratch, inside_lines), "runs")
-    scratch.drop("marks", "first", "later", "texts")
+    runs = scratch.keep(repeated_runs(docs, scratch), "runs")
+    scratch.drop("marks", "alone", "marked", "windows")
     given = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    runs = runs.select(F.col("doc_id").alias("_run_id"), F.col("text_hash").alias("_run_text"), F.col("runs").alias("_runs"))
+    runs = runs.select(*(F.col(c).alias(f"_run_{c}") for c in TEXT_KEY), F.col("runs").alias("_runs"))
 
     @F.pandas_udf("text string, n long")
     def shortened(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(t, 0) if r is None else cut(t, r) for t, r in zip(texts, runs, strict=True)], columns=["text", "n"])
+        return pd.DataFrame([(t, 0) if r is None else cut(t, r, inside_lines) for t, r in zip(texts, runs, strict=True)], columns=["text", "n"])
 
     # The runs grow with the documents; always merging keeps one plan for all sizes.
-    joined = docs.select(*given, F.xxhash64(text_of()).alias("_text_hash")).join(runs.hint("merge"), (F.col("doc_id") == F.col("_run_id")) & (F.col("_text_hash") == F.col("_run_text")), "left")
+    hashes = {"doc_id": F.col("doc_id"), "text_a": F.xxhash64(text_of()), "text_b": F.xxhash64(F.lit(1), text_of())}
+    joined = docs.select(*given, *(hashes[c].alias(f"_own_{c}") for c in TEXT_KEY)).join(runs.hint("merge"), [F.col(f"_own_{c}") == F.col(f"_run_{c}") for c in TEXT_KEY], "left")
     some = F.col("_runs").isNotNull()
     joined = joined.withColumn("_left", shortened(F.when(some, F.col("text")), F.col("_runs")))
     text = F.when(some, F.col("_left.text")).otherwise(F.col("text"))

@@ -55,7 +55,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents"), inside_lines=True).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,21 @@ def random_spans(text: str | None, window: int, thresholds: dict[str, float], al
     return out
 
 
+def words_once(texts: dict[int, str | None], window: int = 50) -> dict[int, list[str]]:
+    """The words of each text that are in no window of words that stands in an earlier text, or earlier in its own."""
+    seen, left = set(), {}
+    for i in sorted(texts):
+        w = (texts[i] or "").split()
+        gone = [False] * len(w)
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s : s + window])
+            if key in seen:
+                gone[s : s + window] = [True] * window
+            seen.add(key)
+        left[i] = [x for x, g in zip(w, gone, strict=True) if not g]
+    return left
+
+
 def edit_distance_within(item: str, text: str) -> int:
     """Least edits between ``item`` and any part of ``text``, by the whole matrix."""
     row = list(range(len(item) + 1))

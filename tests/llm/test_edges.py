@@ -206,3 +206,31 @@ def test_topk_in_several_blocks(spark, monkeypatch):
         scores = sorted((-int(ints[q] @ ints[c]), ids[c]) for c in range(500) if c != q)
         wanted += [(ids[q], rank, j, -s) for rank, (s, j) in enumerate(scores[:5], 1)]
     assert found == sorted(wanted)
+
+
+def test_runs_that_share_fingerprints_with_other_places(spark):
+    """Each repeated window goes, though its fingerprints stand earlier in other surroundings; in one text, too."""
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    parts = [words(n) for n in (26, 30, 26, 50, 49, 51, 75)]
+    x, g, y = parts[:3]
+    texts = ["\n".join(" ".join(p) for p in t) for t in ([g, words(26)], [x, g, y], [g, y], [x, g, y], [x, g])]
+    for i in range(60):
+        chosen = [rng.choice(parts) if rng.random() < 0.7 else words(rng.randrange(1, 60)) for _ in range(rng.randrange(1, 9))]
+        flat = [w for p in chosen for w in p]
+        texts.append("".join(w + rng.choice("   \n") for w in flat))
+    texts += [texts[9], " ".join(["same"] * 140), "\n".join(["a line of five words"] * 60)]
+    rows = dict(enumerate(texts))
+    df = spark.createDataFrame([*rows.items()], "doc_id long, text string")
+    found = {r.doc_id: r.text.split() for r in line_dedup.without_repeats(df, inside_lines=True).collect()}
+    assert found == brute.words_once(rows)
+    assert found[3] == [] and found[1] == x + g + y
+
+
+def test_long_text_of_many_lines(spark):
+    """20,000 lines, each standing twice in one text and once more in another."""
+    lines = [f"line number {i} of a text that has very many of them" for i in range(10_000)]
+    text = "\n".join(lines + lines)
+    found = {r.doc_id: r for r in line_dedup.without_repeats(spark.createDataFrame([(0, text), (1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    assert found[0].text == "\n".join(lines) and found[0].n_deleted == 10_000
+    assert found[1].text == "" and found[1].n_deleted == 10_000
