@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -29,6 +28,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
+#: Marks strings that make a piece doubtful wherever they stand; others are marked by their rank.
+ONCE = -1
 #: Pieces that a worker remembers before it starts anew.
 CACHE_PIECES = 400_000
 
@@ -71,15 +72,11 @@ class ByteBpe:
 
     def is_doubtful(self, piece: str) -> bool:
         """Whether the library's order of merges may matter in a piece."""
-        raw = piece.encode()
-        if self.doubtful is None or len(raw) < 3 or raw in self.ranks:
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1")
+        if len(raw) < 3 or self.doubtful is None:
             return False
-        seen = Counter()
-        for _, (string, least) in self.doubtful.iter(raw.decode("latin-1")):
-            seen[string] += 1
-            if seen[string] == least:
-                return True
-        return False
+        hits = [hit for _, hit in self.doubtful.iter(raw)]
+        return (ONCE in hits or len(hits) > len(set(hits))) and piece.encode() not in self.ranks
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces not seen yet into the cache, by one call of the library."""
@@ -89,9 +86,10 @@ class ByteBpe:
         if len(self.ids_of) + len(new) > CACHE_PIECES:
             self.ids_of.clear()
             new = list(pieces)
-        for piece in filter(self.is_doubtful, new):
-            self.ids_of[piece] = tuple(merged_by_rank(piece.encode(), self.ranks))
-        new = [p for p in new if p not in self.ids_of]
+        doubtful = set(filter(self.is_doubtful, new))
+        if doubtful:
+            self.ids_of.update((p, tuple(merged_by_rank(p.encode(), self.ranks))) for p in doubtful)
+            new = [p for p in new if p not in doubtful]
         found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids, words = found.ids, np.array(found.word_ids)
         ends = np.searchsorted(words, np.arange(len(new)), side="right").tolist()
@@ -129,24 +127,21 @@ class ByteBpe:
 
 
 def doubtful_strings(ranks: dict[bytes, int], splits: dict[bytes, list[int]]):
-    """An automaton of the strings (bytes as Latin-1) that make a piece doubtful, and how often each must stand in it."""
+    """An automaton of the strings (bytes as Latin-1) that make a piece doubtful: ``ONCE``, or if they stand in it twice."""
     import ahocorasick
 
     below = {part for t, at in splits.items() for i in at for part in (t[:i], t[i:]) if ranks[part] > ranks[t]}
-    least: dict[bytes, int] = {}
+    found = ahocorasick.Automaton()
     for token, at in splits.items():
         n = len(token)
         # Both places of an overlap: the token, and once more from where its own beginning ends it.
         for b in at:
             if n - b in at and token[:b] == token[n - b :]:
-                least[token + token[b:]] = 1
-        if len(at) > 1 and token in below:
-            least.setdefault(token, 2)
-    if not least:
+                found.add_word((token + token[b:]).decode("latin-1"), ONCE)
+        if len(at) > 1 and token in below and token.decode("latin-1") not in found:
+            found.add_word(token.decode("latin-1"), ranks[token])
+    if not len(found):
         return None
-    found = ahocorasick.Automaton()
-    for string, n in least.items():
-        found.add_word(string.decode("latin-1"), (string, n))
     found.make_automaton()
     return found
 
