@@ -6,11 +6,17 @@ neighbouring diagonals are merged, since an inserted or dropped word shifts what
 compared with the template's before it counts.
 
 A document's word array stays beside the exploded pairs, so that only hits carry a copy of the words to compare, and
-the pairs that hit nothing end within the task that made them.
+the pairs that hit nothing end within the task that made them. Templates are taken in blocks of ``BLOCK_PAIRS`` word
+pairs, each broadcast by itself, so that what is broadcast is bounded however many there are.
+
+Rows are told apart by doc_id and two hashes of the text, which a repeated task computes again alike; equal rows are
+one until the end, when as many come out as went in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +45,29 @@ TEMPLATES = {
 COVERAGE = 0.9
 #: Diagonals at most so far apart are merged.
 DRIFT = 2
-#: Template pairs up to which the template side is broadcast.
-BROADCAST_PAIRS = 100_000
+#: Most word pairs of templates in a block.
+BLOCK_PAIRS = 100_000
+ROW = ["doc_id", "text_a", "text_b", "n_words"]
+
 
+def template_blocks(phrases: dict[str, str], templates: dict[str, str]) -> Iterator[list[tuple]]:
+    """Rows (template, label, base, words) in blocks of at most ``BLOCK_PAIRS`` word pairs, or one longer template."""
+    block, size = [], 0
+    for i, (text, label, base) in enumerate([*((t, x, True) for t, x in phrases.items()), *((t, x, False) for t, x in templates.items())]):
+        words = text.split()
+        if block and size + len(words) > BLOCK_PAIRS:
+            yield block
+            block, size = [], 0
+        block.append((i, label, base, words))
+        size += len(words)
+    yield block
 
-def template_pairs(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    rows = [(i, label, base, text.split()) for i, (text, label, base) in enumerate([*((t, x, True) for t, x in phrases.items()), *((t, x, False) for t, x in templates.items())])]
+
+def template_pairs(docs: DataFrame, rows: list[tuple]) -> DataFrame:
     df = docs.sparkSession.createDataFrame(rows, "template int, label string, base boolean, words array<string>")
     df = df.select("template", "label", "base", F.col("words").alias("wanted"), F.posexplode("words").alias("at", "word"))
     df = df.filter(F.col("at") + 1 < F.size("wanted")).select("template", "label", "base", "wanted", "at", F.xxhash64("word", F.element_at("wanted", F.col("at") + 2)).alias("pair"))
-    return F.broadcast(df) if sum(len(r[3]) - 1 for r in rows) <= BROADCAST_PAIRS else df
+    return F.broadcast(df)
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
@@ -62,39 +81,47 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     A null or empty text has no words and no labels. Null and repeated ids are kept, each row by itself. Other
     columns are not read; no rows give no rows.
     """
-    pairs = template_pairs(docs, PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
     # lower() differs from lower-casing A-Z only within words that have a letter beyond ASCII, which no template has.
-    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0)).alias("words"))
-    each = words.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
-    each = each.withColumn("pair", F.when(F.col("pos") + 1 < F.col("n_words"), F.xxhash64("word", F.get("words", F.col("pos") + 1))))
-    # A row's first word stays even if it hits nothing: every document has a row.
-    hits = each.join(pairs, "pair", "left").filter("template is not null or pos is null or pos = 0")
+    words = F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0))
+    words = docs.select("doc_id", F.xxhash64(text_of()).alias("text_a"), F.xxhash64(F.lit(1), text_of()).alias("text_b"), words.alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    # Before its words each row has a place -1 that hits nothing and stays, so that rows without a hit come out too.
+    each = words.select(*ROW, "words", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n_words").cast("int") - 2, F.lit(-1)))).alias("pos"))
+    each = each.withColumn("pair", F.when(F.col("pos") >= 0, F.xxhash64(F.get("words", "pos"), F.get("words", F.col("pos") + 1))))
+    here = F.col("pos") < 0
     diagonal = F.col("pos") - F.col("at")
     there = F.when(diagonal >= 0, F.slice("words", diagonal + 1, F.size("wanted"))).otherwise(F.concat(F.array_repeat(F.lit(""), -diagonal), F.slice("words", 1, F.greatest(F.size("wanted") + diagonal, F.lit(0)))))
-    hits = hits.select("row", "doc_id", "n_words", "template", "label", "base", "wanted", diagonal.alias("diagonal"), F.when(F.col("template").isNotNull(), there).alias("there"))
-    votes = hits.groupBy("row", "doc_id", "n_words", "template", "diagonal").agg(F.count("template").alias("votes"), *(F.first(c).alias(c) for c in ("label", "base", "wanted", "there")))
+    hits = None
+    for block in template_blocks(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates):
+        some = each.join(template_pairs(docs, block), "pair", "left").filter(F.col("template").isNotNull() | (here if hits is None else F.lit(False)))
+        some = some.select(*ROW, "template", "label", "base", "wanted", diagonal.alias("diagonal"), F.when(F.col("template").isNotNull(), there).alias("there"))
+        hits = some if hits is None else hits.union(some)
+    votes = hits.groupBy(*ROW, "template", "diagonal").agg(F.count(F.lit(1)).alias("votes"), *(F.first(c).alias(c) for c in ("label", "base", "wanted", "there")))
     agree = F.size(F.filter(F.zip_with("wanted", "there", lambda a, b: a == b), lambda same: same))
-    votes = votes.withColumn("agree", F.when(F.col("template").isNotNull(), agree).otherwise(0)).withColumn("length", F.size("wanted"))
-    near = Window.partitionBy("row", "template").orderBy("diagonal")
+    votes = votes.withColumn("agree", agree).withColumn("length", F.size("wanted"))
+    near = Window.partitionBy(*ROW, "template").orderBy("diagonal")
     gap = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near), F.lit(0)) > DRIFT
     votes = votes.withColumn("new", gap.cast("int")).withColumn("group", F.sum("new").over(near))
     whole = F.col("base") & (F.col("agree") == F.col("length"))
     part = F.sum(F.when(~F.col("base"), F.col("agree"))) / F.first("length")
     share = F.when(part > 1, 1.0).otherwise(part)
-    spans = votes.groupBy("row", "doc_id", "n_words", "template", "label", "group").agg(
+    spans = votes.groupBy(*ROW, "template", "label", "group").agg(
         F.count(F.when(whole, 1)).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("first"),
         F.max(F.when(whole, F.col("diagonal"))).alias("last"),
         F.coalesce(share, F.max(F.when(F.col("base"), F.col("agree") / F.col("length"))), F.lit(0.0)).alias("share"),
-        F.coalesce(F.first("base"), F.lit(False)).alias("base"),
+        F.first("base").alias("base"),
+        F.sum(F.when(F.col("template").isNull(), F.col("votes"))).alias("copies"),
     )
     named = (F.col("places") > 0) | (~F.col("base") & (F.col("share") >= COVERAGE))
     joined = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
-    return spans.groupBy("row", "doc_id", "n_words").agg(
-        F.sum("places").alias("n_base"),
+    found = spans.groupBy(*ROW).agg(
+        F.coalesce(F.sum("places"), F.lit(0)).alias("n_base"),
         F.min("first").cast("long").alias("first_word"),
         F.max("last").cast("long").alias("last_word"),
         joined(F.col("places") > 0).alias("base_labels"),
         joined(named).alias("labels"),
-        F.max("share").alias("score"),
-    ).drop("row")
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
+        F.sum("copies").cast("int").alias("copies"),
+    )
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

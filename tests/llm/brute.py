@@ -61,6 +61,29 @@ def secrets(text: str | None) -> tuple:
     return len(a), len(b), len(c), hashlib.sha256(spans.encode()).hexdigest(), spans
 
 
+def license_labels(text: str, phrases: dict, templates: dict, coverage: float, drift: int) -> tuple[str, float]:
+    """Labels and score: for each phrase or template, every diagonal with a common word pair, the words that agree on it, and neighbours added up."""
+    w = LICENSE_WORD.findall(lower(text))
+    labels, best = set(), 0.0
+    for words, label, base in [*((p.split(), x, True) for p, x in phrases.items()), *((p.split(), x, False) for p, x in templates.items())]:
+        m, agree = len(words), {}
+        for d in range(-m, len(w)):
+            pairs = any(0 <= d + i and d + i + 1 < len(w) and w[d + i : d + i + 2] == words[i : i + 2] for i in range(m - 1))
+            if pairs:
+                agree[d] = sum(0 <= d + i < len(w) and w[d + i] == words[i] for i in range(m))
+        groups = []
+        for d in sorted(agree):
+            if not groups or d - groups[-1][-1] > drift:
+                groups.append([])
+            groups[-1].append(d)
+        for g in groups:
+            share = max(agree[d] for d in g) / m if base else min(1.0, sum(agree[d] for d in g) / m)
+            best = max(best, share)
+            if (base and any(agree[d] == m for d in g)) or (not base and share >= coverage):
+                labels.add(label)
+    return ",".join(sorted(labels)), round(best, 9)
+
+
 def random_spans(text: str | None, window: int, thresholds: dict[str, float], allowed: list[str]) -> list[tuple[int, int]]:
     """Candidates in which some window reaches the entropy of their class, each window counted anew."""
     out = []

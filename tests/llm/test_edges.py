@@ -161,6 +161,31 @@ def test_licenses_with_a_word_dropped(spark):
     assert found[1].base_labels == "cc-by,mit" and (found[1].first_word, found[1].last_word) == (2, 5)
 
 
+def test_license_templates_by_brute_force(spark, monkeypatch):
+    """Labels and score of generated texts, with templates in one block and in many, and of repeated rows."""
+    rng = random.Random(3)
+    templates = [t.split() for t in licenses.TEMPLATES]
+    phrases = [t.split() for t in licenses.PHRASES]
+    texts = []
+    for _ in range(150):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            part = list(rng.choice(templates + phrases + [["plain", "words", "of", "a", "text"]]))
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                at = rng.randrange(len(part) + 1)
+                part[at : at + rng.choice([0, 1])] = [rng.choice(["other", "word", *part[:1]])] if rng.random() < 0.5 else []
+            out += part + ["between"] * rng.randrange(0, 4)
+        texts.append(" ".join(w.title() if rng.random() < 0.2 else w for w in out))
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[4]), (None, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted((-1 if i is None else i, *brute.license_labels(t, licenses.PHRASES, licenses.TEMPLATES, licenses.COVERAGE, licenses.DRIFT)) for i, t in rows)
+    for size in (licenses.BLOCK_PAIRS, 40):
+        monkeypatch.setattr(licenses, "BLOCK_PAIRS", size)
+        found = licenses.scan(df).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.labels, round(r.score, 9)) for r in found) == wanted
+    assert len({labels for _, labels, _ in wanted}) > 10
+
+
 def test_passages_inside_lines_go(spark):
     """A passage of 50 words that begins and ends inside lines, over one, two and three lines."""
     passage = [f"p{i}" for i in range(50)]
