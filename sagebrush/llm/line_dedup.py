@@ -18,6 +18,8 @@ everywhere is no hot key.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,9 +37,11 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 TEXT_KEY = ["doc_id", "text_a", "text_b"]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after another, and where each text begins; its last number is the end."""
+    words = [text.split() for text in texts]
+    bounds = np.concatenate([[0], np.cumsum(list(map(len, words)), dtype=np.int64)])
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, bounds[-1]), bounds
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -47,20 +51,41 @@ def powers(base: int, n: int) -> np.ndarray:
 def run_hashes(words: np.ndarray, length: int, base: int) -> np.ndarray:
     """Hashes of all runs of ``length`` words."""
     n = len(words)
+    if n < length:
+        return np.zeros(0, np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(base, n), dtype=np.uint64)])
     hashes = (total[length:] - total[:-length]) * powers(pow(base, -1, 1 << 64), n - length + 1)
     return (hashes ^ (hashes >> np.uint64(32))) * MIX
 
 
-def fingerprints(words: np.ndarray, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each gram that is smallest in some window, and the first and last of these windows; of equal grams the first counts."""
-    if len(words) < window_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = run_hashes(words, gram_words, GRAM_BASE)
-    width = window_words - gram_words + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
-    first = np.flatnonzero(np.diff(least, prepend=-1))
-    return grams[least[first]].view(np.int64), first, np.append(first[1:], len(least)) - 1
+def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the smallest of each ``width`` neighbours stands, the first of equal ones; widths double until two overlapping ones do."""
+    at, done = np.arange(len(x), dtype=np.int32), 1
+    while done < width:
+        shift = min(done, width - done)
+        left, right = at[:-shift], at[shift:]
+        at = np.where(x[left] <= x[right], left, right)
+        done += shift
+    return at
+
+
+def fingerprints(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each gram that is smallest in some window of its text, the first and last of these windows, and where each text's begin.
+
+    Of equal grams the first counts. Windows that reach over the end of a text are none.
+    """
+    if len(words) < WINDOW_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+    grams = run_hashes(words, GRAM_WORDS, GRAM_BASE)
+    least = sliding_argmin(grams, WINDOW_WORDS - GRAM_WORDS + 1)
+    text_of_word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    owner = text_of_word[: len(least)]
+    inside = np.flatnonzero(owner == text_of_word[WINDOW_WORDS - 1 :])
+    new = np.ones(len(inside), bool)
+    new[1:] = (np.diff(least[inside]) != 0) | (np.diff(owner[inside]) != 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(inside)) - 1
+    return grams[least[inside[first]]].view(np.int64), inside[first], inside[last], np.searchsorted(owner[inside[first]], np.arange(len(bounds)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -72,8 +97,9 @@ def document_marks(docs: DataFrame) -> DataFrame:
     """doc_id, text_a, text_b, n_words and the grams of the fingerprints, in their order."""
 
     def rows(ids: list, a: list, b: list, texts: list[str]) -> list:
-        words = list(map(word_hashes, texts))
-        return [pa.array(ids, pa.int64()), a, b, list(map(len, words)), [fingerprints(w)[0] for w in words]]
+        words, bounds = word_hashes(texts)
+        grams, _, _, offsets = fingerprints(words, bounds)
+        return [pa.array(ids, pa.int64()), a, b, np.diff(bounds).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams))]
 
     return map_texts(keyed(docs), rows, "doc_id long, text_a long, text_b long, n_words int, grams array<long>", ids=tuple(TEXT_KEY))
 
@@ -82,15 +108,16 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """The windows of the fingerprints whose numbers are in the column ``marks``: grams, windows (hashes), starts."""
 
     def rows(ids: list, a: list, b: list, marks: list, texts: list[str]) -> list:
-        grams, windows, starts = [], [], []
-        for text, some in zip(texts, marks, strict=True):
-            words = word_hashes(text)
-            own, first, last = (x[np.sort(np.array(some))] for x in fingerprints(words))
-            at = np.concatenate([np.arange(s, e + 1) for s, e in zip(first, last, strict=True)])
-            grams.append(np.repeat(own, last - first + 1))
-            windows.append(run_hashes(words, WINDOW_WORDS, WINDOW_BASE)[at].view(np.int64))
-            starts.append(at.astype(np.int32))
-        return [pa.array(ids, pa.int64()), a, b, grams, windows, starts]
+        words, bounds = word_hashes(texts)
+        grams, first, last, offsets = fingerprints(words, bounds)
+        some = np.concatenate([np.sort(np.array(x, np.int64)) + o for x, o in zip(marks, offsets, strict=False)])
+        sizes = last[some] - first[some] + 1
+        text = np.repeat(np.arange(len(texts)), list(map(len, marks))).repeat(sizes)
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) - np.repeat(ends - sizes - first[some], sizes)
+        cuts = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
+        columns = np.repeat(grams[some], sizes), run_hashes(words, WINDOW_WORDS, WINDOW_BASE)[at].view(np.int64), (at - bounds[text]).astype(np.int32)
+        return [pa.array(ids, pa.int64()), a, b, *(pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns)]
 
     return map_texts(docs, rows, "doc_id long, text_a long, text_b long, grams array<long>, windows array<long>, starts array<int>", ids=(*TEXT_KEY, "marks"))
 
@@ -136,7 +163,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 runs.append(united(starts[again]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TEXT_KEY), pa.array(runs, pa.list_(pa.int32()))], names=[*TEXT_KEY, "runs"])
 
-    found = windows.join(own.hint("merge"), "doc_id", "left").mapInArrow(later, "doc_id long, text_a long, text_b long, runs array<int>")
+    found = windows.drop("grams").join(own.hint("merge"), "doc_id", "left").mapInArrow(later, "doc_id long, text_a long, text_b long, runs array<int>")
     return found.filter(F.size("runs") > 0).union(copies).dropDuplicates(TEXT_KEY)
 
 
