@@ -5,8 +5,11 @@ piece then stands unchanged. So the pieces of all items go into one automaton, w
 text in a single pass; around each hit, Myers' bit-parallel algorithm computes the edit distance. Nothing within the
 budget is missed, and nothing beyond it is reported.
 
-The item side is taken in blocks of ``BLOCK_CHARS`` at most, each with a pass over the documents, so that a worker's
-automaton stays small whatever the number of items.
+Items and texts are compared as words between spaces, so an item isn't found inside longer words but by edits.
+
+The items are a stated set of queries, taken in blocks of ``BLOCK_CHARS`` at most (or one longer item), each with a pass
+over the documents. One block at a time is in the driver and broadcast, so that memory is bounded whatever the number of
+items; its results are written before the next one comes.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_of
+from .common import Scratch, map_texts, text_of
 
 CHARS_PER_EDIT = 16
 BLOCK_CHARS = 2_000_000
@@ -33,9 +37,14 @@ def normal(text: str) -> str:
     return " ".join(WORD.findall(text.lower()))
 
 
+def budget(item: str) -> int:
+    """The edits k that an item may have; the spaces around it don't count as its characters."""
+    return len(item.strip()) // CHARS_PER_EDIT
+
+
 def pieces(item: str) -> list[tuple[int, int]]:
     """Starts and ends of the k + 1 pieces of an item."""
-    n = len(item) // CHARS_PER_EDIT + 1
+    n = budget(item) + 1
     cuts = [i * len(item) // n for i in range(n + 1)]
     return list(zip(cuts, cuts[1:], strict=False))
 
@@ -76,7 +85,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = [(i, s) for i, t in items if (s := normal(t or ""))]
+        self.items = [(i, f" {s} ") for i, t in items if (s := normal(t or ""))]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, s) in enumerate(self.items):
             for start, end in pieces(s):
@@ -94,7 +103,7 @@ class Matcher:
         """
         if not self.items:
             return []
-        plain = normal(text)
+        plain = f" {normal(text)} "
         begins = defaultdict(set)
         for last, places in self.automaton.iter(plain):
             for n, end in places:
@@ -102,7 +111,7 @@ class Matcher:
         out = []
         for n, starts in begins.items():
             item_id, item = self.items[n]
-            m, k = len(item), len(item) // CHARS_PER_EDIT
+            m, k = len(item), budget(item)
             best, window = None, None
             for s in [*sorted(starts), None]:
                 if window and (s is None or s - k > window[1]):
@@ -120,7 +129,9 @@ class Matcher:
             if best:
                 edits, end = best
                 _, length = myers(item[::-1], plain[max(0, end - m - k) : end][::-1], anchored=True)
-                out.append((item_id, edits, end - length, end))
+                start = end - length
+                start += len(plain[start:end]) - len(plain[start:end].lstrip())
+                out.append((item_id, edits, start - 1, len(plain[:end].rstrip()) - 1))
         return self.in_words(text, out) if out else out
 
     @staticmethod
@@ -143,12 +154,16 @@ def len_before(text: str, p: int) -> int:
     return len(text)
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items, in blocks by a hash of their ids, each small enough for a worker."""
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, in blocks by a hash of their ids; each is collected when it is asked for."""
     items = items.select(F.col("item_id").alias("id"), text_of().alias("text")).filter("id is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS) or 1
-    return [[(r.id, r.text) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b).collect()] for b in range(n)]
+    n = max(1, -(-total // BLOCK_CHARS))
+    block = lambda: F.pmod(F.xxhash64("id"), F.lit(n))
+    while not items.groupBy(block().alias("b")).agg(F.sum(F.length("text")).alias("chars"), F.min("id").alias("low"), F.max("id").alias("high")).filter(f"chars > {BLOCK_CHARS} and low < high").isEmpty():
+        n *= 2
+    for b in range(n):
+        yield [(r.id, r.text) for r in items.filter(block() == b).toLocalIterator()]
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -159,9 +174,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     with null or repeated doc_id are told each by itself. Other columns are not read. No rows on either side give no
     rows. No shuffle.
     """
-    spark = docs.sparkSession
-    out = None
-    for block in item_blocks(items):
+    spark, out = docs.sparkSession, None
+    scratch = Scratch(spark, "leaks")
+    for b, block in enumerate(item_blocks(items)):
         shared = spark.sparkContext.broadcast(block)
 
         def rows(ids: list, texts: list[str], shared=shared) -> list:
@@ -169,23 +184,33 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
             found = [(i, *m) for i, t in zip(ids, texts, strict=True) for m in matcher.find(t)]
             return [pa.array([f[c] for f in found], pa.int64()) for c in range(5)]
 
-        part = map_texts(docs, rows, "doc_id long, item_id long, edits long, start long, end long")
+        part = scratch.keep(map_texts(docs, rows, "doc_id long, item_id long, edits long, start long, end long"), f"block-{b}")
+        shared.unpersist()
         out = part if out is None else out.union(part)
     return out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the rows in which an item occurs. Null texts stay."""
-    for block in item_blocks(items):
+    scratch, shared = Scratch(docs.sparkSession, "clean"), None
+    for b, block in enumerate(item_blocks(items)):
+        if shared is not None:
+            docs = scratch.keep(docs, f"block-{b}")
+            shared.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.filter(clean_by(shared)(text_of()))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series) -> pd.Series:
-            matcher = matcher_of(shared)  # noqa: B023  pickled before the next block
-            return pd.Series([not matcher.find(t) for t in texts], dtype=bool)
 
-        docs = docs.filter(clean(text_of()))
-    return docs
+def clean_by(shared):
+    """Whether no item of a broadcast block occurs in a text."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        matcher = matcher_of(shared)
+        return pd.Series([not matcher.find(t) for t in texts], dtype=bool)
+
+    return clean
 
 
 _LAST: list = [None, None]

@@ -3,8 +3,8 @@
 Texts become sparse vectors: words and runs of punctuation, alone and in pairs, hashed to ``BITS`` bits; pairs of the
 same word, side by side or with one between, also count as one gram whatever the word. A value is the square root of
 the gram's share of all grams. The training sample is dealt to shards; each shard makes
-passes over its rows with per-coordinate FTRL-proximal updates, and the shards' weights are averaged. The model is a
-vector of bounded size, so it is broadcast, and a score is one sparse dot product.
+passes over its rows with per-coordinate FTRL-proximal updates, and the shards' weights are averaged by their rows. The
+model is a vector of bounded size, so it is broadcast, and a score is one sparse dot product.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = PASSES) -
 
 
 def fit(rows: DataFrame, shards: int = SHARDS) -> np.ndarray:
-    """Average weights of the shards' models. ``rows`` is what :func:`labelled.sample` returns.
+    """Average weights of the shards' models, by their rows. ``rows`` is what :func:`labelled.sample` returns.
 
     Without rows all weights are 0, and every score is one half.
     """
@@ -76,14 +76,18 @@ def fit(rows: DataFrame, shards: int = SHARDS) -> np.ndarray:
         part = part.sort_values(["place", "doc_id"])
         w = ftrl([(*features(t), y) for t, y in zip(part.text, part.label, strict=True)])
         index = np.flatnonzero(w)
-        return pd.DataFrame({"index": index, "weight": w[index], "rows": len(part)})
+        # Index -1 carries the number of rows.
+        return pd.DataFrame({"index": np.append(index, -1), "weight": np.append(w[index], 1.0) * len(part)})
 
     dealt = rows.withColumn("shard", F.pmod("place", F.lit(shards)))
-    trained = dealt.groupBy("shard").applyInPandas(train, "index long, weight double, rows long")
-    out = np.zeros((1 << BITS) + 1)
+    trained = dealt.groupBy("shard").applyInPandas(train, "index long, weight double")
+    out, total = np.zeros((1 << BITS) + 1), 1.0
     for r in trained.groupBy("index").agg(F.sum("weight").alias("weight")).toLocalIterator():
-        out[r["index"]] = r["weight"] / shards
-    return out
+        if r["index"] < 0:
+            total = r["weight"]
+        else:
+            out[r["index"]] = r["weight"]
+    return out / total
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a text: densities of a fixed and of a learned lexicon, how near lexicon words stand to the second person,
-capitals, punctuation, and words whose letters are hidden by digits or symbols. Part of the training rows grows the
-trees; the rest calibrates their margin by isotonic regression, so that scores are probabilities.
+capitals, punctuation, and words whose letters are hidden by digits or symbols. Part of the training rows gives the
+learned lexicon and grows the trees; the rest, whose labels neither has seen, calibrates the trees' margin by isotonic
+regression, so that scores are probabilities.
 """
 
 from __future__ import annotations
@@ -91,11 +92,14 @@ class Model:
         self.learned, self.trees, self.steps = frozenset(), None, None
         if n == 0 or classes < 2:
             return
-        self.learned = learned_lexicon(rows)
+        part = F.pmod("place", F.lit(3))
+        growing, calibrating = rows.agg(F.count_distinct(F.when(part != 0, F.col("label"))), F.count(F.when(part == 0, 1))).first()
+        if growing < 2 or not calibrating:
+            return
+        self.learned = learned_lexicon(rows.filter(part != 0))
         dealt = with_features(rows.withColumn("label", F.col("label").cast("long")), self.learned, ("doc_id", "label", "place"))
         # Each round of the fit reads the features again; written once, they are not made again from the texts.
         known = assembled(Scratch(rows.sparkSession, "toxicity").keep(dealt, "features"))
-        part = F.pmod("place", F.lit(3))
         self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, subsamplingRate=0.8, seed=7, maxBins=64, featuresCol="features", labelCol="label").fit(known.filter(part != 0))
         held = self.margins(known.filter(part == 0)).select("margin", F.col("label").cast("double").alias("label"))
         self.steps = IsotonicRegression(featuresCol="margin", labelCol="label").fit(held)
@@ -120,7 +124,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
 
     Only texts are scored; labels of the held-out fold are never read into the fit. Null and empty texts are texts
     without words. A null doc_id isn't held out. Null and repeated ids are kept, each row by itself. Other columns
-    are not read. No rows give no rows; with labels of one class only, or none, every score is their average, or 0.
+    are not read. No rows give no rows; where the labels that grow the trees are of one class only, or none calibrate,
+    every score is the labels' average, or 0 without any.
     """
     rows = sample(docs, labels, "toxic", folds, held_out, SAMPLE_ROWS).persist()
     try:
@@ -128,5 +133,3 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
     finally:
         rows.unpersist()
     return found.select("doc_id", F.coalesce(fold(folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-
-

@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LICENSE_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -144,3 +146,45 @@ def sections(text: str, tokens: list[bytes]) -> list[tuple[int, int, int, int, i
         crossing[owner] += len(held) > 1
         b += len(t)
     return [(k, s, e, counts[k], crossing[k]) for k, (s, e) in enumerate(lines)]
+
+
+def quality_features(text: str, bits: int) -> dict[int, float]:
+    """Words and runs of punctuation, alone, in pairs, and the same again at distance 1 or 2, hashed; index 0 is the intercept."""
+    mix, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    h = [xxhash.xxh3_64_intdigest(t) for t in re.findall(r"\w+|[^\w\s]+", text)]
+    grams = h + [(a * mix & full) ^ b for a, b in zip(h, h[1:], strict=False)]
+    grams += [d * mix & full for d in (1, 2) for a, b in zip(h, h[d:], strict=False) if a == b]
+    counts = Counter(1 + (g >> (64 - bits)) for g in grams)
+    return {0: 1.0} | {i: math.sqrt(n / len(grams)) for i, n in counts.items()}
+
+
+def ftrl(rows: list[tuple[dict[int, float], int]], passes: int, alpha: float, beta: float, l1: float, l2: float) -> dict[int, float]:
+    """Weights by follow-the-regularised-leader, one coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(passes):
+        for x, label in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def toxicity_features(text: str, fixed: set, learned: set, you: set, disguises: dict, near: int) -> list[float]:
+    words, known = re.findall(r"\w+", text.lower()), fixed | learned
+    n, raw = max(len(words), 1), text.encode()
+    size = max(len(raw), 1)
+    close = sum(w in known and any(v in you for v in words[max(0, i - near) : i + near + 1]) for i, w in enumerate(words))
+    capitals = sum(65 <= b <= 90 for b in raw)
+    marks = sum(33 <= b < 127 and not chr(b).isalnum() for b in raw)
+    hidden = re.findall(r"[^\W\d_]+[0-9@$!*]+[^\W\d_]+", text.lower())
+    a, b = sum(w in fixed for w in words), sum(w in learned for w in words)
+    return [100 * a / n, 100 * b / n, a, b, 100 * close / n, 100 * sum(w in you for w in words) / n, capitals / size, float(capitals / size > 0.3), marks / size, raw.count(b"!") / size, len(hidden) / n, sum(h.translate(disguises) in known for h in hidden), len(words) ** 0.25]

@@ -101,6 +101,39 @@ def test_leaks(docs, items):
     assert decontamination.without_leaks(docs, items).columns == docs.columns
 
 
+def test_leaks_by_brute_force(spark, monkeypatch):
+    """Edits and places of planted, edited items against whole matrices; with the items in one block and in many."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdef", k=rng.randrange(1, 8))) for _ in range(60)]
+    phrase = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = {i: phrase(n) for i, n in enumerate([2, 2, 4, 8, 12, 20, 30])} | {7: "One, TWO!"}
+    texts = ["stone twofold", "say one  two again", "one two", "stone two", ""]
+    for _ in range(60):
+        t = list(rng.choice([items[i] for i in range(7)]))
+        for _ in range(rng.randrange(0, 1 + len(t) // 10)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.choice([0, 1])] = rng.choice(["", "a", " ", "xy"])
+        texts.append(f"{phrase(rng.randrange(0, 12))} {''.join(t).title()}, {phrase(rng.randrange(0, 12))}")
+    wanted = {}
+    for d, t in enumerate(texts):
+        for i, item in items.items():
+            plain = decontamination.normal(item)
+            edits = brute.edit_distance_within(f" {plain} ", f" {decontamination.normal(t)} ")
+            if edits <= len(plain) // decontamination.CHARS_PER_EDIT:
+                wanted[d, i] = edits
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for size in (decontamination.BLOCK_CHARS, 200):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", size)
+        found = {(r.doc_id, r.item_id): r for r in decontamination.matches(docs, queries).collect()}
+        assert {k: r.edits for k, r in found.items()} == wanted
+        for (d, i), r in found.items():
+            here = decontamination.normal(texts[d][r.start : r.end])
+            assert brute.edit_distance_within(f" {decontamination.normal(items[i])} ", f" {here} ") == r.edits
+        assert {r.doc_id for r in decontamination.without_leaks(docs, queries).collect()} == set(range(len(texts))) - {d for d, _ in wanted}
+    assert (0, 7) not in wanted and (1, 7) in wanted and len(wanted) > 30
+
+
 def test_offsets_and_tokens(docs):
     path = public_tokenizers.path(VOCABULARY)
     for r in bpe.encode_decode(docs.filter("doc_id != 8"), path, public_tokenizers.PATTERN, with_tokens=True).collect():

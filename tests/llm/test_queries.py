@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import brute
 import duckdb
@@ -13,8 +15,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
-from sagebrush.llm import bpe, decontamination
+from sagebrush.llm import bpe, decontamination, labelled, quality, toxicity
 from sagebrush.llm.queries import ORACLES, QUERIES, VOCABULARY
 from sagebrush.llm.secrets import ALLOWED, KINDS, THRESHOLDS, WINDOW
 
@@ -54,6 +58,44 @@ def test_classifiers(spark, name, label, folds, out, least):
     assert (held.predicted == held[label]).mean() >= least
 
 
+def test_quality_by_plain_ftrl(spark):
+    """Scores are those of plain FTRL on the same rows, dealt to the same shards."""
+    sf = "/root/testdata/sf0.001"
+    q = quality
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = sorted((r.place, r.doc_id, r.text, r.label) for r in labelled.sample(docs, labels, "quality", 4, 2, q.SAMPLE_ROWS).collect())
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    assert rows and all(zlib.crc32(str(i).encode()) % 4 != 2 and known[i] == y for _, i, _, y in rows)
+    weights = Counter()
+    for shard in range(q.SHARDS):
+        part = [(brute.quality_features(t, q.BITS), y) for place, _, t, y in rows if place % q.SHARDS == shard]
+        for i, w in brute.ftrl(part, q.PASSES, q.ALPHA, q.BETA, q.L1, q.L2).items():
+            weights[i] += w * len(part) / len(rows)
+    found = {r.doc_id: r.score for r in q.classify(docs, labels).collect()}
+    for r in docs.collect():
+        z = sum(weights[i] * v for i, v in brute.quality_features(r.text or "", q.BITS).items())
+        assert found[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_toxicity_by_walking_the_trees(spark):
+    """Scores are the isotonic steps at the trees' margin over plain features; the lexicon and the trees don't see the calibrating rows."""
+    sf, x = "/root/testdata/sf0.01", toxicity
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = labelled.sample(docs, labels, "toxic", 3, 1, x.SAMPLE_ROWS)
+    model = x.Model(rows)
+    flipped = rows.withColumn("label", F.when(F.col("place") % 3 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    again = x.Model(flipped)
+    grown = [m.trees.toDebugString.split("\n", 1)[1] for m in (model, again)]
+    assert again.learned == model.learned and grown[0] == grown[1]
+    features = {r.doc_id: brute.toxicity_features(r.text or "", x.LEXICON, model.learned, x.SECOND_PERSON, x.DISGUISES, x.NEAR) for r in docs.collect()}
+    found = {r.doc_id: r.score for r in model.score(docs).collect()}
+    at, value = model.steps.boundaries.toArray(), model.steps.predictions.toArray()
+    trees = list(zip(model.trees.trees, model.trees.treeWeights, strict=True))
+    for i in sorted(features)[::9]:
+        margin = sum(w * t.predict(Vectors.dense(features[i])) for t, w in trees)
+        assert found[i] == pytest.approx(np.interp(margin, at, value), abs=1e-6)
+
+
 def test_bpe(result, docs):
     import tiktoken
 
