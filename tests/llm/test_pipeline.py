@@ -22,8 +22,12 @@ def test_stages(spark, sf, tmp_path):
     start = pd.read_parquet(f"{sf}/documents.parquet")
     good = quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).toPandas()
     assert set(kept[0].doc_id) == set(good.doc_id[good.predicted == 1]) and len(kept[0]) > len(start) / 2
+    once = brute.words_once(dict(zip(kept[0].doc_id, kept[0].text, strict=True)))
+    assert {i: t.split() for i, t in zip(kept[1].doc_id, kept[1].text, strict=True)} == {i: w for i, w in once.items() if w}
+    assert (kept[1].n_chars == kept[1].text.str.len()).all()
     assert set(kept[2].doc_id) == set(brute.components(dict(zip(kept[1].doc_id, kept[1].text, strict=True))).values())
     matcher = decontamination.Matcher(list(pd.read_parquet(f"{sf}/benchmark.parquet").itertuples(index=False, name=None)))
     assert set(kept[3].doc_id) == {i for i, t in zip(kept[2].doc_id, kept[2].text, strict=True) if not matcher.find(t)}
     assert set(kept[4].doc_id) == set(kept[3].doc_id) and kept[4].round_trip.all()
+    assert (kept[4].ids.str.len() == kept[4].n_tokens).all()
     assert sorted(corpus_pipeline.run(spark, sf).toPandas().ids_sha256) == sorted(kept[4].ids_sha256)
