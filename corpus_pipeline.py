@@ -23,8 +23,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and with them documents of which no word is left."""
-    found = line_dedup.without_repeats(docs)
+    """Later repeated runs of words go, inside lines too, and with them documents of which no word is left."""
+    found = line_dedup.without_repeats(docs, inside_lines=True)
     emptied = (F.col("n_deleted") > 0) & (F.trim("text") == "")
     counted = F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.filter(F.coalesce(~emptied, F.lit(True))).withColumn("n_chars", counted).select(docs.columns)
@@ -45,8 +45,8 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and hashes of ids and decoded text."""
-    return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    """Tokens with their offsets, counts, and hashes of ids and decoded text."""
+    return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_tokens=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
