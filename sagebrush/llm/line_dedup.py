@@ -172,8 +172,8 @@ def line_bounds(text: str) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([len(x.split()) for x in text.split("\n")])])
 
 
-def cut(text: str, runs: list[int], inside_lines: bool) -> tuple[str, int]:
-    """``text`` without the words of ``runs``, and the number of lines that go whole.
+def cut(text: str, runs: list[int], inside_lines: bool) -> tuple[str, int, int]:
+    """``text`` without the words of ``runs``, the number of lines that go whole, and the number of words that go.
 
     A line goes if all its words do, a blank one if it lies inside a run. Other lines stay as they are, unless
     ``inside_lines`` is set: then what is left of them stays, with the white space on one side of a gap.
@@ -184,14 +184,17 @@ def cut(text: str, runs: list[int], inside_lines: bool) -> tuple[str, int]:
     for s, e in zip(runs[::2], runs[1::2], strict=True):
         gone[s:e] = True
         inside[s + 1 : e] = True
-    left = []
+    left, n_words = [], 0
     for line, s, e in zip(lines, bounds, bounds[1:], strict=False):
-        if (gone[s:e].all() if e > s else inside[s]):
+        n = int(gone[s:e].sum())
+        if n == e - s if e > s else inside[s]:
+            n_words += n
             continue
-        if inside_lines and gone[s:e].any():
+        if inside_lines and n:
             line = without_words(line, gone[s:e])
+            n_words += n
         left.append(line)
-    return "\n".join(left), len(lines) - len(left)
+    return "\n".join(left), len(lines) - len(left), n_words
 
 
 def without_words(line: str, gone: np.ndarray) -> str:
@@ -212,25 +215,25 @@ def without_words(line: str, gone: np.ndarray) -> str:
 
 
 def without_repeats(docs: DataFrame, inside_lines: bool = False) -> DataFrame:
-    """``docs`` with all its columns, later repeated runs of words deleted from text; adds n_lines and n_deleted.
+    """``docs`` with all its columns, later repeated runs of words deleted from text; adds n_lines, n_deleted and n_words_deleted.
 
     With ``inside_lines`` all words of the runs go, and what else the lines hold in which a run begins or ends stays;
-    without it only the whole lines of the runs go. n_deleted counts the lines that go whole.
+    without it only the whole lines of the runs go. n_deleted counts the lines that go whole, n_words_deleted the words.
 
     Order is by doc_id, then by word. Rows of one doc_id are not earlier than each other, be their texts equal or not:
     what they share stays in all of them, unless it stands in an earlier document. Rows with null doc_id and null or
-    empty texts stay as they are (n_deleted 0; a null text has 0 lines). A text may become empty. Columns called
-    n_lines or n_deleted are replaced. No rows give no rows.
+    empty texts stay as they are (nothing deleted; a null text has 0 lines). A text may become empty. Columns with the
+    names of the added ones are replaced. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     runs = scratch.keep(repeated_runs(docs, scratch), "runs")
     scratch.drop("marks", "alone", "marked", "windows")
-    given = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    given = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_words_deleted")]
     runs = runs.select(*(F.col(c).alias(f"_run_{c}") for c in TEXT_KEY), F.col("runs").alias("_runs"))
 
-    @F.pandas_udf("text string, n long")
+    @F.pandas_udf("text string, n long, words long")
     def shortened(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(t, 0) if r is None else cut(t, r, inside_lines) for t, r in zip(texts, runs, strict=True)], columns=["text", "n"])
+        return pd.DataFrame([(t, 0, 0) if r is None else cut(t, r, inside_lines) for t, r in zip(texts, runs, strict=True)], columns=["text", "n", "words"])
 
     # The runs grow with the documents; always merging keeps one plan for all sizes.
     hashes = {"doc_id": F.col("doc_id"), "text_a": F.xxhash64(text_of()), "text_b": F.xxhash64(F.lit(1), text_of())}
@@ -239,4 +242,5 @@ def without_repeats(docs: DataFrame, inside_lines: bool = False) -> DataFrame:
     joined = joined.withColumn("_left", shortened(F.when(some, F.col("text")), F.col("_runs")))
     text = F.when(some, F.col("_left.text")).otherwise(F.col("text"))
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in given), size.alias("n_lines"), F.when(some, F.col("_left.n")).otherwise(0).cast("long").alias("n_deleted"))
+    count = lambda c: F.when(some, F.col(f"_left.{c}")).otherwise(0).cast("long")
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in given), size.alias("n_lines"), count("n").alias("n_deleted"), count("words").alias("n_words_deleted"))
