@@ -25,8 +25,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of words go, inside lines too, and with them documents of which no word is left."""
     found = line_dedup.without_repeats(docs, inside_lines=True)
-    emptied = (F.col("n_deleted") > 0) & (F.trim("text") == "")
-    counted = F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    cut = F.col("n_words_deleted") > 0
+    emptied = cut & ~F.col("text").rlike("(?U)\\S")
+    counted = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.filter(F.coalesce(~emptied, F.lit(True))).withColumn("n_chars", counted).select(docs.columns)
 
 
