@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from . import words as W
 from .text import any_of
 
-GAINED = ["achieved", "acquired", "certified", "added", "now available", "launched", "shipped", "now meets", "now compliant", "passed", "attained", "enabled", "live"]
-GAINED_FOR_SURE = ["achieved", "acquired", "certified", "now available", "launched", "shipped", "now meets", "now compliant", "passed", "attained", "live"]
-LOST = ["not available", "not yet", "not achieved", "not certified", "not compliant", "no ", "lacks", "missing", "in progress", "pending", "not met", "not passed", "unavailable", "absent"]
 SSO_SEATS = 10
 
 
@@ -38,8 +35,8 @@ def segment(text: Column, keywords: list[str]) -> Column:
 
 def gained(part: Column) -> Column:
     """A part tells a gain: beside words of loss only by a sure word that "not" doesn't precede."""
-    sure = part.rlike("(?<!not\\s{1,4})(?:" + "|".join(GAINED_FOR_SURE) + ")")
-    return F.when(any_of(part, LOST), sure).otherwise(any_of(part, GAINED))
+    sure = part.rlike("(?<!not\\s{1,4})(?:" + "|".join(W.GAINED_FOR_SURE) + ")")
+    return F.when(any_of(part, W.LOST), sure).otherwise(any_of(part, W.GAINED))
 
 
 def effective_profile(profile: Column, changes: Column, category: Column, seats: Column) -> Column:
@@ -47,7 +44,7 @@ def effective_profile(profile: Column, changes: Column, category: Column, seats:
     text = F.lower(F.trim(F.regexp_replace(F.coalesce(changes, F.lit("")), r"^\s*\{[^{}]*\}\s*;?", "")))
     silent = text.isin("", "unchanged", "no changes", "none")
     yes = lambda name: F.coalesce(profile[name], F.lit(False))
-    lost = lambda part: any_of(part, LOST)
+    lost = lambda part: any_of(part, W.LOST)
     soc2, sso, uk, eu, audit = (segment(text, k) for k in (["soc2", "soc 2"], ["sso", "saml", "oidc"], ["uk"], ["eu", "gdpr"], ["audit log", "audit trail", "exportable audit"]))
     flip = lambda name, part, able: F.when(part.isNull(), yes(name)).when(~yes(name) & able & gained(part), True).when(yes(name) & lost(part), False).otherwise(yes(name))
     home = uk.isNotNull() & F.contains(uk, F.lit("residency"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagebrush.functions.text import match_score, tokens, topics
+from sagebrush.functions.text import first_where, match_score, polarity, squeezed, tokens, topics
 
 
-def best_match(issues: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+def best_match(issues: DataFrame, changes: DataFrame, key: str, allowed: list[str] | None = None, source: str = "competitor") -> DataFrame:
     """The best-scoring issue and change of each key, scores above 0; ties go to the first issue, then change.
 
-    Both sides have the key, pos and text. The join is on the key, and topics and tokens are made once for each text,
-    before it.
+    Both sides have the key, pos and text; of the changes only those of an ``allowed`` polarity count. The join is on the
+    key, and topics and tokens are made once for each text, before it.
     """
+    if allowed is not None:
+        changes = changes.filter(polarity(F.col("text"), source).isin(allowed))
     made = lambda df, s: df.select(key, F.col("pos").alias(f"{s}_pos"), F.col("text").alias(s), topics(F.col("text")).alias(f"{s}_topics"), tokens(F.col("text")).alias(f"{s}_tokens"))
     pairs = made(issues, "issue").join(made(changes, "change"), key)
     scored = pairs.withColumn("score", match_score(*(F.col(c) for c in ("issue_topics", "issue_tokens", "change_topics", "change_tokens")))).filter("score > 0")
@@ -36,3 +38,41 @@ def pivot_steps(df: DataFrame, key: str, step: str, value: str, steps: list[str]
 
 def rank_within(df: DataFrame, name: str, keys: list[str], *order) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def entries(texts: Column, source: str) -> Column:
+    """Texts with their place, topics, tokens and polarity; blank ones are left out."""
+    clean = F.filter(F.transform(texts, squeezed), lambda x: x != "")
+    told = lambda x, i: F.struct(F.lit(source).alias("source"), i.alias("pos"), x.alias("text"), topics(x).alias("topics"), tokens(x).alias("tokens"), polarity(x, source).alias("polarity"))
+    return F.transform(clean, told)
+
+
+def semantic_view(df: DataFrame, key: str, issues: str, changes: str, tools: str) -> DataFrame:
+    """How the changes of each row meet its issues; ``df`` with the columns of the view added.
+
+    positive_pull, pending_pull, positive_tool, negative_tool are the best matches (issue, change) or null; primary_issue,
+    primary_pull and primary_tool_change are the texts that matter most; has_positive_pull, has_pending_pull,
+    has_positive_tool, has_negative_tool tell of any entry. The key must be unique. Lists are of one row, so pairs are made
+    within it; one aggregate by key takes the best of each kind.
+    """
+    made = df.select(key, entries(F.col(issues), "issue").alias("i"), entries(F.col(changes), "competitor").alias("c"), entries(F.col(tools), "tool").alias("t"))
+    pairs = made.select(key, F.explode("i").alias("i"), F.concat("c", "t").alias("all")).select(key, "i", F.explode("all").alias("x"))
+    pairs = pairs.withColumn("score", match_score(F.col("i.topics"), F.col("i.tokens"), F.col("x.topics"), F.col("x.tokens"))).filter("score > 0")
+    match = F.struct(F.col("i.text").alias("issue"), F.col("x.text").alias("change"))
+    order = F.struct("score", -F.col("i.pos"), -F.col("x.pos"))
+    kinds = {"positive_pull": ("competitor", "positive"), "pending_pull": ("competitor", "pending"), "positive_tool": ("tool", "positive"), "negative_tool": ("tool", "negative")}
+    best = pairs.groupBy(key).agg(*(F.max_by(match, F.when((F.col("x.source") == s) & (F.col("x.polarity") == p), order)).alias(name) for name, (s, p) in kinds.items()))
+    by = lambda column, p: first_where(F.col(column), lambda e: e["polarity"] == p)["text"]
+    any_ = lambda column, p: F.exists(column, lambda e: e["polarity"] == p)
+    view = made.join(best, key, "left").select(
+        key,
+        *kinds,
+        F.coalesce("positive_pull.issue", "pending_pull.issue", "negative_tool.issue", "positive_tool.issue", F.get("i", 0)["text"]).alias("primary_issue"),
+        F.coalesce("positive_pull.change", "pending_pull.change", by("c", "positive"), by("c", "pending"), F.get("c", 0)["text"]).alias("primary_pull"),
+        F.coalesce("negative_tool.change", "positive_tool.change", by("t", "negative"), by("t", "positive"), F.get("t", 0)["text"]).alias("primary_tool_change"),
+        any_("c", "positive").alias("has_positive_pull"),
+        any_("c", "pending").alias("has_pending_pull"),
+        any_("t", "positive").alias("has_positive_tool"),
+        any_("t", "negative").alias("has_negative_tool"),
+    )
+    return df.join(view, key)
