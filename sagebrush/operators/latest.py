@@ -42,8 +42,3 @@ def last_value(log: DataFrame, value: str, where: Column) -> DataFrame:
 def runs_of_marker(log: DataFrame, marker: Column, *keys: str) -> DataFrame:
     """``session``: how many markers of a row's key arrived up to it."""
     return log.withColumn("session", F.sum(F.when(marker, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("seq")))
-
-
-def ranked(rows: DataFrame, name: str, *order: Column) -> DataFrame:
-    """Global 1..n rank. All rows meet in one task, so use it on the few rows left after aggregation."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))

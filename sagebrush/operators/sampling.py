@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagebrush.operators.order import rank_within, running_total
+
 
 def shuffled(seed: int, column: str) -> Column:
     """An order that depends on the seed and the id alone."""
@@ -24,8 +26,8 @@ def stratified(df: DataFrame, stratum: str, k: int, seed: int, id_column: str) -
 def balanced(df: DataFrame, group: str, seed: int, id_column: str) -> DataFrame:
     """As many rows of each group as the smallest has."""
     target = df.groupBy(group).count().agg(F.min("count").alias("target"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(shuffled(seed, id_column), id_column))
-    return df.withColumn("place", place.cast("long")).join(F.broadcast(target), F.col("place") <= F.col("target")).drop("target")
+    placed = rank_within(df, "place", [group], shuffled(seed, id_column), F.col(id_column))
+    return placed.join(F.broadcast(target), F.col("place") <= F.col("target")).drop("target")
 
 
 def grouped_split(df: DataFrame, bucket: list[str], group: str, ratio: float, seed: int) -> DataFrame:
@@ -48,7 +50,7 @@ def interleaved_batches(df: DataFrame, stratum: str, size: int, seed: int, id_co
 
     A row's round is its place in its stratum. Rounds number rows within themselves, so nothing is ordered as a whole.
     """
-    dealt = df.withColumn("round", F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(seed, id_column), id_column)))
+    dealt = rank_within(df, "round", [stratum], shuffled(seed, id_column), F.col(id_column))
     placed = dealt.withColumn("slot", F.row_number().over(Window.partitionBy("round").orderBy(stratum)) - 1)
     placed = placed.withColumn("part", F.floor(F.col("slot") / size))
     full = F.count(F.lit(1)).over(Window.partitionBy("round", "part"))
@@ -97,16 +99,16 @@ def diverse_rounds(df: DataFrame, group: str, dimensions: list[str], target: int
 
 
 def order_statistics(df: DataFrame, column: str) -> DataFrame:
-    """n, max and the element at floor(0.95 * n) from 0, without interpolation.
+    """n, min, median (the element at n // 2 from 0), p95 (at floor(0.95 * n), the last at most) and max, without interpolation.
 
-    Values are counted first, so what is sorted in the end is the distinct values with their counts.
+    Values are counted first, so what is summed along the order is the distinct values' counts.
     """
     counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c")).filter("v is not null")
-    total = counts.agg(F.sum("c").alias("n"), F.max("v").alias("max_value"))
-    below = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    found = below.join(F.broadcast(total), F.col("upto") > at)
-    return found.agg(F.max("n").alias("n"), F.min("v").alias("p95"), F.max("max_value").alias("max_value"))
+    total = counts.agg(F.sum("c").alias("n"))
+    below = running_total(counts, "upto", F.col("c"), F.col("v")).join(F.broadcast(total))
+    from_place = lambda at: F.min(F.when(F.col("upto") > at, F.col("v")))
+    p95 = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    return below.agg(F.max("n").alias("n"), F.min("v").alias("min_value"), from_place(F.floor(F.col("n") / 2)).alias("median"), from_place(p95).alias("p95"), F.max("v").alias("max_value"))
 
 
 def with_scores(df: DataFrame, scorer: Callable, schema: str) -> DataFrame:

@@ -38,13 +38,14 @@ def q_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.polarity(F.col("text"), "tool").alias("polarity"))
 
 
-@query(f"""WITH line AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS a, lower(string_split(text, chr(10))[2]) AS b FROM documents),
-t AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(a, '[a-z0-9]+')), lambda x: len(x) > 2 AND NOT list_contains({sql_list(W.GENERIC)}, x)) AS a, list_filter(list_distinct(regexp_extract_all(b, '[a-z0-9]+')), lambda x: len(x) > 2 AND NOT list_contains({sql_list(W.GENERIC)}, x)) AS b FROM line WHERE b IS NOT NULL)
+@query(f"""WITH line AS (SELECT doc_id, lower(text[1:len(text) // 2]) AS a, lower(text[len(text) // 2 + 1:]) AS b FROM documents),
+t AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(a, '[a-z0-9]+')), lambda x: len(x) > 2 AND NOT list_contains({sql_list(W.GENERIC)}, x)) AS a, list_filter(list_distinct(regexp_extract_all(b, '[a-z0-9]+')), lambda x: len(x) > 2 AND NOT list_contains({sql_list(W.GENERIC)}, x)) AS b FROM line)
 SELECT doc_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS shared FROM t""")
 def q_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared tokens of a text's first two lines."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l")).filter(F.size("l") > 1)
-    return lines.select("doc_id", F.size(F.array_intersect(X.tokens(F.get("l", 0)), X.tokens(F.get("l", 1)))).cast("long").alias("shared"))
+    """Shared tokens of a text's two halves."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_intersect(X.tokens(first), X.tokens(second))).cast("long").alias("shared"))
 
 
 def topic_sql(text: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sagebrush.functions.confidence import entropy_bits, margin, normalised
@@ -58,7 +58,7 @@ def q_confidence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).agg(mean(pct).alias("mean_pct"), mean(F.when(right, pct)).alias("mean_correct_pct"), mean(F.when(~right, pct)).alias("mean_wrong_pct"))
 
 
-@query("WITH s AS (SELECT list_sort(list(n_chars // 4)) AS v, count(*) AS n, max(n_chars // 4) AS max_value FROM documents) SELECT n, v[CAST(least(n - 1, floor(n * 0.95)) AS BIGINT) + 1] AS p95, max_value FROM s")
+@query("WITH s AS (SELECT list_sort(list(n_chars // 4)) AS v, count(*) AS n, min(n_chars // 4) AS min_value, max(n_chars // 4) AS max_value FROM documents) SELECT n, min_value, v[n // 2 + 1] AS median, v[CAST(least(n - 1, floor(n * 0.95)) AS BIGINT) + 1] AS p95, max_value FROM s")
 def q_order_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_statistics(table(spark, sf_dir, "documents").select(F.floor(F.col("n_chars") / 4).alias("n_tokens")), "n_tokens")
 
@@ -87,12 +87,16 @@ def q_stratified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 25, 42, "doc_id")
 
 
-@query("""WITH s AS (SELECT user_id, list(CASE event_type WHEN 'purchase' THEN 'SWITCH' WHEN 'view' THEN 'STAY' ELSE 'HOLD' END ORDER BY event_id) AS said FROM events WHERE event_id % 10 = 1 GROUP BY user_id)
+@query("""WITH s AS (SELECT user_id, list(CASE event_type WHEN 'purchase' THEN 'SWITCH' WHEN 'view' THEN 'STAY' ELSE 'HOLD' END ORDER BY event_id) AS said FROM events GROUP BY user_id)
 SELECT user_id, CAST(len(said) AS BIGINT) AS n, round(len(list_filter(said[1:4], lambda x: x = 'SWITCH')) / 4.0, 6) AS reward FROM s""")
 def q_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of four expected verdicts that a numbered answer meets."""
     said = F.when(F.col("event_type") == "purchase", "SWITCH").when(F.col("event_type") == "view", "STAY").otherwise("HOLD")
-    e = table(spark, sf_dir, "events").filter("event_id % 10 = 1").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", said.alias("v")))).alias("s"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", said.alias("v"))
+    # The reward reads four verdicts; of a user with many more, no task keeps more than these.
+    first = e.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("place <= 4")
+    first = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "v"))).alias("s"))
+    e = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(first, "user_id")
     answer = F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] because.\n**VERDICT:** "), x["v"])), "\n")
     expected = F.array(*[F.lit("SWITCH")] * 4)
-    return e.select("user_id", F.size("s").cast("long").alias("n"), F.round(reward(numbered_verdicts(answer, 4), expected), 6).alias("reward"))
+    return e.select("user_id", "n", F.round(reward(numbered_verdicts(answer, 4), expected), 6).alias("reward"))

@@ -10,6 +10,7 @@ from sagebrush.functions.compliance import effective_profile, failures, overridd
 from sagebrush.functions.finance import annual_saving, inferred_price, roi, roi_bucket
 
 from .registry import query, table
+from .signals import RULES, one_of, one_of_sql, pick, pick_sql, signals, with_rules
 
 
 def signal_context(signals: DataFrame, stack: DataFrame, usage: DataFrame, registry: DataFrame) -> DataFrame:
@@ -22,23 +23,23 @@ def signal_context(signals: DataFrame, stack: DataFrame, usage: DataFrame, regis
 
 
 @query("""SELECT l_orderkey, l_linenumber, p_brand, s_name, n_name, r_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 5 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey WHERE l_quantity >= 45""")
+LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 5 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey""")
 def q_context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with four dimensions, two of them optional."""
     t = lambda n: table(spark, sf_dir, n)
-    rows = t("lineitem").filter("l_quantity >= 45").join(t("part"), F.expr("l_partkey = p_partkey")).join(t("supplier"), F.expr("l_suppkey = s_suppkey"))
+    rows = t("lineitem").join(t("part"), F.expr("l_partkey = p_partkey")).join(t("supplier"), F.expr("l_suppkey = s_suppkey"))
     rows = rows.join(F.broadcast(t("nation").filter("n_nationkey % 5 <> 0")), F.expr("s_nationkey = n_nationkey"), "left").join(F.broadcast(t("region")), F.expr("n_regionkey = r_regionkey"), "left")
     return rows.select("l_orderkey", "l_linenumber", "p_brand", "s_name", "n_name", "r_name")
 
 
 ROI_SQL = """r AS (
     SELECT l_orderkey, l_linenumber, round((p_retailprice + CASE WHEN l_linenumber = 1 THEN 50 ELSE 0 END - floor(l_extendedprice / l_quantity)) * 12, 2) AS saving
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
 n AS (SELECT *, 15 * 48 AS cost, saving - 15 * 48 / 3.0 AS net FROM r)"""
 
 
 def roi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
     saving = annual_saving(F.col("p_retailprice"), F.when(F.col("l_linenumber") == 1, 50.0), F.floor(F.col("l_extendedprice") / F.col("l_quantity")))
     return rows.select("l_orderkey", "l_linenumber", saving.alias("saving")).withColumn("roi", roi(F.col("saving")))
 
@@ -54,24 +55,13 @@ def q_roi_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRICES = [
-    ("from £390 to £345", 390.0, 510.0),
-    ("£390 (competitor) vs £510 (NexusCRM)", 390.0, 510.0),
-    ("reduced by £40", 390.0, 510.0),
-    ("increased by £40", 390.0, 510.0),
-    ("unchanged, was £400", 390.0, 510.0),
-    ("competitive", 390.0, 510.0),
-    ("", 390.0, 510.0),
-    ("PS420 flat vs PS420 flat", 400.0, 420.0),
-    ("slightly reduced", 5.0, 420.0),
-    ("slightly increased", 5.0, 420.0),
-    ("now £510", 390.0, 510.0),
-    ("competitor now £510", 390.0, 510.0),
-    ("from PS480 to PS355 a month", 480.0, 510.0),
-]
-
-
-@query("""WITH p AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{d}', {b}, {c})" for i, (d, b, c) in enumerate(PRICES)) + r""") t(id, delta, base, cur)),
-d AS (SELECT doc_id, p.* FROM p JOIN documents ON doc_id % 13 = id),
+    "from £{a} to £{b}", "£{a} (competitor) vs £{b} (NexusCRM)", "reduced by £{a}", "increased by £{a}", "unchanged, was £{a}", "competitive", "",
+    "PS{a} flat vs PS{a} flat", "slightly reduced", "slightly increased", "now £{b}", "competitor now £{b}", "from PS{a}.50 to PS{b} a month", "apps {a}",
+]
+
+
+@query(f"""WITH d AS (SELECT doc_id, replace(replace({one_of_sql(PRICES, "price")}, '{{a}}', CAST(20 + {pick_sql("a", 40)} * 10 AS VARCHAR)), '{{b}}', CAST(300 + {pick_sql("b", 8)} * 30 AS VARCHAR)) AS delta,
+    CAST(5 + {pick_sql("base", 90)} * 5 AS DOUBLE) AS base, CAST(300 + {pick_sql("cur", 8)} * 30 AS DOUBLE) AS cur FROM documents),
 a AS (SELECT *, list_transform(regexp_extract_all(delta, '(?i)(?:£|PS)\s*([0-9]+(?:\.[0-9]+)?)', 1), lambda x: CAST(x AS DOUBLE)) AS amounts,
     TRY_CAST(regexp_extract(delta, '(?i)from\s*(?:£|PS)\s*([0-9.]+)\s*(?:/\w+)?\s*to\s*(?:£|PS)\s*([0-9.]+)', 2) AS DOUBLE) AS target,
     TRY_CAST(regexp_extract(delta, '(?i)(?:reduced|decreased|down)\s+by\s*£\s*([0-9.]+)', 1) AS DOUBLE) AS less,
@@ -82,10 +72,11 @@ SELECT doc_id, CAST(CASE WHEN delta = '' OR contains(delta, 'unchanged') OR delt
     WHEN len(list_filter(amounts, lambda x: abs(x - cur) >= 0.01)) > 0 THEN list_filter(amounts, lambda x: abs(x - cur) >= 0.01)[1]
     WHEN contains(delta, 'slightly reduced') THEN greatest(0, base - 10) WHEN contains(delta, 'slightly increased') THEN base + 10 ELSE base END AS DOUBLE) AS price FROM a""")
 def q_price_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices told in words; documents only say which wording a row has."""
-    said = spark.createDataFrame([(i, *p) for i, p in enumerate(PRICES)], "id long, delta string, base double, cur double")
-    rows = table(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(said), F.col("doc_id") % 13 == F.col("id"))
-    return rows.select("doc_id", inferred_price(F.col("delta"), F.col("base"), F.col("cur")).alias("price"))
+    """Prices told in words: wording, amounts, base and current price of each document vary independently."""
+    amount = lambda slot, least, n, step: (least + pick(slot, n) * step).cast("string")
+    delta = F.replace(F.replace(one_of(PRICES, "price"), F.lit("{a}"), amount("a", 20, 40, 10)), F.lit("{b}"), amount("b", 300, 8, 30))
+    price = inferred_price(delta, (5 + pick("base", 90) * 5).cast("double"), (300 + pick("cur", 8) * 30).cast("double"))
+    return table(spark, sf_dir, "documents").select("doc_id", price.alias("price"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,30 +116,18 @@ def q_compliance_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", (F.size(failures(F.col("new"), F.col("category"), F.col("seats"))) == 0).alias("passed"))
 
 
-NOTES = [
-    ["renewal due in June"], ["consider a pilot"], ["no beta or roadmap caveats"], ["feature is in preview"], ["sync is live", "renewal calls flagged export as a blocker"],
-    ["overkill for the team"], ["pilot running", "feature is in preview"], [],
-]
-
-
-@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'renewal due in June' WHEN 6 THEN 'pilot running' ELSE 'NONE' END AS hold,
-CASE doc_id % 8 WHEN 3 THEN 'feature is in preview' WHEN 5 THEN 'overkill for the team' ELSE 'NONE' END AS disqualifier,
-CASE WHEN doc_id % 8 IN (0, 6) THEN 'HOLD' WHEN doc_id % 3 = 0 OR doc_id % 8 IN (3, 5) THEN 'STAY' WHEN doc_id % 8 = 4 THEN 'SWITCH' ELSE 'STAY' END AS verdict FROM documents""")
+@query(f"""WITH {RULES}, b AS (SELECT doc_id, NOT soc2_type2 OR (seats > 10 AND NOT sso_saml) OR (NOT uk_residency AND NOT gdpr_eu_residency)
+    OR (category IN ('finance', 'hr', 'crm') AND NOT (audit_log AND coalesce(audit_log_exportable, true))) AS blocked FROM sig)
+SELECT doc_id, hold, disq AS disqualifier, CASE WHEN hold <> 'NONE' THEN 'HOLD' WHEN blocked OR disq <> 'NONE' THEN 'STAY' WHEN enabler <> 'NONE' AND demand <> 'NONE' THEN 'SWITCH' ELSE 'UNKNOWN' END AS verdict
+FROM ruled JOIN b USING (doc_id)""")
 def q_verdict_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules over notes and changes; documents only say which notes a row has."""
-    notes = F.element_at(F.array(*(F.array(*map(F.lit, n)).cast("array<string>") for n in NOTES)), (F.col("doc_id") % 8 + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", notes.alias("notes"), F.array().cast("array<string>").alias("changes"))
-    rows = rows.withColumn("hold", X.hold_signal(F.col("notes"), F.col("changes")))
-    rows = rows.withColumn("disqualifier", X.disqualifier(F.col("notes"), F.col("hold")))
-    blocks = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("No SOC2 Type II"))).otherwise(F.array().cast("array<string>"))
-    verdict = overridden(F.lit("STAY"), F.col("hold"), F.col("disqualifier"), blocks, X.migration_enabler(F.col("notes")), X.demand_signal(F.col("notes")))
+    """The verdict that the rules force on a model's answer; UNKNOWN is the answer that they leave."""
+    rows = with_rules(signals(spark, sf_dir))
+    blocks = failures(F.col("profile"), F.col("category"), F.col("seats"))
+    verdict = overridden(F.lit("UNKNOWN"), F.col("hold"), F.col("disqualifier"), blocks, F.col("enabler"), F.col("demand"))
     return rows.select("doc_id", "hold", "disqualifier", verdict.alias("verdict"))
 
 
-LINES = ["Shelfware: 12 seats idle", "inactive seats: 14 of 40", "inactive seats: 4 of 40", "inactive seats rose to 35%", "no shelfware", "stable"]
-
-
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Shelfware: 12 seats idle' WHEN 1 THEN 'inactive seats: 14 of 40' WHEN 3 THEN 'inactive seats rose to 35%' ELSE 'NONE' END AS found FROM documents")
+@query(f"WITH {RULES} SELECT doc_id, unused AS found FROM ruled")
 def q_shelfware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.element_at(F.array(*map(F.lit, LINES)), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.shelfware(F.array(F.lit("unchanged"), line)).alias("found"))
+    return signals(spark, sf_dir).select("doc_id", X.shelfware(F.col("tool")).alias("found"))

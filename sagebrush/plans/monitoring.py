@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebrush.operators.latest import last_rows, last_value, latest_per_key, ranked, since_marker
+from sagebrush.operators.latest import last_rows, last_value, latest_per_key, since_marker
+from sagebrush.operators.order import ranked
 
 from .registry import query, table
 
@@ -111,8 +112,9 @@ LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 def latest_runs(log: DataFrame) -> DataFrame:
     """The latest run of each competitor, with the place of its first run; runs without a competitor don't count."""
     runs = live_runs(log).filter(F.col("competitor") != "")
-    first = runs.groupBy("competitor").agg(F.min("seq").alias("first_seq"))
-    return latest_per_key(runs, "competitor").join(first, "competitor")
+    rest = [c for c in runs.columns if c != "competitor"]
+    found = runs.groupBy("competitor").agg(F.max_by(F.struct(*rest), F.struct("ts", -F.col("seq"))).alias("_row"), F.min("seq").alias("first_seq"))
+    return found.select("competitor", *(F.col("_row")[c].alias(c) for c in rest), "first_seq")
 
 
 @query(f"WITH {LOG}, {LATEST} SELECT competitor, seq, ts, verdict, prob, first_seq FROM latest")
@@ -188,9 +190,7 @@ def feedback_queue(log: DataFrame) -> DataFrame:
 new AS (SELECT log.* FROM log, cut WHERE type = 'human_feedback' AND NOT coalesce(correct, true) AND stated_verdict IS DISTINCT FROM actual_verdict AND memo_filename <> '' AND coalesce(ts > cutoff, true))
 SELECT memo_filename, seq, stated_verdict, actual_verdict FROM (SELECT *, row_number() OVER (PARTITION BY memo_filename ORDER BY ts DESC, seq) AS r FROM new) WHERE r = 1""")
 def q_feedback_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The last checkpoints of events are at its end; those of the first half leave feedback to queue.
-    log = events_as_log(spark, sf_dir)
-    return feedback_queue(log)
+    return feedback_queue(events_as_log(spark, sf_dir))
 
 
 def confidence_trend(log: DataFrame, n: int = TREND_ROWS) -> DataFrame:
@@ -230,13 +230,13 @@ def q_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_name, s_acctbal, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-last AS (SELECT l_suppkey, l_returnflag AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_suppkey % 7 <> 0) WHERE r = 1)
+last AS (SELECT l_suppkey, l_returnflag AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1)
 SELECT s_suppkey, s_name, n_name, coalesce(verdict, 'NONE') AS verdict, CAST(row_number() OVER (ORDER BY CASE coalesce(verdict, 'NONE') WHEN 'R' THEN 0 WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, coalesce(s_acctbal, -1) DESC, s_suppkey) AS BIGINT) AS place
 FROM s LEFT JOIN last ON s_suppkey = l_suppkey""")
 def q_registry_left_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry with each entry's latest verdict, or NONE, in the order of the list view."""
     s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    runs = table(spark, sf_dir, "lineitem").filter(F.col("l_suppkey") % 7 != 0)
+    runs = table(spark, sf_dir, "lineitem")
     order = F.struct("l_shipdate", -F.col("l_orderkey"), -F.col("l_linenumber"))
     last = runs.groupBy("l_suppkey").agg(F.max_by("l_returnflag", order).alias("verdict"))
     rows = s.join(last, F.col("s_suppkey") == F.col("l_suppkey"), "left").withColumn("verdict", F.coalesce("verdict", F.lit("NONE")))

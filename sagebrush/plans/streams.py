@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +10,6 @@ from sagebrush.streaming import live
 from .registry import query, table
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    name = "drained_" + uuid.uuid4().hex
-    run = live.into_table(stream, name, mode=mode)
-    run.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a stream: a folder's files, or the one file by its name."""
     return live.read_log(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events"))
@@ -28,9 +19,31 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
 def q_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that the watermark has closed."""
-    return drained(live.daily(events_stream(spark, sf_dir))).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return live.drained(live.daily(events_stream(spark, sf_dir))).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1")
 def q_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(live.latest_per_key(events_stream(spark, sf_dir), "user_id"), "complete").select("user_id", "event_id", "event_type", "value")
+    return live.drained(live.latest_per_key(events_stream(spark, sf_dir), "user_id"), complete=True).select("user_id", "event_id", "event_type", "value")
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * k) AS start FROM events, range(2) r(k))
+SELECT start, count(*) AS n FROM w WHERE start + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY start""")
+def q_stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of twelve hours every six that the watermark has closed."""
+    return live.drained(live.sliding(events_stream(spark, sf_dir), "12 hours", "6 hours")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM (SELECT DISTINCT event_id FROM events)")
+def q_stream_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a stream read twice leaves, once replays are dropped."""
+    twice = events_stream(spark, sf_dir).select("event_id", "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    return live.drained(live.without_replays(twice, "event_id").select("event_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_ids"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def q_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user, closed after six hours without an event."""
+    s = live.drained(live.sessions(events_stream(spark, sf_dir), "user_id", "6 hours"))
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

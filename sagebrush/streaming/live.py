@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from sagebrush.operators.order import checkpoint_folder
 
 
 def read_log(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 8) -> DataFrame:
@@ -36,12 +43,39 @@ def without_replays(log: DataFrame, id_column: str, late: str = "1 hour") -> Dat
     return log.withWatermark("ts", late).dropDuplicatesWithinWatermark([id_column])
 
 
-def into_table(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> StreamingQuery:
-    """Run a stream over what is there and stop; results are in the in-memory table ``name``."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-
-
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to Parquet files, exactly once."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replace_at(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the whole result of an aggregation in Parquet files, replaced by each batch; executors write it, not the driver."""
+    return stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
+    """Run a stream over what is there, and read what it wrote to the shared folder."""
+    base = f"{checkpoint_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{base}/rows")
+    (replace_at if complete else append_to)(stream, f"{base}/rows", f"{base}/state").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def due_checks(log: DataFrame, every: int = 10) -> DataFrame:
+    """Runs of each category since its last accuracy check, and whether a check is due, as an update after each batch.
+
+    The log has seq, type and category. The state of a category is one number; a batch's rows reach it in order of arrival.
+    """
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, upto = state.get if state.exists else (0, -1)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        checks = rows.loc[rows["type"] == "accuracy_check", "seq"]
+        if len(checks) and checks.max() > upto:
+            n, upto = 0, int(checks.max())
+        n += int(((rows["type"] == "live_run") & (rows["seq"] > upto)).sum())
+        state.update((n, upto))
+        yield pd.DataFrame({"category": [key[0]], "n_since": [n], "due": [n >= every]})
+
+    schema = "category string, n_since long, due boolean"
+    return log.select("category", "seq", "type").groupBy("category").applyInPandasWithState(count, schema, "n long, upto long", "update", GroupStateTimeout.NoTimeout)
