@@ -199,6 +199,32 @@ def signal_case(stem: Column, text: Column) -> Column:
     )
 
 
+def missing_keys(payload: Column, required: list[str]) -> Column:
+    """Required keys that an object lacks, sorted."""
+    return present([F.when(field(payload, k).isNull(), F.lit(k)) for k in sorted(required)])
+
+
+def is_subset(part: Column, whole: Column) -> Column:
+    return F.size(F.array_except(part, whole)) == 0
+
+
+def competitor_errors(payload: Column) -> Column:
+    """What a registry entry lacks."""
+    profile, features = field(payload, "compliance"), field(payload, "features")
+    told = lambda what, keys: F.when(F.size(keys) > 0, F.concat(F.lit(what), F.array_join(keys, ", ")))
+    return present([
+        told("missing keys: ", missing_keys(payload, W.COMPETITOR_KEYS)),
+        F.when((kind(profile) == "OBJECT") | profile.isNull(), told("compliance missing keys: ", F.when(profile.isNull(), F.array(*map(F.lit, sorted(W.COMPLIANCE_KEYS)))).otherwise(missing_keys(profile, W.COMPLIANCE_KEYS)))).otherwise(F.lit("compliance is not an object")),
+        F.when(~F.coalesce((kind(features) == "ARRAY") & (F.size(items(features)) > 0), F.lit(False)), F.lit("features list is empty or missing")),
+    ])
+
+
+def stack_errors(payload: Column) -> Column:
+    """Categories that a stack lacks, and keys that its entries lack."""
+    of = lambda c: missing_keys(field(payload, c), W.STACK_KEYS)
+    return present([F.when(field(payload, c).isNull(), F.lit(f"missing category: {c}")).when(F.size(of(c)) > 0, F.concat(F.lit(f"{c} missing keys: "), F.array_join(of(c), ", "))) for c in W.CATEGORIES])
+
+
 def price_hike(tool_lines: Column) -> Column:
     return F.coalesce(first_where(tool_lines, lambda x: x.rlike(W.PRICE_HIKE)), F.lit("NONE"))
 

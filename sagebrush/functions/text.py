@@ -238,6 +238,26 @@ def title_case(slug: Column) -> Column:
     return F.initcap(F.replace(slug, F.lit("_"), F.lit(" ")))
 
 
+def category_label(category: Column) -> Column:
+    return F.when(category == "project_mgmt", "Project Management").when(category.isin("crm", "hr"), F.upper(category)).otherwise(F.concat(F.upper(F.left(category, F.lit(1))), F.substring(category, F.lit(2), F.length(category))))
+
+
+def version_label(updated: Column) -> Column:
+    """``vYY.MM`` of a day told as text; null without one."""
+    return F.when(F.coalesce(updated, F.lit("")) != "", F.concat(F.lit("v"), F.substring(updated, 3, 2), F.lit("."), F.substring(updated, 6, 2)))
+
+
+def moment_label(ts: Column) -> Column:
+    """Day and minute of a moment told as text; the day alone at midnight, a dash without one."""
+    day, minute = F.left(ts, F.lit(10)), F.substring(ts, 12, 5)
+    return F.when(F.coalesce(ts, F.lit("")) == "", "—").otherwise(F.when(minute.isin("", "00:00"), day).otherwise(F.concat_ws(" ", day, minute)))
+
+
+def confidence_label(p: Column) -> Column:
+    """A probability with four digits, a dash without one."""
+    return F.coalesce(F.format_number(p, 4), F.lit("—"))
+
+
 def slugified(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
 

@@ -1,6 +1,6 @@
 """Composite queries: monitoring, evaluation, gates, curation and data quality."""
 
-from . import curation, evaluation, gates, memos, monitoring, quality, signals, streams, traces  # noqa: F401  each registers its queries
+from . import agent, curation, evaluation, gates, memos, monitoring, quality, signals, streams, traces  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
