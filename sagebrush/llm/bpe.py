@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -31,7 +32,9 @@ from .common import map_texts
 #: Marks strings that make a piece doubtful wherever they stand; others are marked by their rank.
 ONCE = -1
 #: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+#: Bytes of text whose tokens are in memory at once.
+SLICE_BYTES = 1_000_000
 
 
 def byte_table() -> list[str]:
@@ -198,7 +201,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_tokens: bool =
 
     def rows(ids: list, texts: list[str]) -> list:
         bpe = coder(path, pattern)
-        n, ids_sha, raw_sha, same, tokens, starts, ends = [], [], [], [], [], [], []
+        n, ids_sha, raw_sha, same, spans = [], [], [], [], []
+        tokens = array("i")
         for text in texts:
             (found,) = bpe.encode([text])
             raw = bpe.decode(found)
@@ -207,14 +211,17 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_tokens: bool =
             raw_sha.append(hashlib.sha256(raw).hexdigest())
             same.append(raw == text.encode())
             if with_tokens:
-                spans = bpe.spans(text, found)
-                tokens.append(found)
-                starts.append(spans[:, 0].tolist())
-                ends.append(spans[:, 1].tolist())
-        return [pa.array(ids, pa.int64()), n, ids_sha, raw_sha, same, *([tokens, starts, ends] if with_tokens else [])]
+                tokens.extend(found)
+                spans.append(bpe.spans(text, found).astype(np.int32))
+        columns = [pa.array(ids, pa.int64()), n, ids_sha, raw_sha, same]
+        if with_tokens:
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            flat = np.concatenate(spans) if spans else np.zeros((0, 2), np.int32)
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x))) for x in (np.frombuffer(tokens, np.int32) if tokens else flat[:, 0], flat[:, 0], flat[:, 1])]
+        return columns
 
     extra = ", ids array<int>, starts array<int>, ends array<int>" if with_tokens else ""
-    return map_texts(docs, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + extra)
+    return map_texts(docs, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + extra, slice_bytes=SLICE_BYTES)
 
 
 class _Decimal(dict):
