@@ -60,7 +60,7 @@ PRICES = [
 ]
 
 
-@query(f"""WITH d AS (SELECT doc_id, replace(replace({one_of_sql(PRICES, "price")}, '{{a}}', CAST(20 + {pick_sql("a", 40)} * 10 AS VARCHAR)), '{{b}}', CAST(300 + {pick_sql("b", 8)} * 30 AS VARCHAR)) AS delta,
+@query(rf"""WITH d AS (SELECT doc_id, replace(replace({one_of_sql(PRICES, "price")}, '{{a}}', CAST(20 + {pick_sql("a", 40)} * 10 AS VARCHAR)), '{{b}}', CAST(300 + {pick_sql("b", 8)} * 30 AS VARCHAR)) AS delta,
     CAST(5 + {pick_sql("base", 90)} * 5 AS DOUBLE) AS base, CAST(300 + {pick_sql("cur", 8)} * 30 AS DOUBLE) AS cur FROM documents),
 a AS (SELECT *, list_transform(regexp_extract_all(delta, '(?i)(?:£|PS)\s*([0-9]+(?:\.[0-9]+)?)', 1), lambda x: CAST(x AS DOUBLE)) AS amounts,
     TRY_CAST(regexp_extract(delta, '(?i)from\s*(?:£|PS)\s*([0-9.]+)\s*(?:/\w+)?\s*to\s*(?:£|PS)\s*([0-9.]+)', 2) AS DOUBLE) AS target,
