@@ -21,6 +21,10 @@ def line_sections(text: str) -> np.ndarray:
     return np.concatenate([[0], breaks[breaks < len(text)]])
 
 
+def told_sections(starts: list[int] | None, text: str) -> np.ndarray:
+    return np.unique([0, *(s for s in starts or () if s is not None and 0 < s < len(text))])
+
+
 def attribute(spans: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, tokens that cross a boundary, and characters of each section.
 
@@ -38,8 +42,11 @@ def attribute(spans: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.nd
     return np.bincount(owner, minlength=k), np.bincount(owner[crossing], minlength=k), np.diff(bounds)
 
 
-def section_token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Token counts of every line of every document.
+def section_token_counts(docs: DataFrame, path: str, pattern: str, sections: str | None = None) -> DataFrame:
+    """Token counts of every section of every document: of its lines, or of what the column ``sections`` says.
+
+    ``sections`` (array of int) has the characters at which a text's sections or fields begin, in order; 0 is one, also
+    where it isn't told, and places beyond the text are none.
 
     Columns: doc_id, section (from 0), char_start, char_end (exclusive), n_tokens, n_crossing (tokens counted here
     that also cover characters of another section).
@@ -48,12 +55,12 @@ def section_token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     itself. Other columns of ``docs`` are not read; no rows give no rows.
     """
 
-    def rows(ids: list, texts: list[str]) -> list:
-        bpe = coder(path, pattern)
+    def rows(ids: list, *told_and_texts: list) -> list:
+        bpe, texts = coder(path, pattern), told_and_texts[-1]
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         sizes = []
-        for text, tokens in zip(texts, bpe.encode(texts), strict=True):
-            starts = line_sections(text)
+        for i, (text, tokens) in enumerate(zip(texts, bpe.encode(texts), strict=True)):
+            starts = line_sections(text) if sections is None else told_sections(told_and_texts[0][i], text)
             n, crossing, _ = attribute(bpe.spans(text, tokens), starts, len(text))
             for column, x in zip(out, (np.arange(len(starts)), starts, np.append(starts[1:], len(text)), n, crossing), strict=True):
                 column.append(x)
@@ -61,4 +68,4 @@ def section_token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         owner = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))
         return [owner, *(pa.array(np.concatenate(x).astype(np.int64)) for x in out)]
 
-    return map_texts(docs, rows, "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long")
+    return map_texts(docs, rows, "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long", ids=("doc_id", *([sections] if sections else [])))

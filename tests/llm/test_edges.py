@@ -292,3 +292,15 @@ def test_long_text_of_many_lines(spark):
     found = {r.doc_id: r for r in line_dedup.without_repeats(spark.createDataFrame([(0, text), (1, "\n".join(lines))], "doc_id long, text string")).collect()}
     assert found[0].text == "\n".join(lines) and found[0].n_deleted == 10_000
     assert found[1].text == "" and found[1].n_deleted == 10_000
+
+
+def test_told_sections(spark):
+    path = public_tokenizers.path(VOCABULARY)
+    rows = [(0, "one two three", [0, 4, 6, 99]), (1, "naïve été", None), (2, "", [0, 3]), (3, None, [1])]
+    found = token_counts.section_token_counts(spark.createDataFrame(rows, "doc_id long, text string, at array<int>"), path, public_tokenizers.PATTERN, "at").collect()
+    spans = sorted((r.doc_id, r.section, r.char_start, r.char_end) for r in found)
+    assert spans == [(0, 0, 0, 4), (0, 1, 4, 6), (0, 2, 6, 13), (1, 0, 0, 9), (2, 0, 0, 0), (3, 0, 0, 0)]
+    own = bpe.coder(path, public_tokenizers.PATTERN)
+    for i, text, _ in rows[:2]:
+        assert sum(r.n_tokens for r in found if r.doc_id == i) == len(own.encode([text])[0])
+    assert sum(r.n_crossing for r in found) >= 1
