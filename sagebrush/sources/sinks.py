@@ -1,7 +1,7 @@
 """Sinks: registers, maps, memos, registries and reports as folders of Parquet or JSON files.
 
-What is changed in place is a folder of versions: a change writes the next version whole and the readers take the last one
-that is complete, so a job that fails leaves the table as it was.
+What is changed in place is a folder of versions. New rows are appended to the last version; a change of rows writes the next
+version whole, and readers take the last one that is complete. So a job that fails leaves the table as it was.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql.types import StructType
 
 
 class Store:
-    """A table in a folder of versions. ``schema`` is DDL; a store that was never written has no rows."""
+    """A table in a folder of versions, parted by ``partitions``. ``schema`` is DDL; a store that was never written has no rows."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), StructType.fromDDL(schema)
+    def __init__(self, spark: SparkSession, path: str, schema: str, *partitions: str):
+        self.spark, self.path, self.schema, self.partitions = spark, path.rstrip("/"), StructType.fromDDL(schema), partitions
         self.jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.jvm_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -24,21 +24,35 @@ class Store:
         found = self.fs.globStatus(self.jvm_path(f"{self.path}/v=*/_SUCCESS")) or []
         return sorted(int(s.getPath().getParent().getName().removeprefix("v=")) for s in found)
 
+    def version(self, v: int) -> str:
+        return f"{self.path}/v={v:08d}"
+
     def read(self) -> DataFrame:
         known = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={known[-1]:08d}") if known else self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(self.version(known[-1])) if known else self.spark.createDataFrame([], self.schema)
+        return rows.select(*self.schema.names)
+
+    def write(self, df: DataFrame, v: int, mode: str) -> None:
+        df.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.mode(mode).partitionBy(*self.partitions).parquet(self.version(v))
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows; those that are there are not written again."""
+        self.write(df, (self.versions() or [1])[-1], "append")
 
     def replace(self, df: DataFrame) -> None:
         """Write ``df`` as the next version; older ones but the last are removed."""
         known = self.versions()
-        df.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.mode("overwrite").parquet(f"{self.path}/v={(known[-1] if known else 0) + 1:08d}")
+        self.write(df, (known[-1] if known else 0) + 1, "overwrite")
         for v in known[:-1]:
-            self.fs.delete(self.jvm_path(f"{self.path}/v={v:08d}"), True)
+            self.fs.delete(self.jvm_path(self.version(v)), True)
 
     def insert_absent(self, df: DataFrame, *key: str) -> None:
         """Add the rows whose key isn't there yet; of new rows with one key one is added. Done twice, it changes nothing."""
-        old = self.read()
-        self.replace(old.unionByName(df.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti").select(*old.columns)))
+        self.append(df.dropDuplicates(list(key)).join(self.read().select(*key), list(key), "left_anti"))
+
+    def upsert(self, df: DataFrame, *key: str) -> None:
+        """Add rows, instead of those with their keys."""
+        self.replace(self.read().join(df.select(*key), list(key), "left_anti").unionByName(df.select(*self.schema.names)))
 
     def delete(self, keys: DataFrame, *key: str) -> int:
         """Remove the rows with these keys; how many there were."""
@@ -64,14 +78,13 @@ MEMOS = "memo string, date string, category string, slug string, text string"
 def append_holds(register: Store, holds: DataFrame, today: str) -> None:
     """Add holds to the register; one without a date of issue gets ``today``."""
     issued = F.coalesce(F.col("issued_date"), F.lit(today)) if "issued_date" in holds.columns else F.lit(today)
-    register.replace(register.read().unionByName(holds.withColumn("issued_date", issued).select(*register.schema.names)))
+    register.append(holds.withColumn("issued_date", issued))
 
 
 def add_competitors(registry: Store, entries: DataFrame, today: str) -> None:
     """Add entries (category, slug, name, monthly_cost_gbp, scraper_url) with the defaults of a new competitor; known ones are replaced."""
     made = entries.select("category", "slug", "name", F.lit("user-added").alias("based_on"), "monthly_cost_gbp", F.lit("unknown").alias("pricing_model"), F.lit("newly added").alias("recent_trajectory"), F.lit(today).alias("last_updated"), F.coalesce("scraper_url", F.lit("")).alias("scraper_url"))
-    rest = registry.read().join(made.select("category", "slug"), ["category", "slug"], "left_anti")
-    registry.replace(rest.unionByName(made))
+    registry.upsert(made, "category", "slug")
 
 
 def memo_rows(memos: DataFrame) -> DataFrame:
@@ -81,9 +94,9 @@ def memo_rows(memos: DataFrame) -> DataFrame:
     return memos.select(name.alias("memo"), "date", "category", "slug", "text")
 
 
-def write_memos(memos: DataFrame, path: str) -> None:
-    """Memos as Parquet by date and category; the same day and category written again replace what was there."""
-    memo_rows(memos).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "category").parquet(path)
+def write_memos(store: Store, memos: DataFrame) -> None:
+    """Add memos to a store of ``MEMOS``; one with a known name is replaced."""
+    store.upsert(memo_rows(memos), "memo")
 
 
 def overwrite_lines(df: DataFrame, path: str) -> None:

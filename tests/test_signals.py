@@ -109,3 +109,25 @@ def test_labels(spark):
     assert told(spark, X.version_label, "2024-10-20", "", None) == ["v24.10", None, None]
     assert told(spark, X.moment_label, "2024-10-20T09:30:00", "2024-10-20T00:00:01", "2024-10-20", None) == ["2024-10-20 09:30", "2024-10-20", "2024-10-20", "—"]
     assert told(spark, X.confidence_label, (0.5,), (None,), schema="x double") == ["0.5000", "—"]
+
+
+def test_attempts_and_held_out_sets(spark):
+    from sagebrush.plans import training
+
+    rows = [("a", 1, ["x"]), ("a", 2, []), ("a", 3, []), ("b", 1, ["x"]), ("b", 2, ["y"]), ("c", 1, [])]
+    found = {r.k: (r.attempt, r.retried) for r in training.first_valid(spark.createDataFrame(rows, "k string, attempt int, errors array<string>"), "k").collect()}
+    assert found == {"a": (2, True), "b": (2, True), "c": (1, False)}
+    registry = spark.createDataFrame([("crm", "s", "Name")], "category string, slug string, name string")
+    cases = lambda *ids: spark.createDataFrame([(i, "crm", "s", v) for i, v in ids], "case_id string, category string, slug string, expected string")
+    assert [r.name for r in training.held_out(cases(("1", "STAY"), ("2", "HOLD")), registry, 1).collect()] == ["Name", "Name"]
+    for bad in (cases(("1", "STAY"), ("1", "HOLD")), cases(("1", "STAY"), ("2", "STAY"), ("3", "HOLD"))):
+        with pytest.raises(Exception, match="held-out set"):
+            training.held_out(bad, registry, 1).collect()
+
+
+def test_templates(spark):
+    from sagebrush.functions.render import templated
+
+    df = spark.createDataFrame([(0, "a", "x"), (1, "a", None), (2, "a", "y"), (3, "b", "z")], "i int, k string, f string")
+    table = spark.createDataFrame([("a", 1, "second {f}"), ("a", 0, "first {f}, {f}")], "k string, variant int, template string")
+    assert {r.i: r.text for r in templated(df, table, "k", "i", ["f"]).collect()} == {0: "first x, x", 1: "second ", 2: "first y, y", 3: None}

@@ -51,9 +51,11 @@ def test_holds_and_registry(spark, tmp_path):
 
 
 def test_memos_and_reports(spark, tmp_path):
-    memo = lambda text: spark.createDataFrame([("2026-01-02", "crm", "a_b", text)], "date string, category string, slug string, text string")
-    sinks.write_memos(memo("one"), f"{tmp_path}/m"), sinks.write_memos(memo("two"), f"{tmp_path}/m")
-    assert [(r.memo, r.text, r.category) for r in spark.read.parquet(f"{tmp_path}/m").collect()] == [("2026-01-02-crm-a_b.md", "two", "crm")]
+    memo = lambda text, slug="a_b": spark.createDataFrame([("2026-01-02", "crm", slug, text)], "date string, category string, slug string, text string")
+    store = sinks.Store(spark, f"{tmp_path}/m", sinks.MEMOS, "date", "category")
+    for m in (memo("one"), memo("other", "c"), memo("two")):
+        sinks.write_memos(store, m)
+    assert sorted((r.memo, r.date, r.text) for r in store.read().collect()) == [("2026-01-02-crm-a_b.md", "2026-01-02", "two"), ("2026-01-02-crm-c.md", "2026-01-02", "other")]
     sinks.overwrite_lines(memo("x"), f"{tmp_path}/j"), sinks.overwrite_lines(memo("y"), f"{tmp_path}/j"), sinks.report(memo("z"), f"{tmp_path}/k")
     assert spark.read.json(f"{tmp_path}/j").first().text == "y" and len(list((tmp_path / "k").glob("part-*"))) == 1
     tier, flags = "array<struct<name:string,monthly_cost_gbp:double>>", "struct<sso_saml:boolean,soc2_type2:boolean,uk_residency:boolean>"
