@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebrush.functions import text as X
+from sagebrush.functions import words as W
 from sagebrush.functions.compliance import effective_profile, failures, overridden
 from sagebrush.functions.finance import annual_saving, inferred_price, roi, roi_bucket
 
 from .registry import query, table
-from .signals import RULES, one_of, one_of_sql, pick, pick_sql, signals, with_rules
+from .signals import RULES, SIGNALS, has_sql, one_of, one_of_sql, pick, pick_sql, signals, with_rules
 
 
 def signal_context(signals: DataFrame, stack: DataFrame, usage: DataFrame, registry: DataFrame) -> DataFrame:
@@ -84,8 +85,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bit = lambda n: (F.floor(F.col("c_custkey") / n) % 2 == 1)
     flags = F.struct(bit(1).alias("soc2_type2"), bit(2).alias("sso_saml"), bit(4).alias("uk_residency"), bit(8).alias("gdpr_eu_residency"), bit(16).alias("audit_log"), F.when(F.col("c_custkey") % 3 != 0, bit(32)).alias("audit_log_exportable"))
     category = F.element_at(F.array(*map(F.lit, ("finance", "hr", "crm", "analytics", "project_mgmt"))), (F.col("c_custkey") % 5 + 1).cast("int"))
-    changes = F.element_at(F.array(*map(F.lit, ("unchanged", "SOC2 Type II achieved; SSO not available", "acquired UK data residency", "exportable audit log now available", "SOC2 in progress", "lacks audit log"))), (F.col("c_custkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", category.alias("category"), (F.col("c_nationkey") + 1).alias("seats"), flags.alias("profile"), changes.alias("changes"))
+    return table(spark, sf_dir, "customer").select("c_custkey", category.alias("category"), (F.col("c_nationkey") + 1).alias("seats"), flags.alias("profile"))
 
 
 GATE_SQL = """p AS (SELECT c_custkey, ['finance', 'hr', 'crm', 'analytics', 'project_mgmt'][c_custkey % 5 + 1] AS category, c_nationkey + 1 AS seats,
@@ -102,18 +102,45 @@ def q_compliance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", (F.size("f") == 0).alias("passed"), F.array_join("f", "; ").alias("failures"))
 
 
-@query("""WITH p AS (SELECT c_custkey, ['finance', 'hr', 'crm', 'analytics', 'project_mgmt'][c_custkey % 5 + 1] AS category, c_nationkey + 1 AS seats, c_custkey % 6 AS k,
-    c_custkey % 2 = 1 AS soc2, c_custkey // 2 % 2 = 1 AS sso, c_custkey // 4 % 2 = 1 AS uk, c_custkey // 8 % 2 = 1 AS eu, c_custkey // 16 % 2 = 1 AS audit,
-    CASE WHEN c_custkey % 3 <> 0 THEN c_custkey // 32 % 2 = 1 END AS export FROM customer),
-e AS (SELECT c_custkey, category, seats, CASE WHEN k = 1 THEN true WHEN k = 4 THEN false ELSE soc2 END AS soc2, CASE WHEN k = 1 THEN false ELSE sso END AS sso,
-    CASE WHEN k = 2 THEN true ELSE uk END AS uk, CASE WHEN k = 2 THEN true ELSE eu END AS eu,
-    CASE WHEN category NOT IN ('finance', 'hr', 'crm') THEN audit WHEN k = 3 AND NOT audit THEN true WHEN k = 5 THEN false ELSE audit END AS audit,
-    CASE WHEN category NOT IN ('finance', 'hr', 'crm') THEN export WHEN k = 3 AND (NOT audit OR NOT coalesce(export, false)) THEN true WHEN k = 5 AND audit THEN false ELSE export END AS export FROM p)
-SELECT c_custkey, soc2 AND (seats <= 10 OR sso) AND (uk OR eu) AND (category NOT IN ('finance', 'hr', 'crm') OR (audit AND coalesce(export, true))) AS passed FROM e""")
+SAID = [
+    "unchanged", "", "SOC2 Type II achieved", "SOC2 in progress", "SOC2 report not certified", "SSO now available", "lacks SAML", "SSO not available, OIDC launched", "acquired UK data residency",
+    "UK residency pending", "EU residency now meets GDPR", "exportable audit log now available", "audit log CSV only, added", "lacks audit log", "audit trail export shipped", "no changes to pricing",
+    '{"soc2": false}; SOC2 passed', "UK office opened",
+]
+
+
+def said_changes() -> Column:
+    """One or two changes told, parted by a semicolon."""
+    return F.concat(one_of(SAID, "said"), F.when(pick("also", 2) == 0, F.concat(F.lit("; "), one_of(SAID, "said too"))).otherwise(""))
+
+
+_PART = lambda *words: f"list_filter(parts, lambda p: {has_sql('p', list(words))})[1]"
+_LOST = lambda part: has_sql(part, W.LOST)
+_SURE = "|".join(W.GAINED_FOR_SURE)
+# What "not" precedes is taken away, since DuckDB's patterns can't look behind.
+_GAINED = lambda part: f"(CASE WHEN {_LOST(part)} THEN regexp_matches(regexp_replace({part}, 'not\\s{{1,4}}({_SURE})', '', 'g'), '{_SURE}') ELSE {has_sql(part, W.GAINED)} END)"
+_FLIP = lambda flag, part, able: f"CASE WHEN {part} IS NULL THEN {flag} WHEN NOT {flag} AND {able} AND {_GAINED(part)} THEN true WHEN {flag} AND {_LOST(part)} THEN false ELSE {flag} END"
+_AUDITED = "category IN ('finance', 'hr', 'crm') AND audit_part IS NOT NULL"
+EFFECTIVE = f"""told AS (SELECT sig.*, lower(trim(regexp_replace({one_of_sql(SAID, "said")} || CASE WHEN {pick_sql("also", 2)} = 0 THEN '; ' || {one_of_sql(SAID, "said too")} ELSE '' END, '^\\s*\\{{[^{{}}]*\\}}\\s*;?', ''))) AS t FROM sig),
+split AS (SELECT *, list_transform(string_split(t, ';'), lambda p: trim(p)) AS parts FROM told),
+named AS (SELECT *, {_PART("soc2", "soc 2")} AS soc2_part, {_PART("sso", "saml", "oidc")} AS sso_part, {_PART("uk")} AS uk_part, {_PART("eu", "gdpr")} AS eu_part, {_PART("audit log", "audit trail", "exportable audit")} AS audit_part FROM split),
+flags AS (SELECT *, t IN ('', 'unchanged', 'no changes', 'none') AS silent, coalesce(contains(uk_part, 'residency'), false) AS home, coalesce(contains(eu_part, 'residency') AND {_GAINED("eu_part")}, false) AS abroad,
+    {_AUDITED} AND NOT audit_log AND {_GAINED("audit_part")} AND NOT contains(audit_part, 'csv only') AS win, {_AUDITED} AND audit_log AND {_LOST("audit_part")} AS lose,
+    {_AUDITED} AND audit_log AND NOT {_LOST("audit_part")} AND NOT coalesce(audit_log_exportable, false) AND {has_sql("audit_part", ["audit log export", "exportable audit", "audit trail export"])} AND {_GAINED("audit_part")} AS exports FROM named),
+effective AS (SELECT doc_id, category, seats, CASE WHEN silent THEN soc2_type2 ELSE {_FLIP("soc2_type2", "soc2_part", "true")} END AS soc2, CASE WHEN silent THEN sso_saml ELSE {_FLIP("sso_saml", "sso_part", "seats > 10")} END AS sso,
+    CASE WHEN silent THEN uk_residency WHEN home AND {_GAINED("uk_part")} THEN true WHEN home AND {_LOST("uk_part")} THEN false ELSE uk_residency END AS uk,
+    CASE WHEN silent THEN gdpr_eu_residency ELSE (home AND {_GAINED("uk_part")}) OR gdpr_eu_residency OR abroad END AS eu,
+    CASE WHEN silent THEN audit_log WHEN coalesce(win, false) THEN true WHEN coalesce(lose, false) THEN false ELSE audit_log END AS audit,
+    CASE WHEN silent THEN audit_log_exportable WHEN coalesce(win OR exports, false) THEN true WHEN coalesce(lose, false) THEN false ELSE audit_log_exportable END AS export FROM flags)"""
+
+
+@query(f"""WITH {SIGNALS}, {EFFECTIVE} SELECT doc_id, soc2, sso, uk, coalesce(eu, false) AS eu, audit, soc2 AND (seats <= 10 OR sso) AND (uk OR coalesce(eu, false)) AND (category NOT IN ('finance', 'hr', 'crm') OR (audit AND coalesce(export, true))) AS passed FROM effective""")
 def q_compliance_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate on the profile after the changes told in words."""
-    p = profiles(spark, sf_dir).withColumn("new", effective_profile(F.col("profile"), F.col("changes"), F.col("category"), F.col("seats")))
-    return p.select("c_custkey", (F.size(failures(F.col("new"), F.col("category"), F.col("seats"))) == 0).alias("passed"))
+    """The profile after the changes told in words, and the gate on it."""
+    c = F.col
+    p = signals(spark, sf_dir).withColumn("new", effective_profile(c("profile"), said_changes(), c("category"), c("seats")))
+    flags = [c(f"new.{f}").alias(n) for f, n in (("soc2_type2", "soc2"), ("sso_saml", "sso"), ("uk_residency", "uk"), ("gdpr_eu_residency", "eu"), ("audit_log", "audit"))]
+    return p.select("doc_id", *flags, (F.size(failures(c("new"), c("category"), c("seats"))) == 0).alias("passed"))
 
 
 @query(f"""WITH {RULES}, b AS (SELECT doc_id, NOT soc2_type2 OR (seats > 10 AND NOT sso_saml) OR (NOT uk_residency AND NOT gdpr_eu_residency)
