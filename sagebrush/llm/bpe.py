@@ -32,7 +32,7 @@ from .common import map_texts
 #: Marks strings that make a piece doubtful wherever they stand; others are marked by their rank.
 ONCE = -1
 #: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 #: Bytes of text whose tokens are in memory at once.
 SLICE_BYTES = 1_000_000
 

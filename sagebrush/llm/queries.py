@@ -16,9 +16,13 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Arrow batches that Python workers get: small ones, so that several stages' workers fit an executor beside its heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     # Python workers must find this package, also where the session was started from another folder.
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
