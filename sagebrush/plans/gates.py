@@ -56,7 +56,7 @@ def q_roi_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRICES = [
-    "from £{a} to £{b}", "£{a} (competitor) vs £{b} (NexusCRM)", "reduced by £{a}", "increased by £{a}", "unchanged, was £{a}", "competitive", "",
+    "from £{a} to £{b}", "£{a} (competitor) vs £{b} (the tool)", "reduced by £{a}", "increased by £{a}", "unchanged, was £{a}", "competitive", "",
     "PS{a} flat vs PS{a} flat", "slightly reduced", "slightly increased", "now £{b}", "competitor now £{b}", "from PS{a}.50 to PS{b} a month", "apps {a}",
 ]
 

@@ -40,7 +40,7 @@ ISSUES = [
 ]
 TOLD = ["unchanged", "", "SOC2 Type II achieved", "no SOC2 report", "SSO not available, lacks SAML", "UK data residency now available", "no audit log", "audit trail export certified", "none", "GDPR review pending"]
 DATES = ["2026-01-15", "2026-02-30", "2026/03/01", "YYYY-MM-DD"]
-SLUGS = ["ledgerflow", "prism_bi", "both_signals", "push", "crm_hr"]
+SLUGS = ["acme", "beta_desk", "both_signals", "push", "crm_hr"]
 LISTS = {"n": NOTES, "c": CHANGES, "t": TOOLS, "i": ISSUES}
 
 

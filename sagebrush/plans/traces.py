@@ -39,7 +39,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(nl + "Hold signal: "), one_of(["NONE", "renewal"], "held"), F.lit(nl + "Previous verdict: "), one_of(["HOLD", "STAY", "none"], "before"),
     )
     answer = F.concat(
-        F.lit("PUSH SIGNALS:" + nl), lines_of(ISSUES, "p", 2), F.lit(nl + "PULL SIGNALS:" + nl + "  - "), one_of(["PulseMetrics delivers native sync — Substance: CONCRETE", "Vague words — Substance: VAGUE", "Nothing"], "pull"),
+        F.lit("PUSH SIGNALS:" + nl), lines_of(ISSUES, "p", 2), F.lit(nl + "PULL SIGNALS:" + nl + "  - "), one_of(["Quillboard delivers native sync — Substance: CONCRETE", "Vague words — Substance: VAGUE", "Nothing"], "pull"),
         F.lit(nl + nl + "COMPLIANCE: "), one_of(["PASSED", "BLOCKED — No SOC2"], "gate"), F.lit(nl), one_of(ROI_LINES, "roi"), F.lit(nl + "HOLD CONDITION: "), one_of(["NONE", "until renewal"], "cond"),
         F.lit(nl + "ANALYSIS: "), one_of(ANALYSES, "analysis"), F.lit(nl + "VERDICT: "), one_of(VERDICTS, "verdict"),
     )
@@ -62,7 +62,7 @@ def q_parsed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH a AS (SELECT doc_id, {pick_sql("pull", 3)} AS k, {one_of_sql(ANALYSES, "analysis")} AS analysis FROM {_IDS})
 SELECT doc_id, array_to_string({_BULLETS(ISSUES, "p", 2)}, '|') AS push_lines, {one_of_sql(["PASSED", "BLOCKED — No SOC2"], "gate")} AS compliance, {one_of_sql(["NONE", "until renewal"], "cond")} AS hold_condition, analysis, {one_of_sql(VERDICTS, "verdict")} AS verdict,
-CASE WHEN k = 0 THEN 'PulseMetrics' ELSE coalesce(list_filter(string_split_regex(analysis, '[ \\t\\n]+'), lambda w: regexp_matches(w, '^[A-Z]') AND len(w) > 3 AND NOT list_contains([{", ".join(quoted(n) for n in T.NOT_NAMES)}], w))[1], '') END AS competitor FROM a""")
+CASE WHEN k = 0 THEN 'Quillboard' ELSE coalesce(list_filter(string_split_regex(analysis, '[ \\t\\n]+'), lambda w: regexp_matches(w, '^[A-Z]') AND len(w) > 3 AND NOT list_contains([{", ".join(quoted(n) for n in T.NOT_NAMES)}], w))[1], '') END AS competitor FROM a""")
 def q_parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = traces(spark, sf_dir).select("doc_id", T.parsed_answer(F.col("answer")).alias("a"))
     return t.select("doc_id", F.array_join("a.push_lines", "|").alias("push_lines"), "a.compliance", "a.hold_condition", "a.analysis", "a.verdict", "a.competitor")

@@ -26,16 +26,16 @@ def log(spark, *rows):
 def test_monitoring_log(spark):
     runs = log(
         spark,
-        (10, "live_run", "finance", "ledgerflow", "SWITCH", 0.91, 1, "a.md"),
-        (11, "live_run", "hr", "workforge", "HOLD", 0.78, 1, "b.md"),
-        (12, "live_run", "crm", "velocitycrm", "STAY", 0.55, 1, ""),
+        (10, "live_run", "finance", "acme", "SWITCH", 0.91, 1, "a.md"),
+        (11, "live_run", "hr", "bolt", "HOLD", 0.78, 1, "b.md"),
+        (12, "live_run", "crm", "comet", "STAY", 0.55, 1, ""),
         (13, "accuracy_check"),
     )
     assert M.stats(runs).first().asDict() == {"n_switch": 1, "n_stay": 1, "n_hold": 1, "n_total": 3}
-    assert [r.competitor for r in M.recent(runs).collect()] == ["velocitycrm", "workforge", "ledgerflow"]
+    assert [r.competitor for r in M.recent(runs).collect()] == ["comet", "bolt", "acme"]
     assert M.recent(runs, 2).count() == 2
-    assert [r.competitor for r in M.rankings(runs).collect()] == ["ledgerflow"]
-    assert [r.memo for r in M.review_queue(runs).collect()] == ["2026-04-12-crm-velocitycrm.md"]
+    assert [r.competitor for r in M.rankings(runs).collect()] == ["acme"]
+    assert [r.memo for r in M.review_queue(runs).collect()] == ["2026-04-12-crm-comet.md"]
     assert M.accuracy_due(runs).first().n_since == 0
     assert M.stats(runs.limit(0)).first().n_total == 0
     assert M.feedback_queue(runs).count() == 0
