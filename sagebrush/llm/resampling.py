@@ -29,8 +29,8 @@ COUNTED = "n_words long, n_features long, buckets array<int>, counts array<long>
 
 
 def grams_sql(grams: int) -> str:
-    """Every run of 1 to ``grams`` words of each row of ``words`` (row, at, word), joined by one space."""
-    size = lambda n: " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER (PARTITION BY row ORDER BY at)" for i in range(1, n))])
+    """Every run of 1 to ``grams`` words of each row of ``words`` (row, place, word), joined by one space."""
+    size = lambda n: " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER (PARTITION BY row ORDER BY place)" for i in range(1, n))])
     each = [f"SELECT row, {size(n)} AS feature FROM words" for n in range(1, grams + 1)]
     return f"SELECT row, feature FROM ({' UNION ALL '.join(each)}) WHERE feature IS NOT NULL"
 
@@ -39,7 +39,7 @@ def counting_sql(grams: int, buckets: int) -> str:
     """Bucket counts of each row of ``slice`` (row, text)."""
     return f"""
         WITH split AS (SELECT row, regexp_extract_all(translate(text, '{CAPITALS}', '{SMALL}'), '{WORD}') AS w FROM slice),
-        words AS (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS at FROM split),
+        words AS (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS place FROM split),
         counted AS (SELECT row, feature, count(*) AS n FROM ({grams_sql(grams)}) GROUP BY ALL),
         hashed AS (SELECT feature, crc32(feature) % {buckets} AS bucket FROM (SELECT DISTINCT feature FROM counted)),
         dealt AS (SELECT row, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (feature) GROUP BY ALL),
