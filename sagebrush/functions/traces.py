@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import words as W
+from .arrays import running_last
 from .signals import changed_lines, stripped
 from .text import any_of, first_where, let
 
@@ -29,19 +30,19 @@ def after_label(text: Column, label: str) -> Column:
 def sections(lines: Column, name) -> Column:
     """Lines with the section that each is in, as structs (section, line).
 
-    ``name`` tells a line's section if it begins one ('' for none), or null; the state of the fold is the section so far.
+    ``name`` tells a line's section if it begins one ('' for none), or null; a line is in the last section begun before it.
     """
-    none = F.expr("cast(array() as array<struct<section:string,line:string>>)")
-    start = F.struct(F.lit("").alias("section"), none.alias("found"))
 
-    def step(state: Column, line: Column) -> Column:
-        begun = name(line)
-        section = F.coalesce(begun, state["section"])
-        kept = begun.isNull() & (section != "") & F.startswith(line, F.lit("- "))
-        entry = F.struct(section.alias("section"), F.substring(line, F.lit(3), F.length(line)).alias("line"))
-        return F.struct(section.alias("section"), F.when(kept, F.array_append(state["found"], entry)).otherwise(state["found"]).alias("found"))
+    def told(x: Column, begun: Column, current: Column) -> Column:
+        def entry(line: Column, i: Column) -> Column:
+            item = F.get(begun, i).isNull() & F.startswith(line, F.lit("- "))
+            return F.struct(F.coalesce(F.get(current, i), F.lit("")).alias("section"), F.substring(line, F.lit(3), F.length(line)).alias("line"), item.alias("item"))
 
-    return F.aggregate(lines, start, step, lambda s: s["found"])
+        return F.transform(x, entry)
+
+    entries = let(lines, lambda x: let(F.transform(x, name), lambda begun: let(running_last(begun), lambda current: told(x, begun, current))))
+    kept = F.filter(entries, lambda e: e["item"] & (e["section"] != ""))
+    return F.transform(kept, lambda e: F.struct(e["section"].alias("section"), e["line"].alias("line")))
 
 
 def of_section(found: Column, section: str) -> Column:
