@@ -27,8 +27,11 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = line_dedup.without_repeats(docs, inside_lines=True)
     cut = F.col("n_words_deleted") > 0
     emptied = cut & ~F.col("text").rlike("(?U)\\S")
-    counted = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.filter(F.coalesce(~emptied, F.lit(True))).withColumn("n_chars", counted).select(docs.columns)
+    found = found.filter(F.coalesce(~emptied, F.lit(True)))
+    if "n_chars" in docs.columns:
+        counted = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", counted)
+    return found.select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
