@@ -74,7 +74,7 @@ def fingerprints(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
     Of equal grams the first counts. Windows that reach over the end of a text are none.
     """
-    if len(words) < WINDOW_WORDS:
+    if np.diff(bounds).max(initial=0) < WINDOW_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     grams = run_hashes(words, GRAM_WORDS, GRAM_BASE)
     least = sliding_argmin(grams, WINDOW_WORDS - GRAM_WORDS + 1)
@@ -229,18 +229,18 @@ def without_repeats(docs: DataFrame, inside_lines: bool = False) -> DataFrame:
     runs = scratch.keep(repeated_runs(docs, scratch), "runs")
     scratch.drop("marks", "alone", "marked", "windows")
     given = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_words_deleted")]
-    runs = runs.select(*(F.col(c).alias(f"_run_{c}") for c in TEXT_KEY), F.col("runs").alias("_runs"))
 
     @F.pandas_udf("text string, n long, words long")
     def shortened(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(t, 0, 0) if r is None else cut(t, r, inside_lines) for t, r in zip(texts, runs, strict=True)], columns=["text", "n", "words"])
 
-    # The runs grow with the documents; always merging keeps one plan for all sizes.
-    hashes = {"doc_id": F.col("doc_id"), "text_a": F.xxhash64(text_of()), "text_b": F.xxhash64(F.lit(1), text_of())}
-    joined = docs.select(*given, *(hashes[c].alias(f"_own_{c}") for c in TEXT_KEY)).join(runs.hint("merge"), [F.col(f"_own_{c}") == F.col(f"_run_{c}") for c in TEXT_KEY], "left")
-    some = F.col("_runs").isNotNull()
-    joined = joined.withColumn("_left", shortened(F.when(some, F.col("text")), F.col("_runs")))
-    text = F.when(some, F.col("_left.text")).otherwise(F.col("text"))
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    count = lambda c: F.when(some, F.col(f"_left.{c}")).otherwise(0).cast("long")
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in given), size.alias("n_lines"), count("n").alias("n_deleted"), count("words").alias("n_words_deleted"))
+    # A row travels as one column, so that no name of its own meets a name of the runs. The runs grow with the
+    # documents; always merging keeps one plan for all sizes.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in given)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_a"), F.xxhash64(F.lit(1), text_of()).alias("text_b"))
+    joined = rows.join(runs.select(*TEXT_KEY, "runs").hint("merge"), TEXT_KEY, "left").select("row", "runs")
+    some, old = F.col("runs").isNotNull(), F.col("row")["text"]
+    joined = joined.withColumn("left", shortened(F.when(some, old), F.col("runs")))
+    text = F.when(some, F.col("left.text")).otherwise(old)
+    size = F.when(old.isNull(), 0).otherwise(F.size(F.split(old, "\n", -1))).cast("long")
+    count = lambda c: F.when(some, F.col(f"left.{c}")).otherwise(0).cast("long")
+    return joined.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in given), size.alias("n_lines"), count("n").alias("n_deleted"), count("words").alias("n_words_deleted"))
