@@ -18,6 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sagebrush.functions.arrays import running_max, running_sum
+from sagebrush.functions.text import let
+
 from .common import text_of
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,28 +45,36 @@ ZERO = 48
 
 
 def found_spans(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Leftmost matches, one after another, as structs (start, order, end) in code points, without those that fail ``keep``.
+    """Leftmost matches, one after another, as structs (start, rank, end) in code points, without those that fail ``keep``.
 
     What lies between the matches and the matches themselves alternate, so positions are running sums of lengths.
     """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def step(state: Column, pair: Column) -> Column:
-        match = pair["match"]
-        begin = state["at"] + pair["gap"]
-        end = begin + F.coalesce(F.length(match), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
-        good = match.isNotNull() if keep is None else match.isNotNull() & keep(match)
-        return F.struct(end.alias("at"), F.when(good, F.array_append(state["found"], span)).otherwise(state["found"]).alias("found"))
+    def placed(x: Column) -> Column:
+        def span(p: Column, end: Column) -> Column:
+            return F.struct((end - F.length(p["match"])).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), p["match"].alias("match"))
+
+        ends = running_sum(F.transform(x, lambda p: p["gap"] + F.coalesce(F.length(p["match"]), F.lit(0))))
+        return let(ends, lambda at: F.transform(x, lambda p, i: span(p, F.get(at, i))))
+
+    good = F.filter(let(pairs, placed), lambda s: s["match"].isNotNull() if keep is None else s["match"].isNotNull() & keep(s["match"]))
+    return F.when(text.rlike(pattern), F.transform(good, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "rank", "end"))))).otherwise(none)
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda state: state["found"])).otherwise(none)
 
+def without_inner(base: Column, entropy: Column) -> Column:
+    """All spans in their order, without those of kind entropy that lie within one of ``base``.
+
+    Such a span begins earlier, or at the same place, so what counts is the furthest end among the known spans so far.
+    """
+    random = KINDS.index("entropy")
+
+    def told(spans: Column) -> Column:
+        reach = running_max(F.transform(spans, lambda s: F.when(s["rank"] != random, s["end"])))
+        return let(reach, lambda ends: F.filter(spans, lambda s, i: (s["rank"] != random) | (s["end"] > F.coalesce(F.get(ends, i), F.lit(0)))))
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with ``value`` computed once for a row, however often ``use`` and its lambdas read it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return let(F.array_sort(F.concat(base, entropy)), told)
 
 
 def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
@@ -123,7 +134,6 @@ def scan(docs: DataFrame) -> DataFrame:
         found_spans(text, CANDIDATE, "entropy", is_random).alias("entropy"),
     )
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    inside = lambda e: F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"]))
-    rows = rows.withColumn("all", F.concat("base", F.filter("entropy", lambda e: ~inside(e))))
+    rows = rows.withColumn("all", without_inner(F.col("base"), F.col("entropy")))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return rows.select("doc_id", *counts, F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(F.col("all")).alias("spans"))
