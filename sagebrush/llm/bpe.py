@@ -10,7 +10,8 @@ its list of merges names first, wherever they stand. That changes the outcome on
 one of the joins makes a pair of a lower rank possible. Pieces in which that can happen hold one of a fixed set of byte
 strings; an automaton finds them, and they are merged by rank here. All others go to the library.
 
-Texts are split by the pattern first, and each piece is encoded by itself. A worker keeps the ids of pieces it has
+Texts are split by the pattern first, and each piece is encoded by itself. Where engines of regular expressions disagree
+on what is a letter, a number or a space, the split is that of rank-driven encoders. A worker keeps the ids of pieces it has
 seen, up to a bound; one call of the library encodes all new pieces of a text.
 """
 
@@ -19,9 +20,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from array import array
-from functools import lru_cache
-from itertools import chain
+from collections.abc import Callable
+from functools import cached_property, lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -66,13 +69,26 @@ class ByteBpe:
         self.doubtful = doubtful_strings(ranks, splits)
         self.tokenizer = Tokenizer(models.BPE(vocab={spell(b): r for b, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.split = regex.compile(pattern).findall
+        self.pattern = pattern
+        self.findall = regex.compile(pattern).findall
         self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.n_bytes[list(ranks.values())] = [len(b) for b in ranks]
         # Decoding reverses the byte table: a token's characters back to the bytes they stand for.
         self.bytes_of = {r: self.tokenizer.id_to_token(r).translate(self.table).encode("latin-1") for r in ranks.values()}
         self.ids_of: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def may_differ(self) -> Callable[[str], re.Match | None]:
+        """Finds a character from the first one on that needs a stand-in; most texts have none."""
+        return re.compile(f"[{chr(min(stand_ins(), default=0x10FFFF))}-\U0010ffff]").search
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text, which together are the text."""
+        if text.isascii() or not self.may_differ(text):
+            return self.findall(text)
+        ends = [0, *accumulate(map(len, self.findall(text.translate(stand_ins()))))]
+        return [text[a:b] for a, b in pairwise(ends)]
+
     def is_doubtful(self, piece: str) -> bool:
         """Whether the library's order of merges may matter in a piece."""
         raw = piece if piece.isascii() else piece.encode().decode("latin-1")
@@ -129,6 +145,30 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+#: For each class of characters that the pattern tells apart, one that all engines put in it and no contraction holds.
+STAND_INS = {r"\p{L}": "a", r"\p{N}": "0", r"\s": "\t", "": "!"}
+
+
+@lru_cache(maxsize=1)
+def stand_ins() -> dict[int, str]:
+    """Code points that the engine of rank-driven encoders puts in another class than ours, with a stand-in of that class.
+
+    Engines follow different editions of Unicode. Its classes are read off by encoding all code points, byte by byte,
+    with the class as the pattern: what doesn't match is left out.
+    """
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x110000))))
+    single = {bytes([b]): b for b in range(256)}
+    theirs, ours = {}, {}
+    for name in filter(None, STAND_INS):
+        ids = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
+        theirs.update(dict.fromkeys(bytes(ids).decode(), name))
+        ours.update(dict.fromkeys(regex.findall(name, every), name))
+    return {ord(c): STAND_INS[theirs.get(c, "")] for c in theirs.keys() | ours.keys() if theirs.get(c) != ours.get(c)}
+
+
 def doubtful_strings(ranks: dict[bytes, int], splits: dict[bytes, list[int]]):
     """An automaton of the strings (bytes as Latin-1) that make a piece doubtful: ``ONCE``, or if they stand in it twice."""
     import ahocorasick
