@@ -120,11 +120,12 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
 def only_good(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """``docs`` with all its columns, without the rows that the classifier rejects.
 
-    Without usable labels the fit has no rows and leaves all weights 0; nothing is rejected then.
+    Where the usable labels of these documents are not of both classes, there is no fit, and nothing is rejected.
     """
-    weights = fit(sample(docs, labels, "quality", folds, held_out, SAMPLE_ROWS))
-    if not weights.any():
+    rows = sample(docs, labels, "quality", folds, held_out, SAMPLE_ROWS)
+    if rows.agg(F.count_distinct("label")).first()[0] < 2:
         return docs
+    weights = fit(rows)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
