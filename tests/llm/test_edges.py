@@ -304,3 +304,63 @@ def test_told_sections(spark):
     for i, text, _ in rows[:2]:
         assert sum(r.n_tokens for r in found if r.doc_id == i) == len(own.encode([text])[0])
     assert sum(r.n_crossing for r in found) >= 1
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_lines_of_short_texts_only(spark, parts):
+    """Texts that are all shorter than a passage, one of them or thousands in a batch, have nothing to delete."""
+    rows = [(i, f"six words are in text {i % 7}") for i in range(400)]
+    found = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), inside_lines=True).collect()
+    assert sorted((r.doc_id, r.text, r.n_deleted) for r in found) == [(i, t, 0) for i, t in rows]
+    # A slice in which short texts stand beside a long one, before and after it.
+    long = " ".join(f"w{i}" for i in range(60))
+    mixed = [(i, long if i in (200, 300) else f"text {i}") for i in range(400)]
+    found = line_dedup.without_repeats(spark.createDataFrame(mixed, "doc_id long, text string").repartition(parts), inside_lines=True).collect()
+    assert {r.doc_id: r.text for r in found} == dict(mixed) | {300: ""}
+
+
+def test_lines_with_clashing_columns(spark):
+    names = ["_runs", "_own_doc_id", "_run_doc_id", "runs", "row", "left", "text_a", "text_b", "n_words_deleted", "a.b"]
+    df = spark.createDataFrame([(i, PASSAGE, *range(len(names))) for i in range(2)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    found = {r.doc_id: r for r in line_dedup.without_repeats(df).collect()}
+    assert (found[0].text, found[1].text) == (PASSAGE, "")
+    assert all(found[1][n] == i for i, n in enumerate(names) if n != "n_words_deleted") and found[1].n_words_deleted == len(PASSAGE.split())
+
+
+def test_many_secrets_in_one_text(spark):
+    """200,000 matches in one text take time in proportion; spans are those of brute force."""
+    key = "kX9qLm2Zp7Rt4Wv8Yb1Nc6"
+    some = [f"token={'x' * (6 + i % 3)}{i} {'0123456789abcdef' * 2} {key}{i} AKIA{'A1' * 8} password: {key}" for i in range(40_000)]
+    df = spark.createDataFrame([(0, " ".join(some)), (1, " ".join(some[:200]))], "doc_id long, text string").cache()
+    df.count()
+    began = time.perf_counter()
+    found = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert found[0].n_assign == 80_000 and found[0].n_access == 40_000 and found[0].n_hex == 40_000
+    *counts, spans = brute.secrets(" ".join(some[:200]))
+    base = {(int(s), int(e)) for _, s, e in (x.split(":") for x in spans.split(","))}
+    random = [(s, e) for s, e in brute.random_spans(" ".join(some[:200]), secrets.WINDOW, secrets.THRESHOLDS, secrets.ALLOWED) if not any(a <= s and e <= b for a, b in base)]
+    assert (found[1].n_assign, found[1].n_access, found[1].n_hex, found[1].base_sha256) == tuple(counts)
+    assert sorted((int(s), int(e)) for k, s, e in (x.split(":") for x in found[1].spans.split(",")) if k == "entropy") == random and random
+
+
+def test_good_with_labels_of_one_class(docs, labels):
+    for only in (0, 1):
+        assert quality.only_good(docs, labels.filter(f"quality = {only}")).count() == len(ROWS)
+
+
+def test_bpe_splits_every_code_point(spark):
+    """Every code point beside a letter, a digit and a sign gives tiktoken's ids; so do pairs of unusual letters."""
+    import tiktoken
+
+    own = bpe.coder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    points = [*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200), *range(0x34000, 0x110000, 997)]
+    for k in range(0, len(points), 512):
+        text = "".join(f"a{c}1{c}!{c} {c}" for c in map(chr, points[k : k + 512]))
+        assert own.encode([text])[0] == theirs.encode_ordinary(text), hex(points[k])
+    rng = random.Random(12)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice(points)) for _ in range(rng.randint(1, 12)))
+        assert own.encode([text])[0] == theirs.encode_ordinary(text), text
+

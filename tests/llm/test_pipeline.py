@@ -31,3 +31,17 @@ def test_stages(spark, sf, tmp_path):
     assert set(kept[4].doc_id) == set(kept[3].doc_id) and kept[4].round_trip.all()
     assert (kept[4].ids.str.len() == kept[4].n_tokens).all()
     assert sorted(corpus_pipeline.run(spark, sf).toPandas().ids_sha256) == sorted(kept[4].ids_sha256)
+
+
+def test_stages_without_rows_texts_or_counts(spark, sf, tmp_path):
+    """Empty tables, null texts and documents without n_chars go through all stages."""
+    for name, docs in {
+        "none": spark.createDataFrame([], "doc_id long, text string"),
+        "null": spark.createDataFrame([(1, None), (None, None), (2, ""), (3, "a few words"), (None, "a few words")], "doc_id long, text string"),
+    }.items():
+        base = f"{tmp_path}/{name}"
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+        docs.write.parquet(f"{base}/documents.parquet")
+        found = corpus_pipeline.run(spark, base).collect()
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in found) == ([] if name == "none" else [-1, -1, 1, 2, 3])
