@@ -5,9 +5,11 @@ Logs carry ``seq``, the order of arrival, which breaks ties of ``ts``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running_within
+
 
 def latest_per_key(log: DataFrame, *keys: str, last_wins: bool = False) -> DataFrame:
     """The row of each key with the greatest ts.
@@ -40,5 +42,16 @@ def last_value(log: DataFrame, value: str, where: Column) -> DataFrame:
 
 
 def runs_of_marker(log: DataFrame, marker: Column, *keys: str) -> DataFrame:
-    """``session``: how many markers of a row's key arrived up to it."""
-    return log.withColumn("session", F.sum(F.when(marker, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("seq")))
+    """``session``: how many markers of a row's key arrived up to it. A hot key's rows are parted by arrival."""
+    return running_within(log, "session", F.when(marker, 1).otherwise(0), list(keys), F.asc("seq"))
+
+
+def counts_since_marker(log: DataFrame, marker: Column, what: Column, *keys: str) -> DataFrame:
+    """marker_seq and n_since of each key: its last marker's place (null without one), and the rows after it for which ``what`` holds.
+
+    Both are aggregates, combined before the shuffle; the markers' places are joined back merged, as they grow with the keys.
+    """
+    last = log.groupBy(*keys).agg(F.max(F.when(marker, F.col("seq"))).alias("marker_seq"))
+    placed = log.alias("l").join(last.alias("m").hint("merge"), [F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
+    after = what & (F.col("seq") > F.coalesce("marker_seq", F.lit(-1)))
+    return placed.groupBy(*(F.col(f"m.{k}").alias(k) for k in keys)).agg(F.max("marker_seq").alias("marker_seq"), F.count_if(after).alias("n_since"))

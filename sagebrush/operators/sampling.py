@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Callable
 
@@ -42,7 +43,10 @@ def grouped_split(df: DataFrame, bucket: list[str], group: str, ratio: float, se
     want = F.least(F.greatest(F.bround(n * ratio).cast("int"), F.when(n >= 3, 1).otherwise(0)), n - 1)
     place = F.row_number().over(over.orderBy(shuffled(seed, group), group))
     marked = groups.withColumn("split", F.when((n >= 2) & (place <= want), "val").otherwise("train"))
-    return df.join(marked, [*bucket, group])
+    keys = [*bucket, group]
+    same = [F.col(f"_row.{k}").eqNullSafe(F.col(f"_mark.{k}")) for k in keys]
+    rest = [c for c in df.columns if c not in keys]
+    return df.alias("_row").join(marked.alias("_mark"), same).select(*(F.col(f"_row.{c}").alias(c) for c in (*keys, *rest)), "_mark.split")
 
 
 def interleaved_batches(df: DataFrame, stratum: str, size: int, seed: int, id_column: str) -> DataFrame:
@@ -88,9 +92,67 @@ def diverse(df: DataFrame, group: str, dimensions: list[str], target: int, id_co
     return first_of_combinations(df, group, dimensions, target, id_column).groupBy(group).applyInPandas(choose, schema)
 
 
+def greedy_counts(values: list[tuple], sizes: list[int], target: int) -> list[int]:
+    """How many rows of each combination of values a greedy choice of ``target`` rows takes.
+
+    Next is a row whose values have been used least so far, compared dimension by dimension; then one of the combination
+    of which the fewest were taken, then the first in the list. Use only grows, so a combination's score in the heap is
+    never too high, and one that comes up out of date is put back.
+    """
+    used = [Counter() for _ in values[0]] if values else []
+    taken = [0] * len(values)
+    score = lambda i: (*(u[v] for u, v in zip(used, values[i], strict=True)), taken[i], i)
+    heap = [score(i) for i in range(len(values)) if sizes[i]]
+    heapq.heapify(heap)
+    while heap and target:
+        seen = heapq.heappop(heap)
+        i = seen[-1]
+        if score(i) != seen:
+            heapq.heappush(heap, score(i))
+            continue
+        target -= 1
+        taken[i] += 1
+        for u, v in zip(used, values[i], strict=True):
+            u[v] += 1
+        if taken[i] < sizes[i]:
+            heapq.heappush(heap, score(i))
+    return taken
+
+
+def diverse_balanced(df: DataFrame, group: str, dimensions: list[str], seed: int, id_column: str, target: int | None = None) -> DataFrame:
+    """``target`` rows of each group, or as many as the smallest group has, spread over the values of ``dimensions``.
+
+    The greedy choice (:func:`greedy_counts`) needs the counts of combinations of values only: one row a group goes to
+    Python, as long as the group has combinations. Which rows of a combination are taken is told by their places in a
+    seeded order, numbered over several tasks where a combination is hot. Null values are values.
+    """
+    keys = [group, *dimensions]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    spelled = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dimensions))
+    combination = F.struct(F.md5(spelled).alias("_order"), *(F.col(d) for d in dimensions), F.col("_n"))
+    groups = counts.groupBy(group).agg(F.sum("_n").alias("_size"), F.sort_array(F.collect_list(combination)).alias("_all"))
+    least = groups.agg(F.min("_size").alias("_target")) if target is None else df.sparkSession.range(1).select(F.lit(target).alias("_target"))
+
+    @F.pandas_udf("array<long>")
+    def choose(values: pd.Series, targets: pd.Series) -> pd.Series:
+        out = []
+        for combinations, n in zip(values, targets, strict=True):
+            rows = [tuple(c.values()) for c in combinations]
+            out.append(greedy_counts([r[1:-1] for r in rows], [int(r[-1]) for r in rows], int(n)))
+        return pd.Series(out)
+
+    chosen = groups.join(F.broadcast(least)).withColumn("_taken", choose("_all", "_target"))
+    chosen = chosen.select(F.col(group), F.explode(F.arrays_zip("_all", "_taken")).alias("_c"))
+    chosen = chosen.select(F.col(group), *(F.col("_c._all")[d].alias(d) for d in dimensions), F.col("_c._taken").alias("_taken")).filter("_taken > 0")
+    placed = rank_within(df, "_place", keys, shuffled(seed, id_column), F.col(id_column))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    return placed.alias("p").join(chosen.alias("c"), [*same, F.col("p._place") <= F.col("c._taken")]).select(*(F.col(f"p.{c}") for c in df.columns))
+
+
 def diverse_rounds(df: DataFrame, group: str, dimensions: list[str], target: int, id_column: str) -> DataFrame:
     """A choice of ``target`` rows of each group without a sequential task: rows that are early within their values of
-    each dimension come first."""
+    each dimension come first. Of one combination of values no more than ``target`` rows are read."""
+    df = first_of_combinations(df, group, dimensions, target, id_column)
     for i, d in enumerate(dimensions):
         df = df.withColumn(f"_early_{i}", F.row_number().over(Window.partitionBy(group, d).orderBy(*(f"_early_{j}" for j in range(i)), id_column)))
     early = [f"_early_{i}" for i in range(len(dimensions))]

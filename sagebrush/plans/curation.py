@@ -9,7 +9,7 @@ from sagebrush.functions import text as X
 from sagebrush.functions import words as W
 from sagebrush.operators.latest import last_rows
 from sagebrush.operators.matching import best_match, first_of_each, pivot_steps
-from sagebrush.operators.sampling import balanced, diverse, grouped_split, interleaved_batches
+from sagebrush.operators.sampling import balanced, diverse, diverse_balanced, grouped_split, interleaved_batches
 
 from .registry import query, table
 
@@ -163,3 +163,10 @@ def q_diverse_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice of parts of each size that spreads over brands and types, whose combinations bound the groups."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type")
     return diverse(p, "p_size", ["p_brand", "p_type"], 10, "p_partkey")
+
+
+@query()
+def q_diverse_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many documents of each language as the rarest has, spread over sources and lengths."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.floor(F.log10(F.col("n_chars") + 1)).alias("size"))
+    return diverse_balanced(d, "lang", ["source", "size"], 17, "doc_id")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sagebrush.operators.latest import runs_of_marker
+from sagebrush.operators.order import checkpoint_folder, until_exit
+from sagebrush.sources.arrival import arrived_jsonl
 from sagebrush.streaming import live
 
 from .registry import query, table
@@ -47,3 +52,32 @@ def q_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user, closed after six hours without an event."""
     s = live.drained(live.sessions(events_stream(spark, sf_dir), "user_id", "6 hours"))
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("""WITH m AS (SELECT user_id, max(event_id) FILTER (event_type = 'purchase') AS marker_seq FROM events GROUP BY user_id)
+SELECT e.user_id, any_value(marker_seq) AS marker_seq, count(*) FILTER (event_type <> 'purchase' AND event_id > coalesce(marker_seq, -1)) AS n_since,
+    count(*) FILTER (event_type <> 'purchase' AND event_id > coalesce(marker_seq, -1)) >= 10 AS due FROM events e JOIN m ON m.user_id IS NOT DISTINCT FROM e.user_id GROUP BY e.user_id""")
+def q_stream_since_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user since the last purchase, and whether ten have come, kept by a stream in one row a user."""
+    folder = f"{checkpoint_folder(spark)}/since-{uuid.uuid4().hex}"
+    until_exit(spark, folder)
+    log = events_stream(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), "event_type")
+    live.counted_since(log, "user_id", F.col("event_type") == "purchase", F.col("event_type") != "purchase", folder, f"{folder}/state").awaitTermination()
+    return live.counts_store(spark, folder, "user_id", "bigint").read().withColumn("due", F.col("n_since") >= 10)
+
+
+@query("SELECT event_id, user_id, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS session FROM events")
+def q_sessions_by_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many purchases of its user have come up to each event."""
+    log = table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq")
+    return runs_of_marker(log, F.col("event_type") == "purchase", "user_id").select(F.col("seq").alias("event_id"), "user_id", "session")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events")
+def q_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of JSON lines in many files, read with the number of each line."""
+    folder = f"{checkpoint_folder(spark)}/log-{uuid.uuid4().hex}"
+    until_exit(spark, folder)
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    events.repartitionByRange(F.asc("event_id")).sortWithinPartitions("event_id").write.json(folder)
+    return arrived_jsonl(spark, folder, "event_id long, event_type string").select("event_id", "seq")

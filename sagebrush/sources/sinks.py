@@ -1,73 +1,14 @@
 """Sinks: registers, maps, memos, registries and reports as folders of Parquet or JSON files.
 
-What is changed in place is a folder of versions. New rows are appended to the last version; a change of rows writes the next
-version whole, and readers take the last one that is complete. So a job that fails leaves the table as it was.
+What is changed in place is a :class:`Store`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-
-class Store:
-    """A table in a folder of versions, parted by ``partitions``. ``schema`` is DDL; a store that was never written has no rows."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, *partitions: str):
-        self.spark, self.path, self.schema, self.partitions = spark, path.rstrip("/"), StructType.fromDDL(schema), partitions
-        self.jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.jvm_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        """Complete versions, oldest first."""
-        found = self.fs.globStatus(self.jvm_path(f"{self.path}/v=*/_SUCCESS")) or []
-        return sorted(int(s.getPath().getParent().getName().removeprefix("v=")) for s in found)
-
-    def version(self, v: int) -> str:
-        return f"{self.path}/v={v:08d}"
-
-    def read(self) -> DataFrame:
-        known = self.versions()
-        rows = self.spark.read.schema(self.schema).parquet(self.version(known[-1])) if known else self.spark.createDataFrame([], self.schema)
-        return rows.select(*self.schema.names)
-
-    def write(self, df: DataFrame, v: int, mode: str) -> None:
-        df.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.mode(mode).partitionBy(*self.partitions).parquet(self.version(v))
-
-    def append(self, df: DataFrame) -> None:
-        """Add rows; those that are there are not written again."""
-        self.write(df, (self.versions() or [1])[-1], "append")
-
-    def replace(self, df: DataFrame) -> None:
-        """Write ``df`` as the next version; older ones but the last are removed."""
-        known = self.versions()
-        self.write(df, (known[-1] if known else 0) + 1, "overwrite")
-        for v in known[:-1]:
-            self.fs.delete(self.jvm_path(self.version(v)), True)
-
-    def insert_absent(self, df: DataFrame, *key: str) -> None:
-        """Add the rows whose key isn't there yet; of new rows with one key one is added. Done twice, it changes nothing."""
-        self.append(df.dropDuplicates(list(key)).join(self.read().select(*key), list(key), "left_anti"))
-
-    def upsert(self, df: DataFrame, *key: str) -> None:
-        """Add rows, instead of those with their keys."""
-        self.replace(self.read().join(df.select(*key), list(key), "left_anti").unionByName(df.select(*self.schema.names)))
-
-    def delete(self, keys: DataFrame, *key: str) -> int:
-        """Remove the rows with these keys; how many there were."""
-        old = self.read()
-        gone = old.join(keys.select(*key).distinct(), list(key), "left_semi").count()
-        if gone:
-            self.replace(old.join(keys.select(*key).distinct(), list(key), "left_anti"))
-        return gone
-
-    def clear(self) -> int:
-        """Remove all rows; how many there were."""
-        n = self.read().count()
-        self.replace(self.spark.createDataFrame([], self.schema))
-        return n
 
+from .store import Store
 
 HOLDS = "category string, current_tool string, competitor string, hold_reason string, reassess_condition string, issued_date string, review_by string"
 SUMMARIES = "memo string, summary string"

@@ -132,3 +132,25 @@ def test_small_text_functions(spark):
     assert one(spark, X.polarity(F.lit("No mobile app"), "tool")) == "negative"
     assert one(spark, X.polarity(F.lit("New API"), "competitor")) == "positive"
     assert one(spark, X.polarity(F.lit("export in beta now"), "competitor")) == "pending"
+
+
+def test_sections_of_many_lines(spark):
+    """100,000 lines in time in proportion, with each line in the section that was begun last."""
+    import time
+
+    from sagebrush.functions.traces import sections
+
+    lines = [("PUSH:", "PULL:", "END:")[i // 100 % 3] if i % 100 == 0 else f"- line {i}" if i % 3 else f"other {i}" for i in range(100_000)]
+    name = lambda x: F.when(x == "PUSH:", "push").when(x == "PULL:", "pull").when(x == "END:", "")
+    df = spark.createDataFrame([(["- before", *lines],), ([],)], "lines array<string>").cache()
+    df.count()
+    began = time.perf_counter()
+    found = [[tuple(e) for e in r.s] for r in df.select(sections(F.col("lines"), name).alias("s")).collect()]
+    assert time.perf_counter() - began < 30
+    wanted, section = [], ""
+    for x in lines:
+        if x.endswith(":"):
+            section = {"PUSH:": "push", "PULL:": "pull", "END:": ""}[x]
+        elif section and x.startswith("- "):
+            wanted.append((section, x[2:]))
+    assert sorted(found, key=len) == [[], wanted]
