@@ -1,9 +1,11 @@
 """Line dedup by winnowing: repeated runs of words, kept where they stand first.
 
-A document is a sequence of word hashes. At each word begins a gram of ``GRAM_WORDS`` words. In each window of
-``WINDOW_WORDS`` words the smallest gram hash among the grams that lie in it is a fingerprint. The choice depends on
-the window's words alone, wherever lines begin and end, so every repeated run of ``WINDOW_WORDS`` words or more has a
-fingerprint in common with its copy.
+Lines are units that the words themselves cut, since passages begin and end inside a text's own lines: of each ``CUT_WORDS``
+neighbouring words the one with the smallest hash begins a line. So a line has ``CUT_WORDS`` words at most, and where it
+is cut depends on less than ``CUT_WORDS`` words to either side. In each window of ``WINDOW_WORDS`` words, the lines that
+the window's own words cut out, one at least, are hashed, and the smallest line hash is its fingerprint. The
+choice depends on the window's words alone, so every repeated run of ``WINDOW_WORDS`` words or more has a fingerprint in
+common with its copy.
 
 Fingerprints that stand once in all documents are left behind. The others are extended both ways, over all windows of
 which they are the minimum, and these windows are joined by their content. Every window but the first of its content
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts, text_of
 
-GRAM_WORDS, WINDOW_WORDS = 25, 50
-#: Bases of the polynomials of grams and of windows.
-GRAM_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: 4 * CUT_WORDS - 2 words at most, so that a window surely holds a whole line of its own.
+CUT_WORDS, WINDOW_WORDS = 12, 50
+#: Bases of the polynomials of lines and of windows.
+LINE_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Spreads a sum over all bits.
 MIX = np.uint64(0xD6E8FEB86659FD93)
 TEXT_KEY = ["doc_id", "text_a", "text_b"]
@@ -69,23 +72,54 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def line_starts(words: np.ndarray, text_of_word: np.ndarray) -> np.ndarray:
+    """Where lines begin: at the smallest of each ``CUT_WORDS`` neighbouring words of a text, the first of equal ones."""
+    least = sliding_argmin(words * MIX, CUT_WORDS)
+    return np.unique(least[text_of_word[: len(least)] == text_of_word[CUT_WORDS - 1 :]])
+
+
+def line_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words from each start to the next one."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(LINE_BASE, len(words)), dtype=np.uint64)])
+    hashes = np.diff(total[starts]) * powers(pow(LINE_BASE, -1, 1 << 64), len(words))[starts[:-1]] + np.diff(starts).astype(np.uint64)
+    return (hashes ^ (hashes >> np.uint64(32))) * MIX
+
+
+def least_of_ranges(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where the smallest of x[low:high] stands, the first of equal ones, for each range, none of them empty.
+
+    Two overlapping runs of a power of two fill a range; the runs of each power are made from those of the one before.
+    """
+    first = lambda a, b: np.where(x[a] <= x[b], a, b)
+    power = np.frexp((high - low).astype(np.float64))[1] - 1
+    out, best = np.zeros(len(low), np.int64), np.arange(len(x), dtype=np.int64)
+    for p in range(int(power.max(initial=-1)) + 1):
+        if p:
+            best = first(best[: -(1 << p - 1)], best[1 << p - 1 :])
+        here = np.flatnonzero(power == p)
+        out[here] = first(best[low[here]], best[high[here] - (1 << p)])
+    return out
+
+
 def fingerprints(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each gram that is smallest in some window of its text, the first and last of these windows, and where each text's begin.
+    """Hash of each line that is smallest in some window of its text, the first and last of these windows, and where each text's begin.
 
-    Of equal grams the first counts. Windows that reach over the end of a text are none.
+    Windows that reach over the end of a text are none. A window's own lines are those that begin and end where windows
+    of ``CUT_WORDS`` words that lie in it alone decide on it.
     """
     if np.diff(bounds).max(initial=0) < WINDOW_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    grams = run_hashes(words, GRAM_WORDS, GRAM_BASE)
-    least = sliding_argmin(grams, WINDOW_WORDS - GRAM_WORDS + 1)
     text_of_word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    owner = text_of_word[: len(least)]
-    inside = np.flatnonzero(owner == text_of_word[WINDOW_WORDS - 1 :])
+    inside = np.flatnonzero(text_of_word[: len(words) - WINDOW_WORDS + 1] == text_of_word[WINDOW_WORDS - 1 :])
+    starts = line_starts(words, text_of_word)
+    hashes = line_hashes(words, starts)
+    least = least_of_ranges(hashes, np.searchsorted(starts, inside + CUT_WORDS - 1), np.searchsorted(starts, inside + WINDOW_WORDS - CUT_WORDS, side="right") - 1)
+    owner = text_of_word[inside]
     new = np.ones(len(inside), bool)
-    new[1:] = (np.diff(least[inside]) != 0) | (np.diff(owner[inside]) != 0)
+    new[1:] = (np.diff(least) != 0) | (np.diff(owner) != 0)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(inside)) - 1
-    return grams[least[inside[first]]].view(np.int64), inside[first], inside[last], np.searchsorted(owner[inside[first]], np.arange(len(bounds)))
+    return hashes[least[first]].view(np.int64), inside[first], inside[last], np.searchsorted(owner[first], np.arange(len(bounds)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -94,32 +128,32 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def document_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_a, text_b, n_words and the grams of the fingerprints, in their order."""
+    """doc_id, text_a, text_b, n_words and the lines (hashes) of the fingerprints, in their order."""
 
     def rows(ids: list, a: list, b: list, texts: list[str]) -> list:
         words, bounds = word_hashes(texts)
-        grams, _, _, offsets = fingerprints(words, bounds)
-        return [pa.array(ids, pa.int64()), a, b, np.diff(bounds).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams))]
+        lines, _, _, offsets = fingerprints(words, bounds)
+        return [pa.array(ids, pa.int64()), a, b, np.diff(bounds).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lines))]
 
-    return map_texts(keyed(docs), rows, "doc_id long, text_a long, text_b long, n_words int, grams array<long>", ids=tuple(TEXT_KEY))
+    return map_texts(keyed(docs), rows, "doc_id long, text_a long, text_b long, n_words int, lines array<long>", ids=tuple(TEXT_KEY))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """The windows of the fingerprints whose numbers are in the column ``marks``: grams, windows (hashes), starts."""
+    """The windows of the fingerprints whose numbers are in the column ``marks``: lines and windows (hashes), starts."""
 
     def rows(ids: list, a: list, b: list, marks: list, texts: list[str]) -> list:
         words, bounds = word_hashes(texts)
-        grams, first, last, offsets = fingerprints(words, bounds)
+        lines, first, last, offsets = fingerprints(words, bounds)
         some = np.concatenate([np.sort(np.array(x, np.int64)) + o for x, o in zip(marks, offsets, strict=False)])
         sizes = last[some] - first[some] + 1
         text = np.repeat(np.arange(len(texts)), list(map(len, marks))).repeat(sizes)
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1]) - np.repeat(ends - sizes - first[some], sizes)
         cuts = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
-        columns = np.repeat(grams[some], sizes), run_hashes(words, WINDOW_WORDS, WINDOW_BASE)[at].view(np.int64), (at - bounds[text]).astype(np.int32)
+        columns = np.repeat(lines[some], sizes), run_hashes(words, WINDOW_WORDS, WINDOW_BASE)[at].view(np.int64), (at - bounds[text]).astype(np.int32)
         return [pa.array(ids, pa.int64()), a, b, *(pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns)]
 
-    return map_texts(docs, rows, "doc_id long, text_a long, text_b long, grams array<long>, windows array<long>, starts array<int>", ids=(*TEXT_KEY, "marks"))
+    return map_texts(docs, rows, "doc_id long, text_a long, text_b long, lines array<long>, windows array<long>, starts array<int>", ids=(*TEXT_KEY, "marks"))
 
 
 def united(starts: np.ndarray) -> list[int]:
@@ -134,22 +168,22 @@ def united(starts: np.ndarray) -> list[int]:
 def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_a, text_b, runs: the words (start, end exclusive, in turn) to delete. Rows with null doc_id take no part."""
     docs = docs.filter("doc_id is not null").select("doc_id", text_of().alias("text"))
-    marks = scratch.keep(document_marks(docs).filter(F.size("grams") > 0), "marks")
+    marks = scratch.keep(document_marks(docs).filter(F.size("lines") > 0), "marks")
     # Of equal texts, the one with the smallest doc_id stands for all; the others are repeated from first to last word.
     first = marks.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("doc_id"))
     alone = scratch.keep(marks.join(first.hint("merge"), TEXT_KEY, "left_semi"), "alone")
     copies = marks.join(first.hint("merge"), TEXT_KEY, "left_anti").select(*TEXT_KEY, F.array(F.lit(0), "n_words").alias("runs"))
 
-    each = alone.select(*TEXT_KEY, F.posexplode("grams").alias("mark", "gram"))
-    # A gram that stands once is told by where it stands: the minimum of one place is that place.
-    once = each.groupBy("gram").agg(F.count(F.lit(1)).alias("places"), *(F.min(c).alias(c) for c in (*TEXT_KEY, "mark"))).filter("places = 1")
+    each = alone.select(*TEXT_KEY, F.posexplode("lines").alias("mark", "line"))
+    # A line that stands once is told by where it stands: the minimum of one place is that place.
+    once = each.groupBy("line").agg(F.count(F.lit(1)).alias("places"), *(F.min(c).alias(c) for c in (*TEXT_KEY, "mark"))).filter("places = 1")
     once = once.groupBy(*TEXT_KEY).agg(F.collect_list("mark").alias("once"))
-    marked = alone.join(once.hint("merge"), TEXT_KEY, "left").select(*TEXT_KEY, F.array_except(F.sequence(F.lit(0), F.size("grams") - 1), F.coalesce("once", F.array().cast("array<int>"))).alias("marks"))
+    marked = alone.join(once.hint("merge"), TEXT_KEY, "left").select(*TEXT_KEY, F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("once", F.array().cast("array<int>"))).alias("marks"))
     marked = scratch.keep(marked.filter(F.size("marks") > 0).distinct(), "marked")
     windows = scratch.keep(repeated_windows(keyed(docs).join(marked.hint("merge"), TEXT_KEY)), "windows")
 
     # The first document of each window; in it, and in no other, the window stays.
-    own = windows.select("doc_id", F.explode(F.arrays_zip("grams", "windows")).alias("w")).groupBy("w.grams", "w.windows").agg(F.min("doc_id").alias("doc_id"))
+    own = windows.select("doc_id", F.explode(F.arrays_zip("lines", "windows")).alias("w")).groupBy("w.lines", "w.windows").agg(F.min("doc_id").alias("doc_id"))
     own = own.groupBy("doc_id").agg(F.collect_list("windows").alias("own"))
 
     def later(batches):
@@ -163,7 +197,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 runs.append(united(starts[again]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TEXT_KEY), pa.array(runs, pa.list_(pa.int32()))], names=[*TEXT_KEY, "runs"])
 
-    found = windows.drop("grams").join(own.hint("merge"), "doc_id", "left").mapInArrow(later, "doc_id long, text_a long, text_b long, runs array<int>")
+    found = windows.drop("lines").join(own.hint("merge"), "doc_id", "left").mapInArrow(later, "doc_id long, text_a long, text_b long, runs array<int>")
     return found.filter(F.size("runs") > 0).union(copies).dropDuplicates(TEXT_KEY)
 
 
