@@ -5,6 +5,11 @@ piece then stands unchanged. So the pieces of all items go into one automaton, w
 text in a single pass; around each hit, Myers' bit-parallel algorithm computes the edit distance. Nothing within the
 budget is missed, and nothing beyond it is reported.
 
+Pieces are paired. Of the pairs (and a last single piece) at least one has fewer edits than pieces, so a pair in which a
+piece stands unchanged has one edit at most in its other piece, of which then one half stands unchanged too, shifted by
+one place at most. Hits whose partner has no such half are left out before any distance is computed; so a phrase that
+many items share costs each of them two comparisons.
+
 Items and texts are compared as words between spaces, so an item isn't found inside longer words but by edits.
 
 The items are a stated set of queries, taken in blocks of ``BLOCK_CHARS`` at most (or one longer item), each with a pass
@@ -49,6 +54,24 @@ def pieces(item: str) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
+def partner(item: str, cuts: list[tuple[int, int]], i: int) -> tuple[str, int, str, int, int] | None:
+    """What must stand beside a hit of piece ``i``; None for a piece without a partner.
+
+    Either the partner's near half where it belongs, or its far half, shifted by one place at most. Places are relative
+    to the last character of the hit.
+    """
+    j = i ^ 1
+    if j >= len(cuts):
+        return None
+    start, end = cuts[j]
+    middle = (start + end) // 2
+    if j > i:
+        at = 1
+        return item[start:middle], at, item[middle:end], at + middle - start - 1, at + end - start + 1
+    at = 1 - (cuts[i][1] - cuts[i][0])
+    return item[middle:end], at - (end - middle), item[start:middle], at - (end - start) - 1, at - (end - middle) + 1
+
+
 def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
     """Least edit distance of ``pattern`` to a part of ``text``, and the smallest end of such a part.
 
@@ -86,10 +109,11 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, f" {s} ") for i, t in items if (s := normal(t or ""))]
-        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        found: dict[str, list[tuple[int, int, tuple | None]]] = defaultdict(list)
         for n, (_, s) in enumerate(self.items):
-            for start, end in pieces(s):
-                found[s[start:end]].append((n, end))
+            cuts = pieces(s)
+            for i, (start, end) in enumerate(cuts):
+                found[s[start:end]].append((n, end, partner(s, cuts, i)))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, places)
@@ -106,8 +130,9 @@ class Matcher:
         plain = f" {normal(text)} "
         begins = defaultdict(set)
         for last, places in self.automaton.iter(plain):
-            for n, end in places:
-                begins[n].add(last + 1 - end)
+            for n, end, near in places:
+                if near is None or (plain.startswith(near[0], last + near[1]) or plain.find(near[2], max(0, last + near[3]), max(0, last + near[4])) >= 0):
+                    begins[n].add(last + 1 - end)
         out = []
         for n, starts in begins.items():
             item_id, item = self.items[n]
@@ -155,12 +180,15 @@ def len_before(text: str, p: int) -> int:
 
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks by a hash of their ids; each is collected when it is asked for."""
-    items = items.select(F.col("item_id").alias("id"), text_of().alias("text")).filter("id is not null")
+    """The items, each once, in blocks by a hash of id and text; each block is collected when it is asked for.
+
+    Only a single item longer than ``BLOCK_CHARS`` makes a longer block.
+    """
+    items = items.select(F.col("item_id").alias("id"), text_of().alias("text")).filter("id is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_CHARS))
-    block = lambda: F.pmod(F.xxhash64("id"), F.lit(n))
-    while not items.groupBy(block().alias("b")).agg(F.sum(F.length("text")).alias("chars"), F.min("id").alias("low"), F.max("id").alias("high")).filter(f"chars > {BLOCK_CHARS} and low < high").isEmpty():
+    block = lambda: F.pmod(F.xxhash64("id", "text"), F.lit(n))
+    while not items.groupBy(block().alias("b")).agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).filter(f"chars > {BLOCK_CHARS} and n > 1").isEmpty():
         n *= 2
     for b in range(n):
         yield [(r.id, r.text) for r in items.filter(block() == b).toLocalIterator()]
@@ -169,6 +197,8 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item that meet: doc_id, item_id, edits, start, end.
 
+    Rows of items with the same item_id and text are one item; those with the same item_id and other texts are told each.
+
     Text and items are compared as lower-cased words, see :func:`normal`; start and end are the best place in the
     text, in characters. Null and empty texts and items match nothing; rows with null item_id take no part; those
     with null or repeated doc_id are told each by itself. Other columns are not read. No rows on either side give no
