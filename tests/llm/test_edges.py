@@ -364,3 +364,25 @@ def test_bpe_splits_every_code_point(spark):
         text = "".join(chr(rng.choice(points)) for _ in range(rng.randint(1, 12)))
         assert own.encode([text])[0] == theirs.encode_ordinary(text), text
 
+
+
+def test_leaks_with_a_phrase_that_all_items_share(spark, monkeypatch):
+    """2,000 items with one phrase, documents full of it, repeated items and ids: in time, and with the few that occur."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    phrase = "which of the following is right"
+    items = [(i % 1500, f"{' '.join(word() for _ in range(8))} {phrase} {' '.join(word() for _ in range(8))}") for i in range(2000)]
+    texts = [" ".join(f"{word()} {phrase} {word()}" for _ in range(50)) for _ in range(20)]
+    for d in range(0, 20, 4):
+        texts[d] += " " + items[d * 90][1].replace("following", "folowing")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame(items + items[:700], "item_id long, text string")
+    began = time.perf_counter()
+    found = sorted((r.doc_id, r.item_id, r.edits) for r in decontamination.matches(docs, queries).collect())
+    assert time.perf_counter() - began < 60
+    assert found == [(d, d * 90, 1) for d in range(0, 20, 4)]
+    # Blocks hold no more than their size, also where one id has many texts.
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 5000)
+    same = queries.withColumn("item_id", F.lit(7).cast("long"))
+    blocks = list(decontamination.item_blocks(same))
+    assert sum(map(len, blocks)) == 2000 and all(sum(len(t) for _, t in b) <= 5000 for b in blocks)
