@@ -3,9 +3,10 @@
 Lines are units that the words themselves cut, since passages begin and end inside a text's own lines: of each ``CUT_WORDS``
 neighbouring words the one with the smallest hash begins a line. So a line has ``CUT_WORDS`` words at most, and where it
 is cut depends on less than ``CUT_WORDS`` words to either side. In each window of ``WINDOW_WORDS`` words, the lines that
-the window's own words cut out, one at least, are hashed, and the smallest line hash is its fingerprint. The
-choice depends on the window's words alone, so every repeated run of ``WINDOW_WORDS`` words or more has a fingerprint in
-common with its copy.
+the window's own words cut out, one at least, are hashed, and the line of the smallest hash is its fingerprint, told by
+the line's words and the ``CUT_WORDS`` - 1 words to either side of it, which the window holds too. All this depends on
+the window's words alone, so every repeated run of ``WINDOW_WORDS`` words or more has a fingerprint in common with its
+copy; and a line that is common without its surroundings brings nothing together.
 
 Fingerprints that stand once in all documents are left behind. The others are extended both ways, over all windows of
 which they are the minimum, and these windows are joined by their content. Every window but the first of its content
@@ -78,10 +79,10 @@ def line_starts(words: np.ndarray, text_of_word: np.ndarray) -> np.ndarray:
     return np.unique(least[text_of_word[: len(least)] == text_of_word[CUT_WORDS - 1 :]])
 
 
-def line_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of the words from each start to the next one."""
+def part_hashes(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the words from each of ``low`` up to the one before each of ``high``."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(LINE_BASE, len(words)), dtype=np.uint64)])
-    hashes = np.diff(total[starts]) * powers(pow(LINE_BASE, -1, 1 << 64), len(words))[starts[:-1]] + np.diff(starts).astype(np.uint64)
+    hashes = (total[high] - total[low]) * powers(pow(LINE_BASE, -1, 1 << 64), len(words))[low] + (high - low).astype(np.uint64)
     return (hashes ^ (hashes >> np.uint64(32))) * MIX
 
 
@@ -102,7 +103,7 @@ def least_of_ranges(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 
 
 def fingerprints(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each line that is smallest in some window of its text, the first and last of these windows, and where each text's begin.
+    """Hash of each line that is smallest in some window of its text, with its surroundings; the first and last of these windows, and where each text's begin.
 
     Windows that reach over the end of a text are none. A window's own lines are those that begin and end where windows
     of ``CUT_WORDS`` words that lie in it alone decide on it.
@@ -112,14 +113,15 @@ def fingerprints(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     text_of_word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     inside = np.flatnonzero(text_of_word[: len(words) - WINDOW_WORDS + 1] == text_of_word[WINDOW_WORDS - 1 :])
     starts = line_starts(words, text_of_word)
-    hashes = line_hashes(words, starts)
-    least = least_of_ranges(hashes, np.searchsorted(starts, inside + CUT_WORDS - 1), np.searchsorted(starts, inside + WINDOW_WORDS - CUT_WORDS, side="right") - 1)
+    least = least_of_ranges(part_hashes(words, starts[:-1], starts[1:]), np.searchsorted(starts, inside + CUT_WORDS - 1), np.searchsorted(starts, inside + WINDOW_WORDS - CUT_WORDS, side="right") - 1)
     owner = text_of_word[inside]
     new = np.ones(len(inside), bool)
     new[1:] = (np.diff(least) != 0) | (np.diff(owner) != 0)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(inside)) - 1
-    return hashes[least[first]].view(np.int64), inside[first], inside[last], np.searchsorted(owner[first], np.arange(len(bounds)))
+    lines, around = least[first], CUT_WORDS - 1
+    hashes = part_hashes(words, starts[lines] - around, starts[lines + 1] + around)
+    return hashes.view(np.int64), inside[first], inside[last], np.searchsorted(owner[first], np.arange(len(bounds)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
