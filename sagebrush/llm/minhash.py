@@ -10,9 +10,10 @@
    all in one component by then are finished. Members of the others are decided exactly: at the similarity t, linked
    documents of n shingles share one of their first n - ceil(t * n) + 1, in any order fixed for all, and after the
    first shared one enough shingles must be left for the intersection. With rare shingles first, a passage that
-   thousands of documents share brings few of them together. The buckets of these shingles get stars too; centres are
-   taken out, and buckets that still hold two components get new centres, each round many times as many, until there
-   are none.
+   thousands of documents share brings few of them together. The buckets of these shingles get stars too, of as many
+   centres as keep all pairs below a fixed number a document; a bucket with no more members than that is decided whole,
+   at once. Centres are taken out, and buckets that still hold two components get new centres, each round many times as
+   many, until there are none. New links join the components found before, without going over the old links again.
 
 A pair at similarity 0.75 shares no bucket with probability 1 - (1 - 0.75 ** 4) ** 32, or 5 in a million, falling fast
 above that.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, map_texts, text_of
-from .components import connected_components
+from .components import connected_components, joined_components
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -41,6 +42,8 @@ EDGES = np.arange(BINS + 1, dtype=np.uint64)[:-1] << np.uint64(64 - BINS.bit_len
 #: Standard deviations by which an estimate may fall short before a candidate is dropped unconfirmed.
 SLACK = 6.0
 CENTRES_GROWTH = 64
+#: Pairs for each document of the input that a round may make without asking for more than its least number of centres.
+PAIRS_A_DOCUMENT = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -127,18 +130,30 @@ def linked(text_a: pd.Series, text_b: pd.Series, percent: pd.Series) -> pd.Serie
 
 
 def star_centres(buckets: DataFrame, count: int) -> DataFrame:
-    """Up to ``count`` members of each bucket, spread over it by a hash of their ids.
+    """All members of buckets of up to ``count``; as many of larger ones, spread over them by a hash of their ids.
 
     Members of the bucket's rarest component come first, then small ids: a lone document in a bucket full of one
     component is decided against all of it at once.
     """
     share = buckets.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
-    rare = share.groupBy("key").agg(F.min(F.struct("share", "label")).getField("label").alias("rare"))
-    placed = buckets.join(rare, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(count)))
+    rare = share.groupBy("key").agg(F.min(F.struct("share", "label")).getField("label").alias("rare"), F.sum("share").alias("size"))
+    salt = F.when(F.col("size") <= count, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(count)))
+    placed = buckets.join(rare, "key").withColumn("salt", salt)
     first = F.min(F.struct((F.col("label") != F.col("rare")).alias("common"), "id", "label", "n", "pos"))
     return placed.groupBy("key", "salt").agg(first.alias("c")).select("key", "c.id", "c.label", "c.n", "c.pos")
 
 
+def centres_that_fit(buckets: DataFrame, documents: int, least: int) -> int:
+    """The most centres a bucket for which all buckets together make at most ``PAIRS_A_DOCUMENT`` pairs a document.
+
+    It is ``least`` at least. What a round makes so grows with the input, whatever the sizes of the buckets.
+    """
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    able = [least << k for k in range(1, 21)]
+    sums = sizes.agg(*[F.sum(F.col("size") * F.least("size", F.lit(c))).alias(str(c)) for c in able]).first()
+    return max([least, *(c for c in able if (sums[str(c)] or 0) <= PAIRS_A_DOCUMENT * documents)])
+
+
 def star_pairs(buckets: DataFrame, centres: DataFrame, percent: int, placed: bool) -> DataFrame:
     """Pairs (a < b) of a centre and a member of its bucket that aren't in one component and whose sizes allow a link.
 
@@ -224,16 +239,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     nobody = first.limit(0)
     buckets = scratch.keep(open_buckets(buckets, nobody, labels), "buckets-4")
     scratch.drop("buckets-1", "buckets-2", "buckets-3", "shingles", "common")
-    step, count = 3, CENTRES_GROWTH
+    step, count, documents = 3, CENTRES_GROWTH, reps.count()
     while not buckets.isEmpty():
         step += 1
+        count = centres_that_fit(buckets, documents, count)
         centres = scratch.keep(star_centres(buckets, count), f"centres-{step}")
         pairs = scratch.keep(star_pairs(buckets, centres, percent, placed=True).join(done, ["a", "b"], "left_anti"), f"pairs-{step}")
         done = done.union(pairs)
         new = scratch.keep(confirmed(pairs, reps, texts, percent), f"links-{step}")
         if not new.isEmpty():
-            links = links.union(new)
-            labels = connected_components(links, scratch, f"labels-{step}")
+            labels = joined_components(labels, new, scratch, f"labels-{step}")
         buckets = scratch.keep(open_buckets(buckets, centres, labels), f"buckets-{step + 1}")
         scratch.drop(f"buckets-{step}", f"centres-{step}")
         count *= CENTRES_GROWTH
