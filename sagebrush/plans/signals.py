@@ -1,7 +1,9 @@
 """Signals of competitors: names, validation, compliance, semantic view, consistency and curated traces.
 
-The tables hold no signals, so the registered queries make one of each document: every field is picked from a list by a
-hash of the document's id and the field's name, so that fields vary independently and rules meet all their combinations.
+The tables hold no signals, so the registered queries make one of each document. All lines of its text are the notes, the
+competitor's changes or the tool's lines of its signal, which a hash of the id tells; sentences that a hash picks from a
+list are put after them, and the other fields are picked likewise, so that fields vary independently and rules meet all
+their combinations.
 """
 
 from __future__ import annotations
@@ -62,13 +64,30 @@ def one_of_sql(values: list[str], slot: str) -> str:
 
 
 FLAGS = ["soc2_type2", "sso_saml", "uk_residency", "gdpr_eu_residency", "audit_log"]
+#: The lists that a document's lines may belong to.
+TEXT_LISTS = ["n", "c", "t"]
+
+
+def text_lines() -> Column:
+    """The lines of a document's text, squeezed; blank ones are left out, and a null text has none."""
+    return F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), X.squeezed), lambda x: x != "")
+
+
+TEXT_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), lambda x: x <> '')"
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One signal of each document id."""
-    some = lambda slot, n: F.filter(F.array(*(one_of(LISTS[slot], f"{slot}{k}") for k in range(n))), lambda x: x != "")
+    """One signal of each document; doc_ids are unique."""
+
+    def some(slot: str, n: int) -> Column:
+        picked = F.filter(F.array(*(one_of(LISTS[slot], f"{slot}{k}") for k in range(n))), lambda x: x != "")
+        if slot not in TEXT_LISTS:
+            return picked
+        here = pick("lines", len(TEXT_LISTS)) == TEXT_LISTS.index(slot)
+        return F.concat(F.when(here, text_lines()).otherwise(F.array().cast("array<string>")), picked)
+
     profile = F.struct(*((pick(f, 6) != 0).alias(f) for f in FLAGS), F.when(pick("export", 4) != 0, pick("export", 4) != 1).alias("audit_log_exportable"))
-    return table(spark, sf_dir, "documents").select("doc_id").distinct().select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         one_of(W.SCENARIOS, "scenario").alias("scenario"),
         one_of(W.SCENARIOS, "told").alias("scenario_type"),
@@ -88,7 +107,10 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def some_sql(slot: str, n: int) -> str:
-    return f"list_filter([{', '.join(one_of_sql(LISTS[slot], f'{slot}{k}') for k in range(n))}], lambda x: x <> '')"
+    picked = f"list_filter([{', '.join(one_of_sql(LISTS[slot], f'{slot}{k}') for k in range(n))}], lambda x: x <> '')"
+    if slot not in TEXT_LISTS:
+        return picked
+    return f"CASE WHEN {pick_sql('lines', len(TEXT_LISTS))} = {TEXT_LISTS.index(slot)} THEN {TEXT_LINES} || {picked} ELSE {picked} END"
 
 
 SIGNALS = f"""sig AS (
@@ -99,7 +121,7 @@ SIGNALS = f"""sig AS (
            CASE WHEN {pick_sql("previous", 3)} = 0 THEN 'HOLD' END AS previous, {pick_sql("net", 4000)} - 1500 AS net,
            {", ".join(f"{pick_sql(f, 6)} <> 0 AS {f}" for f in FLAGS)},
            CASE WHEN {pick_sql("export", 4)} <> 0 THEN {pick_sql("export", 4)} <> 1 END AS audit_log_exportable
-    FROM (SELECT DISTINCT doc_id FROM documents))"""
+    FROM documents)"""
 
 
 def first_sql(lines: str, test: str) -> str:
