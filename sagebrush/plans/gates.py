@@ -11,7 +11,7 @@ from sagebrush.functions.compliance import effective_profile, failures, overridd
 from sagebrush.functions.finance import annual_saving, inferred_price, roi, roi_bucket
 
 from .registry import query, table
-from .signals import RULES, SIGNALS, has_sql, one_of, one_of_sql, pick, pick_sql, signals, with_rules
+from .signals import RULES, SIGNALS, SQUEEZED, has_sql, one_of, one_of_sql, pick, pick_sql, signals, with_rules
 
 
 def signal_context(signals: DataFrame, stack: DataFrame, usage: DataFrame, registry: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ PRICES = [
 ]
 
 
-@query(rf"""WITH d AS (SELECT doc_id, replace(replace({one_of_sql(PRICES, "price")}, '{{a}}', CAST(20 + {pick_sql("a", 40)} * 10 AS VARCHAR)), '{{b}}', CAST(300 + {pick_sql("b", 8)} * 30 AS VARCHAR)) AS delta,
+@query(rf"""WITH d AS (SELECT doc_id, replace(replace({one_of_sql(PRICES, "price")}, '{{a}}', CAST(20 + {pick_sql("a", 40)} * 10 AS VARCHAR)), '{{b}}', CAST(300 + {pick_sql("b", 8)} * 30 AS VARCHAR)) || CASE WHEN {pick_sql("spoken", 2)} = 0 THEN ' ' || {SQUEEZED} ELSE '' END AS delta,
     CAST(5 + {pick_sql("base", 90)} * 5 AS DOUBLE) AS base, CAST(300 + {pick_sql("cur", 8)} * 30 AS DOUBLE) AS cur FROM documents),
 a AS (SELECT *, list_transform(regexp_extract_all(delta, '(?i)(?:£|PS)\s*([0-9]+(?:\.[0-9]+)?)', 1), lambda x: CAST(x AS DOUBLE)) AS amounts,
     TRY_CAST(regexp_extract(delta, '(?i)from\s*(?:£|PS)\s*([0-9.]+)\s*(?:/\w+)?\s*to\s*(?:£|PS)\s*([0-9.]+)', 2) AS DOUBLE) AS target,
@@ -76,6 +76,7 @@ def q_price_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices told in words: wording, amounts, base and current price of each document vary independently."""
     amount = lambda slot, least, n, step: (least + pick(slot, n) * step).cast("string")
     delta = F.replace(F.replace(one_of(PRICES, "price"), F.lit("{a}"), amount("a", 20, 40, 10)), F.lit("{b}"), amount("b", 300, 8, 30))
+    delta = F.concat(delta, F.when(pick("spoken", 2) == 0, F.concat(F.lit(" "), X.squeezed(F.col("text")))).otherwise(""))
     price = inferred_price(delta, (5 + pick("base", 90) * 5).cast("double"), (300 + pick("cur", 8) * 30).cast("double"))
     return table(spark, sf_dir, "documents").select("doc_id", price.alias("price"))
 
@@ -110,8 +111,12 @@ SAID = [
 
 
 def said_changes() -> Column:
-    """One or two changes told, parted by a semicolon."""
-    return F.concat(one_of(SAID, "said"), F.when(pick("also", 2) == 0, F.concat(F.lit("; "), one_of(SAID, "said too"))).otherwise(""))
+    """One or two changes told, and the whole text of half of the documents, parted by semicolons."""
+    too = F.when(pick("also", 2) == 0, F.concat(F.lit("; "), one_of(SAID, "said too"))).otherwise("")
+    return F.concat(one_of(SAID, "said"), too, F.when(pick("spoken", 2) == 0, F.concat(F.lit("; "), X.squeezed(F.col("text")))).otherwise(""))
+
+
+SAID_SQL = f"""{one_of_sql(SAID, "said")} || CASE WHEN {pick_sql("also", 2)} = 0 THEN '; ' || {one_of_sql(SAID, "said too")} ELSE '' END || CASE WHEN {pick_sql("spoken", 2)} = 0 THEN '; ' || {SQUEEZED} ELSE '' END"""
 
 
 _PART = lambda *words: f"list_filter(parts, lambda p: {has_sql('p', list(words))})[1]"
@@ -121,7 +126,7 @@ _SURE = "|".join(W.GAINED_FOR_SURE)
 _GAINED = lambda part: f"(CASE WHEN {_LOST(part)} THEN regexp_matches(regexp_replace({part}, 'not\\s{{1,4}}({_SURE})', '', 'g'), '{_SURE}') ELSE {has_sql(part, W.GAINED)} END)"
 _FLIP = lambda flag, part, able: f"CASE WHEN {part} IS NULL THEN {flag} WHEN NOT {flag} AND {able} AND {_GAINED(part)} THEN true WHEN {flag} AND {_LOST(part)} THEN false ELSE {flag} END"
 _AUDITED = "category IN ('finance', 'hr', 'crm') AND audit_part IS NOT NULL"
-EFFECTIVE = f"""told AS (SELECT sig.*, lower(trim(regexp_replace({one_of_sql(SAID, "said")} || CASE WHEN {pick_sql("also", 2)} = 0 THEN '; ' || {one_of_sql(SAID, "said too")} ELSE '' END, '^\\s*\\{{[^{{}}]*\\}}\\s*;?', ''))) AS t FROM sig),
+EFFECTIVE = f"""told AS (SELECT sig.*, lower(trim(regexp_replace({SAID_SQL}, '^\\s*\\{{[^{{}}]*\\}}\\s*;?', ''))) AS t FROM sig JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),
 split AS (SELECT *, list_transform(string_split(t, ';'), lambda p: trim(p)) AS parts FROM told),
 named AS (SELECT *, {_PART("soc2", "soc 2")} AS soc2_part, {_PART("sso", "saml", "oidc")} AS sso_part, {_PART("uk")} AS uk_part, {_PART("eu", "gdpr")} AS eu_part, {_PART("audit log", "audit trail", "exportable audit")} AS audit_part FROM split),
 flags AS (SELECT *, t IN ('', 'unchanged', 'no changes', 'none') AS silent, coalesce(contains(uk_part, 'residency'), false) AS home, coalesce(contains(eu_part, 'residency') AND {_GAINED("eu_part")}, false) AS abroad,
@@ -138,7 +143,9 @@ effective AS (SELECT doc_id, category, seats, CASE WHEN silent THEN soc2_type2 E
 def q_compliance_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile after the changes told in words, and the gate on it."""
     c = F.col
-    p = signals(spark, sf_dir).withColumn("new", effective_profile(c("profile"), said_changes(), c("category"), c("seats")))
+    said = table(spark, sf_dir, "documents").select("doc_id", said_changes().alias("said"))
+    p = signals(spark, sf_dir).select("doc_id", "profile", "category", "seats").join(said, "doc_id")
+    p = p.withColumn("new", effective_profile(c("profile"), c("said"), c("category"), c("seats")))
     flags = [c(f"new.{f}").alias(n) for f, n in (("soc2_type2", "soc2"), ("sso_saml", "sso"), ("uk_residency", "uk"), ("gdpr_eu_residency", "eu"), ("audit_log", "audit"))]
     return p.select("doc_id", *flags, (F.size(failures(c("new"), c("category"), c("seats"))) == 0).alias("passed"))
 

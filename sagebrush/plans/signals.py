@@ -76,16 +76,20 @@ def text_lines() -> Column:
 TEXT_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), lambda x: x <> '')"
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One signal of each document; doc_ids are unique."""
+SQUEEZED = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+def some(slot: str, n: int) -> Column:
+    """The lines of a list of the signal: those of the text, if they belong to it, then n picks."""
+    picked = F.filter(F.array(*(one_of(LISTS[slot], f"{slot}{k}") for k in range(n))), lambda x: x != "")
+    if slot not in TEXT_LISTS:
+        return picked
+    here = pick("lines", len(TEXT_LISTS)) == TEXT_LISTS.index(slot)
+    return F.concat(F.when(here, text_lines()).otherwise(F.array().cast("array<string>")), picked)
 
-    def some(slot: str, n: int) -> Column:
-        picked = F.filter(F.array(*(one_of(LISTS[slot], f"{slot}{k}") for k in range(n))), lambda x: x != "")
-        if slot not in TEXT_LISTS:
-            return picked
-        here = pick("lines", len(TEXT_LISTS)) == TEXT_LISTS.index(slot)
-        return F.concat(F.when(here, text_lines()).otherwise(F.array().cast("array<string>")), picked)
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One signal of each document; doc_ids are unique."""
     profile = F.struct(*((pick(f, 6) != 0).alias(f) for f in FLAGS), F.when(pick("export", 4) != 0, pick("export", 4) != 1).alias("audit_log_exportable"))
     return table(spark, sf_dir, "documents").select(
         "doc_id",

@@ -17,7 +17,7 @@ from .memos import CHECKS, checks, still_wrong
 from .monitoring import LOG, events_as_log, feedback_queue
 from .registry import query, table
 from .signals import RULES, SIGNALS, one_of, one_of_sql, pick, pick_sql, signals, with_rules
-from .traces import ANALYSES, VERDICTS, flipped_pairs
+from .traces import ANALYSIS, VERDICTS, answers, flipped_pairs
 
 _IDS = "(SELECT DISTINCT doc_id FROM documents)"
 DAY = "2026-01-15"
@@ -138,15 +138,13 @@ new AS (SELECT log.* FROM log, cut WHERE type = 'human_feedback' AND NOT coalesc
 h AS (SELECT 'human_feedback' AS source, memo_filename AS id, stated_verdict AS wrong_verdict, actual_verdict AS correct_verdict FROM (SELECT *, row_number() OVER (PARTITION BY memo_filename ORDER BY ts DESC, seq) AS r FROM new) WHERE r = 1),
 e AS (SELECT seq, ts, unnest(results) AS r, generate_subscripts(results, 1) AS pos FROM checks),
 c AS (SELECT 'canary' AS source, file AS id, NULL AS wrong_verdict, NULL AS correct_verdict FROM (SELECT r.file AS file, r.correct AS correct, row_number() OVER (PARTITION BY r.file ORDER BY ts DESC, seq DESC, pos DESC) AS place FROM e WHERE r.status = 'ok') WHERE place = 1 AND NOT coalesce(correct, true)),
-t AS (SELECT doc_id, {one_of_sql(ANALYSES, "analysis")} AS a, {one_of_sql(VERDICTS, "verdict")} AS v FROM {_IDS}), u AS (SELECT min(doc_id) AS doc_id, v FROM t GROUP BY a, v),
+t AS (SELECT doc_id, {ANALYSIS} AS a, {one_of_sql(VERDICTS, "verdict")} AS v FROM documents), u AS (SELECT min(doc_id) AS doc_id, v FROM t GROUP BY a, v),
 s AS (SELECT 'sample' AS source, CAST(doc_id AS VARCHAR) AS id, CASE v WHEN 'SWITCH' THEN 'STAY' ELSE 'SWITCH' END AS wrong_verdict, v AS correct_verdict FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY md5('42|' || doc_id), doc_id) AS place FROM u) WHERE place <= 10)
 SELECT * FROM h UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s""")
 def q_harvested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs from feedback, failing canaries and traces."""
     log = events_as_log(spark, sf_dir)
-    ids = table(spark, sf_dir, "documents").select("doc_id").distinct()
-    answers = ids.select("doc_id", F.concat(F.lit("ANALYSIS: "), one_of(ANALYSES, "analysis"), F.lit("\nVERDICT: "), one_of(VERDICTS, "verdict")).alias("answer"))
-    return harvested(feedback_queue(log), still_wrong(checks(log)), flipped_pairs(answers, 30, 42, "doc_id")).select("source", "id", "wrong_verdict", "correct_verdict")
+    return harvested(feedback_queue(log), still_wrong(checks(log)), flipped_pairs(answers(spark, sf_dir), 30, 42, "doc_id")).select("source", "id", "wrong_verdict", "correct_verdict")
 
 
 def held_out(cases: DataFrame, registry: DataFrame, per_verdict: int) -> DataFrame:
