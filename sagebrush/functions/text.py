@@ -20,9 +20,19 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def listed(keywords: list[str]) -> Column:
+    """The keywords as one constant array, which the optimizer folds, so that a plan stays small whatever the list's length."""
+    return F.split(F.lit("\x1f".join(keywords)), "\x1f")
+
+
+def any_in(low: Column, keywords: list[str]) -> Column:
+    """Whether a keyword occurs in a text that is in lower case."""
+    return F.exists(listed(keywords), lambda k: F.contains(low, k))
+
+
 def hits_in(low: Column, keywords: list[str]) -> Column:
     """How many of the keywords occur in a text that is in lower case."""
-    return sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0))
+    return F.size(F.filter(listed(keywords), lambda k: F.contains(low, k)))
 
 
 def hits(text: Column, keywords: list[str]) -> Column:
@@ -35,7 +45,7 @@ def substance(text: Column) -> Column:
 
 
 def severity(text: Column) -> Column:
-    return let(F.lower(text), lambda low: F.when(hits_in(low, W.HIGH_SEVERITY) > 0, "HIGH").when(hits_in(low, W.MEDIUM_SEVERITY) > 0, "MEDIUM").otherwise("LOW"))
+    return let(F.lower(text), lambda low: F.when(any_in(low, W.HIGH_SEVERITY), "HIGH").when(any_in(low, W.MEDIUM_SEVERITY), "MEDIUM").otherwise("LOW"))
 
 
 def first_where(lines: Column, test) -> Column:
@@ -90,7 +100,7 @@ def squeezed(text: Column) -> Column:
 
 def topics(text: Column) -> Column:
     """Names of the topics whose patterns occur, in the order of the table."""
-    named = lambda low: F.array(*(F.when(hits_in(low, patterns) > 0, F.lit(name)) for name, patterns in W.TOPICS.items()))
+    named = lambda low: F.array(*(F.when(any_in(low, patterns), F.lit(name)) for name, patterns in W.TOPICS.items()))
     return F.filter(let(squeezed(F.lower(text)), named), lambda x: x.isNotNull())
 
 
@@ -110,12 +120,12 @@ def polarity(text: Column, source: str) -> Column:
     if source == "issue":
         return F.lit("negative")
     padded = F.concat(F.lit(" "), squeezed(F.lower(text)), F.lit(" "))
-    override = lambda p: hits_in(p, W.POSITIVE_OVERRIDES) > 0
+    override = lambda p: any_in(p, W.POSITIVE_OVERRIDES)
 
     def weighed(p: Column) -> Column:
         good = F.when(override(p), 3).otherwise(0) + hits_in(p, W.POSITIVE)
         bad = hits_in(p, W.NEGATIVE) + F.when(F.startswith(p, F.lit(" no ")) & ~override(p), 2).otherwise(0)
-        return F.struct((hits_in(p, W.PENDING) > 0).alias("pending"), good.alias("good"), bad.alias("bad"))
+        return F.struct(any_in(p, W.PENDING).alias("pending"), good.alias("good"), bad.alias("bad"))
 
     def named(w: Column) -> Column:
         good, bad = w["good"], w["bad"]

@@ -43,32 +43,39 @@ def entries(texts: Column, source: str) -> Column:
     return F.transform(clean, told)
 
 
-def semantic_view(df: DataFrame, key: str, issues: str, changes: str, tools: str) -> DataFrame:
+def best_within(issues: Column, changes: Column) -> Column:
+    """issue and change of the best-scoring pair of two lists of entries, or null; ties go to the first issue, then change.
+
+    Of each issue only its best change is kept, so what is held at a time grows with one list, not with the product.
+    """
+
+    def best_change(i: Column) -> Column:
+        def scored(x: Column) -> Column:
+            score = match_score(i["topics"], i["tokens"], x["topics"], x["tokens"])
+            return F.struct(score.alias("score"), (-i["pos"]).alias("issue_pos"), (-x["pos"]).alias("change_pos"), i["text"].alias("issue"), x["text"].alias("change"))
+
+        return F.array_max(F.transform(changes, scored))
+
+    found = F.array_max(F.filter(F.transform(issues, best_change), lambda b: b["score"] > 0))
+    return F.get(F.transform(F.filter(F.array(found), lambda b: b.isNotNull()), lambda b: F.struct(b["issue"].alias("issue"), b["change"].alias("change"))), 0)
+
+
+def semantic_view(df: DataFrame, issues: str, changes: str, tools: str) -> DataFrame:
     """How the changes of each row meet its issues; ``df`` with the columns of the view added.
 
     positive_pull, pending_pull, positive_tool, negative_tool are the best matches (issue, change) or null; primary_issue,
     primary_pull and primary_tool_change are the texts that matter most; has_positive_pull, has_pending_pull,
-    has_positive_tool, has_negative_tool tell of any entry. The key must be unique. Lists are of one row, so pairs are made
-    within it; one aggregate by key takes the best of each kind.
+    has_positive_tool, has_negative_tool tell of any entry. All of it is told within the row: nothing is shuffled.
     """
-    made = df.select(key, entries(F.col(issues), "issue").alias("i"), entries(F.col(changes), "competitor").alias("c"), entries(F.col(tools), "tool").alias("t"))
-    pairs = made.select(key, F.explode("i").alias("i"), F.concat("c", "t").alias("all")).select(key, "i", F.explode("all").alias("x"))
-    pairs = pairs.withColumn("score", match_score(F.col("i.topics"), F.col("i.tokens"), F.col("x.topics"), F.col("x.tokens"))).filter("score > 0")
-    match = F.struct(F.col("i.text").alias("issue"), F.col("x.text").alias("change"))
-    order = F.struct("score", -F.col("i.pos"), -F.col("x.pos"))
-    kinds = {"positive_pull": ("competitor", "positive"), "pending_pull": ("competitor", "pending"), "positive_tool": ("tool", "positive"), "negative_tool": ("tool", "negative")}
-    best = pairs.groupBy(key).agg(*(F.max_by(match, F.when((F.col("x.source") == s) & (F.col("x.polarity") == p), order)).alias(name) for name, (s, p) in kinds.items()))
+    made = df.withColumns({"_i": entries(F.col(issues), "issue"), "_c": entries(F.col(changes), "competitor"), "_t": entries(F.col(tools), "tool")})
+    kinds = {"positive_pull": ("_c", "positive"), "pending_pull": ("_c", "pending"), "positive_tool": ("_t", "positive"), "negative_tool": ("_t", "negative")}
+    of = lambda column, p: F.filter(column, lambda e: e["polarity"] == p)
+    best = made.withColumns({name: best_within(F.col("_i"), of(column, p)) for name, (column, p) in kinds.items()})
     by = lambda column, p: first_where(F.col(column), lambda e: e["polarity"] == p)["text"]
-    any_ = lambda column, p: F.exists(column, lambda e: e["polarity"] == p)
-    view = made.join(best, key, "left").select(
-        key,
-        *kinds,
-        F.coalesce("positive_pull.issue", "pending_pull.issue", "negative_tool.issue", "positive_tool.issue", F.get("i", 0)["text"]).alias("primary_issue"),
-        F.coalesce("positive_pull.change", "pending_pull.change", by("c", "positive"), by("c", "pending"), F.get("c", 0)["text"]).alias("primary_pull"),
-        F.coalesce("negative_tool.change", "positive_tool.change", by("t", "negative"), by("t", "positive"), F.get("t", 0)["text"]).alias("primary_tool_change"),
-        any_("c", "positive").alias("has_positive_pull"),
-        any_("c", "pending").alias("has_pending_pull"),
-        any_("t", "positive").alias("has_positive_tool"),
-        any_("t", "negative").alias("has_negative_tool"),
-    )
-    return df.join(view, key)
+    view = {
+        "primary_issue": F.coalesce("positive_pull.issue", "pending_pull.issue", "negative_tool.issue", "positive_tool.issue", F.get("_i", 0)["text"]),
+        "primary_pull": F.coalesce("positive_pull.change", "pending_pull.change", by("_c", "positive"), by("_c", "pending"), F.get("_c", 0)["text"]),
+        "primary_tool_change": F.coalesce("negative_tool.change", "positive_tool.change", by("_t", "negative"), by("_t", "positive"), F.get("_t", 0)["text"]),
+    }
+    view |= {f"has_{name}": F.size(of(column, p)) > 0 for name, (column, p) in kinds.items()}
+    return best.withColumns(view).drop("_i", "_c", "_t")

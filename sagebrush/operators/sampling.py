@@ -26,8 +26,9 @@ def stratified(df: DataFrame, stratum: str, k: int, seed: int, id_column: str) -
 
 def balanced(df: DataFrame, group: str, seed: int, id_column: str) -> DataFrame:
     """As many rows of each group as the smallest has."""
-    target = df.groupBy(group).count().agg(F.min("count").alias("target"))
+    # Places are numbered over a written table, so the rows are made once, also for the sizes.
     placed = rank_within(df, "place", [group], shuffled(seed, id_column), F.col(id_column))
+    target = placed.groupBy(group).agg(F.max("place").alias("size")).agg(F.min("size").alias("target"))
     return placed.join(F.broadcast(target), F.col("place") <= F.col("target")).drop("target")
 
 

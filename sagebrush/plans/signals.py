@@ -331,7 +331,7 @@ viewed AS (SELECT sig.*, pp.issue AS pp_issue, pp.change AS pp, pe.issue AS pe_i
 has_positive_pull, has_pending_pull, has_positive_tool, has_negative_tool FROM viewed""")
 def q_semantic_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the changes of competitor and tool meet the issues of each signal."""
-    v = semantic_view(signals(spark, sf_dir), "doc_id", "issues", "changes", "tool")
+    v = semantic_view(signals(spark, sf_dir), "issues", "changes", "tool")
     return v.select(
         "doc_id", *(F.col(f"{c}.change").alias(c) for c in ("positive_pull", "pending_pull", "positive_tool", "negative_tool")), "primary_issue", "primary_pull", "primary_tool_change",
         "has_positive_pull", "has_pending_pull", "has_positive_tool", "has_negative_tool",
@@ -344,7 +344,7 @@ def judged(df: DataFrame, tools: str = "tool") -> DataFrame:
     What a tool's lines tell of no change takes no part in the view.
     """
     c = F.col
-    df = semantic_view(with_rules(df).withColumn("_changed", S.changed_lines(c(tools))), "doc_id", "issues", "changes", "_changed").drop("_changed")
+    df = semantic_view(with_rules(df).withColumn("_changed", S.changed_lines(c(tools))), "issues", "changes", "_changed").drop("_changed")
     met = c("net") >= W.ROI_THRESHOLD
     severe = X.severity(c("positive_pull.issue")) == "HIGH"
     df = df.withColumn("supported", C.supports_switch(c("shelfware"), c("positive_pull.issue"), c("pending_pull.issue"), met, severe))

@@ -88,7 +88,7 @@ def test_matches_of_a_polarity(spark):
     assert best_match(issues, changes, "k", ["positive"]).first().change_pos == 1
     assert best_match(issues, changes, "k", ["negative"]).count() == 0
     df = spark.createDataFrame([(1, ["audit log export missing"], ["audit log export in beta", "audit log added "], ["stable"]), (2, [], [], [])], "k int, i array<string>, c array<string>, t array<string>")
-    one, two = semantic_view(df, "k", "i", "c", "t").orderBy("k").collect()
+    one, two = semantic_view(df, "i", "c", "t").orderBy("k").collect()
     assert (one.positive_pull.change, one.pending_pull.change, one.positive_tool, one.primary_pull, one.primary_tool_change) == ("audit log added", "audit log export in beta", None, "audit log added", "stable")
     assert (two.primary_issue, two.positive_pull, two.has_pending_pull) == (None, None, False)
 
