@@ -14,13 +14,23 @@ from .registry import query, table
 from .signals import RULES, SIGNALS, SQUEEZED, has_sql, one_of, one_of_sql, pick, pick_sql, signals, with_rules
 
 
-def signal_context(signals: DataFrame, stack: DataFrame, usage: DataFrame, registry: DataFrame) -> DataFrame:
+def signal_context(signals: DataFrame, stack: DataFrame, usage: DataFrame, registry: DataFrame, strict: bool = False) -> DataFrame:
     """Signals (category, slug, ...) with the stack entry of their category, its usage if known, and the competitor.
 
-    Signals without a stack entry or a competitor are left out. The three dimensions have a row a category, tool or
+    ``error`` tells the first thing that a signal lacks: a valid category, a stack entry, a competitor; null if none. If
+    ``strict``, reading a signal with an error fails with it. The three dimensions have a row a category, tool or
     competitor; Spark broadcasts them while they are small.
     """
-    return signals.join(stack, "category").join(usage, "tool", "left").join(registry, ["category", "slug"])
+    told = signals.join(stack.withColumn("_stack", F.lit(True)), "category", "left").join(usage, "tool", "left")
+    told = told.join(registry.withColumn("_known", F.lit(True)), ["category", "slug"], "left")
+    category = F.coalesce("category", F.lit("null"))
+    error = (
+        F.when(~F.coalesce(F.col("category").isin(W.CATEGORIES), F.lit(False)), F.concat(F.lit("invalid category: "), category))
+        .when(F.col("_stack").isNull(), F.concat(F.lit("no stack entry: "), category))
+        .when(F.col("_known").isNull(), F.concat(F.lit("competitor not found: "), category, F.lit("/"), F.coalesce("slug", F.lit("null"))))
+    )
+    told = told.withColumn("error", error).drop("_stack", "_known")
+    return told.filter(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")))) if strict else told
 
 
 @query("""SELECT l_orderkey, l_linenumber, p_brand, s_name, n_name, r_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
