@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sagebrush.functions import text as X
 from sagebrush.operators.order import checkpoint_folder, ranked, until_exit, written
-from sagebrush.sources.sinks import HOLDS, MEMOS, memo_rows
+from sagebrush.sources.sinks import HOLDS, MEMOS, memo_name
 from sagebrush.sources.store import Ledger, Store
 
 from .agent import PRICED, context, decided
@@ -44,10 +44,14 @@ Decide = Callable[[DataFrame], DataFrame]
 
 
 def with_retry(signals: DataFrame, decide: Decide) -> DataFrame:
-    """Decisions on signals, those with errors decided once more; attempts, and answers that fail again marked as such."""
-    first = decide(signals).withColumn("attempts", F.lit(1))
+    """Decisions on signals, those with errors decided once more; attempts, and answers that fail again marked as such.
+
+    The first decisions are written with their signals, so that both halves below read the same ones and none is made twice.
+    """
+    kept = dict.fromkeys([*signals.columns, "answer", "verdict", "prob", "errors"])
+    first = written(decide(signals).select(*kept), "first").withColumn("attempts", F.lit(1))
     bad = F.size("errors") > 0
-    again = decide(first.filter(bad).select(*signals.columns)).withColumn("attempts", F.lit(2))
+    again = decide(first.filter(bad).select(*signals.columns)).select(*kept).withColumn("attempts", F.lit(2))
     again = again.withColumn("answer", F.when(bad, F.concat(F.lit(FAILED), F.col("answer"))).otherwise(F.col("answer")))
     return first.filter(~bad).unionByName(again)
 
@@ -64,14 +68,13 @@ def run_batch(signals: DataFrame, batch: str, today: str, to: Tables, decide: De
     c = F.col
     made = with_retry(signals, decide).select("doc_id", "category", "slug", "current_tool", "answer", "verdict", "prob", "errors", "attempts")
     made = written(made.withColumn("date", F.lit(today)), "decisions")
-    memos = memo_rows(made.withColumnRenamed("answer", "text"))
-    named = made.join(memos.select("category", "slug", "memo").distinct(), ["category", "slug"])
+    named = made.withColumn("memo", memo_name(made))
     rest = ["date", "category", "slug", F.col("answer").alias("text")]
     last = named.groupBy("memo").agg(F.max_by(F.struct(*rest), "doc_id").alias("r")).select("memo", "r.*")
 
-    told = X.hold_metadata(c("answer"))
+    held, told = named.filter("verdict = 'HOLD'").withColumn("told", X.hold_metadata(c("answer"))), c("told")
     plain = {"category": c("category"), "current_tool": c("current_tool"), "competitor": c("slug"), "hold_reason": F.lit(HOLD_REASON), "reassess_condition": F.lit(HOLD_CONDITION), "review_by": F.date_format(F.date_add(F.lit(today), REVIEW_DAYS), "yyyy-MM-dd")}
-    holds = named.filter("verdict = 'HOLD'").select(*(F.when(told.isNotNull(), told[n]).otherwise(v).alias(n) for n, v in plain.items()), F.lit(today).alias("issued_date"))
+    holds = held.select(*(F.when(told.isNotNull(), told[n]).otherwise(v).alias(n) for n, v in plain.items()), F.lit(today).alias("issued_date"))
 
     after = to.log.read().agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
     placed = ranked(named, "place", F.asc("doc_id"), F.asc("memo"), F.asc("verdict"))

@@ -28,11 +28,15 @@ def add_competitors(registry: Store, entries: DataFrame, today: str) -> None:
     registry.upsert(made, "category", "slug")
 
 
+def memo_name(memos: DataFrame) -> Column:
+    """Names of memos (date, category, slug and, where it is known, scenario)."""
+    scenario = F.concat(F.lit("-"), F.col("scenario")) if "scenario" in memos.columns else F.lit(None).cast("string")
+    return F.concat(F.concat_ws("-", "date", "category", "slug"), F.coalesce(scenario, F.lit("")), F.lit(".md"))
+
+
 def memo_rows(memos: DataFrame) -> DataFrame:
     """Memos (date, category, slug, text and, where it is known, scenario) under their names."""
-    scenario = F.concat(F.lit("-"), F.col("scenario")) if "scenario" in memos.columns else F.lit(None).cast("string")
-    name = F.concat(F.concat_ws("-", "date", "category", "slug"), F.coalesce(scenario, F.lit("")), F.lit(".md"))
-    return memos.select(name.alias("memo"), "date", "category", "slug", "text")
+    return memos.select(memo_name(memos).alias("memo"), "date", "category", "slug", "text")
 
 
 def write_memos(store: Store, memos: DataFrame) -> None:
