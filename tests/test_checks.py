@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sagebrush.functions import text as X
 from sagebrush.operators.matching import semantic_view
 from sagebrush.operators.sampling import balanced
+from sagebrush.plans import checks as K
 from sagebrush.plans import signals as P
 from sagebrush.plans.gates import signal_context
 
@@ -65,3 +66,14 @@ def test_balanced_makes_rows_once(spark):
     df = spark.createDataFrame([(i, "a" if i < 7 else "b" if i < 10 else None) for i in range(12)], "id int, g string")
     rows = balanced(df, "g", 1, "id").groupBy("g").count().collect()
     assert {r.g: r["count"] for r in rows} == {"a": 2, "b": 2, None: 2}
+
+
+def times(df, what):
+    """How often an expression stands in a plan."""
+    return df._jdf.queryExecution().optimizedPlan().toJSON().count(what)
+
+
+def test_texts_are_made_once(spark, sf):
+    """Payloads that checks are made of stand in the plan once, however many fields are asked for."""
+    for found in (K.q_stack_errors(spark, sf), K.q_registry_errors(spark, sf)):
+        assert times(found, '"parseJson"') == 1 and times(found, "expressions.StructsToJson") <= 1
