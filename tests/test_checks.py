@@ -9,6 +9,7 @@ from sagebrush.functions import text as X
 from sagebrush.operators.matching import semantic_view
 from sagebrush.operators.sampling import balanced
 from sagebrush.plans import checks as K
+from sagebrush.plans import quality as Q
 from sagebrush.plans import signals as P
 from sagebrush.plans.gates import signal_context
 
@@ -74,6 +75,8 @@ def times(df, what):
 
 
 def test_texts_are_made_once(spark, sf):
-    """Payloads that checks are made of stand in the plan once, however many fields are asked for."""
+    """Payloads and memos that checks are made of stand in the plan once, however many fields and sections are asked for."""
+    alone = Q.table(spark, sf, "documents").select(Q.memo())
+    assert times(Q.q_memo_validation(spark, sf), "expressions.Md5") == times(alone, "expressions.Md5")
     for found in (K.q_stack_errors(spark, sf), K.q_registry_errors(spark, sf)):
         assert times(found, '"parseJson"') == 1 and times(found, "expressions.StructsToJson") <= 1
