@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +83,27 @@ def test_texts_are_made_once(spark, sf):
     assert times(Q.q_memo_validation(spark, sf), "expressions.Md5") == times(alone, "expressions.Md5")
     for found in (K.q_stack_errors(spark, sf), K.q_registry_errors(spark, sf)):
         assert times(found, '"parseJson"') == 1 and times(found, "expressions.StructsToJson") <= 1
+
+
+def test_signals_of_a_curated_set_are_judged_once(spark, sf, monkeypatch):
+    asked, real = spark.sparkContext.accumulator(0), P.judged
+
+    def same(failure):
+        asked.add(1)
+        return failure
+
+    counted = F.udf(same, "string").asNondeterministic()
+    monkeypatch.setattr(P, "judged", lambda df: real(df).withColumn("failure", counted("failure")))
+    assert P.q_curated_set(spark, sf).count() > 0
+    assert asked.value == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_patterns_of_many_words():
+    """One pattern finds a word exactly where one of the words stands."""
+    rng = random.Random(2)
+    for _ in range(300):
+        words = ["".join(rng.choices("ab.| ", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 9))]
+        pattern = re.compile(X.alternation(words))
+        for _ in range(20):
+            text = "".join(rng.choices("ab.| ", k=rng.randint(0, 8)))
+            assert bool(pattern.search(text)) == any(w in text for w in words)
