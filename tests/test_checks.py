@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagebrush.functions import text as X
+from sagebrush.functions import traces as T
 from sagebrush.operators.matching import semantic_view
 from sagebrush.operators.sampling import balanced
 from sagebrush.plans import checks as K
@@ -107,3 +108,10 @@ def test_patterns_of_many_words():
         for _ in range(20):
             text = "".join(rng.choices("ab.| ", k=rng.randint(0, 8)))
             assert bool(pattern.search(text)) == any(w in text for w in words)
+
+
+def test_traces_are_parsed_once(spark, sf):
+    """What several fields of a parsed trace read stands in the plan once: one search a label."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    assert times(d.select(T.parsed_answer(F.col("text"))), "expressions.RegExpExtractAll") == 5
+    assert times(d.select(T.parsed_prompt(F.col("text"))), "expressions.RegExpExtractAll") == 6
