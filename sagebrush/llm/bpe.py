@@ -12,7 +12,8 @@ strings; an automaton finds them, and they are merged by rank here. All others g
 
 Texts are split by the pattern first, and each piece is encoded by itself. Where engines of regular expressions disagree
 on what is a letter, a number or a space, the split is that of rank-driven encoders. A worker keeps the ids of pieces it has
-seen, up to a bound; one call of the library encodes all new pieces of a text.
+seen, up to a bound; one call of the library encodes all new pieces of a text, as one string in which a token that
+nothing else makes stands between them. Ids are kept as arrays, and what they stand for is taken from Arrow tables.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import os
 import re
+import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cached_property, lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, batched, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,10 @@ from .common import map_texts
 
 #: Marks strings that make a piece doubtful wherever they stand; others are marked by their rank.
 ONCE = -1
-#: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 100_000
+#: Pieces of a generation. A worker remembers two: when one is full, the one before it goes, but for what is used again.
+CACHE_PIECES = 150_000
+#: Pieces that one call of the library encodes at most.
+CALL_PIECES = 10_000
 #: Bytes of text whose tokens are in memory at once.
 SLICE_BYTES = 1_000_000
 
@@ -67,15 +72,25 @@ class ByteBpe:
         splits = {t: [i for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks] for t in sorted(ranks, key=ranks.__getitem__)}
         merges = [(spell(t[:i]), spell(t[i:])) for t, at in splits.items() for i in at]
         self.doubtful = doubtful_strings(ranks, splits)
-        self.tokenizer = Tokenizer(models.BPE(vocab={spell(b): r for b, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # What stands between pieces: a byte that UTF-8 never has, a character that the byte table lacks, a token of its own.
+        self.between = max(ranks.values()) + 1
+        self.chars = np.array([ord(c) for c in chars[:0xFF]] + [ord(" ")], "<u2")
+        # Spark runs a worker for each core, so the library needs no threads; its own cache would only keep what ours has.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        vocabulary = {spell(b): r for b, r in ranks.items()} | {" ": self.between}
+        self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True, cache_capacity=0))
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
         self.pattern = pattern
         self.findall = regex.compile(pattern).findall
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.fast_findall = fast_findall(pattern)
+        self.n_bytes = np.zeros(self.between, np.int64)
         self.n_bytes[list(ranks.values())] = [len(b) for b in ranks]
         # Decoding reverses the byte table: a token's characters back to the bytes they stand for.
-        self.bytes_of = {r: self.tokenizer.id_to_token(r).translate(self.table).encode("latin-1") for r in ranks.values()}
-        self.ids_of: dict[str, tuple[int, ...]] = {}
+        bytes_of = {r: self.tokenizer.id_to_token(r).translate(self.table).encode("latin-1") for r in ranks.values()}
+        self.bytes_of = pa.array(map(bytes_of.get, range(self.between)), pa.large_binary())
+        self.decimals = pa.array([b"%d," % r for r in range(self.between)], pa.large_binary())
+        self.ids_of: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @cached_property
     def may_differ(self) -> Callable[[str], re.Match | None]:
@@ -84,6 +99,8 @@ class ByteBpe:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text, which together are the text."""
+        if self.fast_findall and (text.isascii() or not beyond_bmp(text)):
+            return self.fast_findall(text)
         if text.isascii() or not self.may_differ(text):
             return self.findall(text)
         ends = [0, *accumulate(map(len, self.findall(text.translate(stand_ins()))))]
@@ -97,78 +114,143 @@ class ByteBpe:
         hits = [hit for _, hit in self.doubtful.iter(raw)]
         return (ONCE in hits or len(hits) > len(set(hits))) and piece.encode() not in self.ranks
 
+    def by_library(self, pieces: Iterable[bytes]) -> Iterable[bytes]:
+        """The ids of each piece, as the bytes of an array, by one call of the library."""
+        spelled = self.chars[np.frombuffer(b"\xff".join(pieces), np.uint8)].tobytes().decode("utf-16-le")
+        (found,) = self.tokenizer.encode_batch_fast([spelled], add_special_tokens=False)
+        ids = np.array(found.ids, np.int32)
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.between)).tolist()
+        return map(raw.__getitem__, map(slice, [0, *(e + 4 for e in ends)], [*ends, len(raw)]))
+
     def learn(self, pieces: set[str]) -> None:
-        """Put the ids of pieces not seen yet into the cache, by one call of the library."""
-        new = [p for p in pieces if p not in self.ids_of]
+        """Put the ids of all pieces, as the bytes of an array, into the cache."""
+        new = pieces.difference(self.ids_of)
         if not new:
             return
         if len(self.ids_of) + len(new) > CACHE_PIECES:
-            self.ids_of.clear()
-            new = list(pieces)
-        doubtful = set(filter(self.is_doubtful, new))
-        if doubtful:
-            self.ids_of.update((p, tuple(merged_by_rank(p.encode(), self.ranks))) for p in doubtful)
-            new = [p for p in new if p not in doubtful]
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids, words = found.ids, np.array(found.word_ids)
-        ends = np.searchsorted(words, np.arange(len(new)), side="right").tolist()
-        start = 0
-        for piece, end in zip(new, ends, strict=True):
-            self.ids_of[piece] = tuple(ids[start:end])
-            start = end
+            self.older, self.ids_of = self.ids_of, {}
+            new = pieces
+        again = self.older.keys() & new
+        self.ids_of.update((p, self.older[p]) for p in again)
+        rest = []
+        for piece in new - again:
+            raw = piece.encode()
+            if (rank := self.ranks.get(raw)) is not None:
+                self.ids_of[piece] = rank.to_bytes(4, sys.byteorder)
+            elif self.is_doubtful(piece):
+                self.ids_of[piece] = array("i", merged_by_rank(raw, self.ranks)).tobytes()
+            else:
+                rest.append((piece, raw))
+        for some in batched(rest, CALL_PIECES):
+            names, raws = zip(*some, strict=True)
+            self.ids_of.update(zip(names, self.by_library(raws), strict=True))
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text, every piece by itself, no special tokens."""
+        pieces = self.split(text)
+        self.learn(set(pieces))
+        return np.frombuffer(b"".join(map(self.ids_of.__getitem__, pieces)), np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, every piece by itself, no special tokens."""
-        out = []
-        for text in texts:
-            pieces = self.split(text)
-            self.learn(set(pieces))
-            out.append(list(chain.from_iterable(map(self.ids_of.__getitem__, pieces))))
-        return out
+        """Ids of each text, as lists."""
+        return [self.ids(text).tolist() for text in texts]
 
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
+    def spans(self, text: str, ids: np.ndarray | list[int]) -> np.ndarray:
         """Start and end of each token in characters of ``text``, as two columns.
 
         A token that begins or ends inside a character counts from the start, or to the end, of that character, so
         the tokens of a split character overlap in it.
         """
-        ends = np.cumsum(self.n_bytes[ids]) if ids else np.zeros(0, np.int64)
-        starts = np.concatenate([[0], ends[:-1]]) if ids else ends
+        ends = np.cumsum(self.n_bytes[ids]) if len(ids) else np.zeros(0, np.int64)
+        starts = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
         if text.isascii():
             return np.column_stack([starts, ends])
         raw = np.frombuffer(text.encode(), np.uint8)
         char_of_byte = np.cumsum((raw & 0xC0) != 0x80) - 1
         return np.column_stack([char_of_byte[starts], char_of_byte[ends - 1] + 1])
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """The bytes that the ids stand for; characters split over tokens come together again as bytes."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return told(self.bytes_of, ids)
+
+    def decimal(self, ids: np.ndarray | list[int]) -> bytes:
+        """The decimal ids, joined by commas."""
+        return told(self.decimals, ids)[:-1]
+
 
+def told(entries: pa.Array, ids: np.ndarray | list[int]) -> bytes:
+    """The entries of a table of bytes that the ids name, one after the other."""
+    if not len(ids):
+        return b""
+    _, offsets, raw = entries.take(pa.array(ids, pa.int32())).buffers()
+    return raw.slice(0, np.frombuffer(offsets, np.int64)[len(ids)]).to_pybytes()
+
+
+#: Finds a character that takes more than two bytes in UTF-16.
+beyond_bmp = re.compile("[\U00010000-\U0010ffff]").search
 
 #: For each class of characters that the pattern tells apart, one that all engines put in it and no contraction holds.
 STAND_INS = {r"\p{L}": "a", r"\p{N}": "0", r"\s": "\t", "": "!"}
 
 
+def their_class(name: str, every: str) -> str:
+    """The characters of ``every`` that the engine of rank-driven encoders puts in a class.
+
+    They are read off by encoding all of them, byte by byte, with the class as the pattern: what doesn't match is left
+    out.
+    """
+    import tiktoken
+
+    single = {bytes([b]): b for b in range(256)}
+    ids = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
+    return bytes(ids).decode()
+
+
 @lru_cache(maxsize=1)
 def stand_ins() -> dict[int, str]:
     """Code points that the engine of rank-driven encoders puts in another class than ours, with a stand-in of that class.
 
-    Engines follow different editions of Unicode. Its classes are read off by encoding all code points, byte by byte,
-    with the class as the pattern: what doesn't match is left out.
+    Engines follow different editions of Unicode.
     """
     import regex
-    import tiktoken
 
     every = "".join(map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x110000))))
-    single = {bytes([b]): b for b in range(256)}
     theirs, ours = {}, {}
     for name in filter(None, STAND_INS):
-        ids = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
-        theirs.update(dict.fromkeys(bytes(ids).decode(), name))
+        theirs.update(dict.fromkeys(their_class(name, every), name))
         ours.update(dict.fromkeys(regex.findall(name, every), name))
     return {ord(c): STAND_INS[theirs.get(c, "")] for c in theirs.keys() | ours.keys() if theirs.get(c) != ours.get(c)}
 
 
+@lru_cache(maxsize=4)
+def fast_findall(pattern: str) -> Callable[[str], list[str]] | None:
+    r"""``findall`` of a pattern by the standard library's engine, for texts without characters beyond U+FFFF.
+
+    It is faster, but lacks \p{L} and \p{N}, and its \s is another one. So these are spelled out, as rank-driven
+    encoders have them. None for a pattern that holds other escapes, flags or groups that capture.
+    """
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000))))
+    if re.search(r"\((?!\?[!=:])", pattern):
+        return None
+    out, inside = [], False
+    for part in re.split(r"(\\p\{[LN]\}|\\.|\[\^?|\])", pattern):
+        if part.startswith("["):
+            if inside:
+                return None
+            inside = True
+        elif part == "]":
+            inside = False
+        elif part in (r"\p{L}", r"\p{N}", r"\s", r"\S") and not (inside and part == r"\S"):
+            points = sorted(map(ord, their_class(part.lower() if part == r"\S" else part, every)))
+            gaps = [i for i in range(1, len(points)) if points[i] > points[i - 1] + 1]
+            ranges = "".join(f"\\u{points[a]:04x}-\\u{points[b - 1]:04x}" for a, b in pairwise([0, *gaps, len(points)]))
+            part = ranges if inside else f"[^{ranges}]" if part == r"\S" else f"[{ranges}]"
+        elif part.startswith("\\") and part[1:].isalnum() and part[1:] not in "rnt":
+            return None
+        out.append(part)
+    return re.compile("".join(out)).findall
+
+
 def doubtful_strings(ranks: dict[bytes, int], splits: dict[bytes, list[int]]):
     """An automaton of the strings (bytes as Latin-1) that make a piece doubtful: ``ONCE``, or if they stand in it twice."""
     import ahocorasick
@@ -244,14 +326,14 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_tokens: bool =
         n, ids_sha, raw_sha, same, spans = [], [], [], [], []
         tokens = array("i")
         for text in texts:
-            (found,) = bpe.encode([text])
+            found = bpe.ids(text)
             raw = bpe.decode(found)
             n.append(len(found))
-            ids_sha.append(hashlib.sha256(",".join(map(DECIMAL.__getitem__, found)).encode()).hexdigest())
+            ids_sha.append(hashlib.sha256(bpe.decimal(found)).hexdigest())
             raw_sha.append(hashlib.sha256(raw).hexdigest())
             same.append(raw == text.encode())
             if with_tokens:
-                tokens.extend(found)
+                tokens.frombytes(found.tobytes())
                 spans.append(bpe.spans(text, found).astype(np.int32))
         columns = [pa.array(ids, pa.int64()), n, ids_sha, raw_sha, same]
         if with_tokens:
@@ -262,14 +344,3 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_tokens: bool =
 
     extra = ", ids array<int>, starts array<int>, ends array<int>" if with_tokens else ""
     return map_texts(docs, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + extra, slice_bytes=SLICE_BYTES)
-
-
-class _Decimal(dict):
-    """Decimal spelling of small integers, filled as they come."""
-
-    def __missing__(self, x: int) -> str:
-        self[x] = s = str(x)
-        return s
-
-
-DECIMAL = _Decimal()

@@ -59,9 +59,9 @@ def section_token_counts(docs: DataFrame, path: str, pattern: str, sections: str
         bpe, texts = coder(path, pattern), told_and_texts[-1]
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         sizes = []
-        for i, (text, tokens) in enumerate(zip(texts, bpe.encode(texts), strict=True)):
+        for i, text in enumerate(texts):
             starts = line_sections(text) if sections is None else told_sections(told_and_texts[0][i], text)
-            n, crossing, _ = attribute(bpe.spans(text, tokens), starts, len(text))
+            n, crossing, _ = attribute(bpe.spans(text, bpe.ids(text)), starts, len(text))
             for column, x in zip(out, (np.arange(len(starts)), starts, np.append(starts[1:], len(text)), n, crossing), strict=True):
                 column.append(x)
             sizes.append(len(starts))
